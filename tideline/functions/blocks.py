@@ -50,7 +50,7 @@ def over_chunks(df, keys, fn, before: int = 0, after: int = 0, size: int | None
 def running(df, keys, order=("pos",), chunk: Column | None = None, reverse: bool = False, **specs) -> DataFrame:
     """Unbounded running values. specs: name=(kind, column[, "before"]).
 
-    kind is sum, last (last non-null), max, min, or total (over the whole key). "before"
+    kind is sum, first / last (non-null), max, min, or total (over the whole key). "before"
     leaves the current row out. ``chunk`` must not decrease along ``order``; ``reverse``
     scans from the end, so that "last" is the nearest following value.
     """
@@ -68,7 +68,10 @@ def running(df, keys, order=("pos",), chunk: Column | None = None, reverse: bool
     whole = Window.partitionBy(*keys)
     for n, s in specs.items():
         x = F.col(src[n])
-        if s[0] == "last":
+        if s[0] == "first":
+            aggs.append((F.max_by if reverse else F.min_by)(x, F.when(x.isNotNull(), rank)).alias(src[n]))
+            carried.append(F.first(src[n], ignorenulls=True).over(earlier).alias(f"_c_{n}"))
+        elif s[0] == "last":
             aggs.append(pick(x, F.when(x.isNotNull(), rank)).alias(src[n]))
             carried.append(F.last(src[n], ignorenulls=True).over(earlier).alias(f"_c_{n}"))
         else:
@@ -83,6 +86,8 @@ def running(df, keys, order=("pos",), chunk: Column | None = None, reverse: bool
         frame = w.rowsBetween(Window.unboundedPreceding, -1 if len(s) > 2 else 0)
         if s[0] == "total":
             new[n] = c
+        elif s[0] == "first":
+            new[n] = F.coalesce(c, F.first(x, ignorenulls=True).over(frame))
         elif s[0] == "last":
             new[n] = F.coalesce(F.last(x, ignorenulls=True).over(frame), c)
         elif s[0] == "sum":

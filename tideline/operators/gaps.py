@@ -83,13 +83,13 @@ def smooth_runs(runs: DataFrame, min_minutes: float) -> DataFrame:
 
     A run is a candidate when it is the first or long enough; a candidate opens a new block when its
     state differs from the last candidate's. No loop is needed. Returns runs with block_start."""
-    p = running(runs, KEYS, order=("run_start",), _any=("last", "run_start", "before"))
-    cand = F.col("_any").isNull() | (F.col("duration_minutes") >= min_minutes)
-    p = p.withColumn("_cand", F.when(cand, F.col("state"))).drop("_any")
-    q = running(p, KEYS, order=("run_start",), _kept=("last", "_cand", "before"))
-    opens = F.col("_cand").isNotNull() & ~F.col("_kept").eqNullSafe(F.col("_cand"))
-    return running(q, KEYS, order=("run_start",), block_start=("last", F.when(opens, F.col("run_start"))),
-                   block_state=("last", F.when(opens, F.col("_cand")))).drop("_cand", "_kept")
+    long = F.when(F.col("duration_minutes") >= min_minutes, F.col("state"))
+    p = running(runs, KEYS, order=("run_start",), _kept=("last", long, "before"), _first=("first", "state", "before"))
+    candidate = F.col("_first").isNull() | (F.col("duration_minutes") >= min_minutes)
+    opens = candidate & ~F.coalesce("_kept", "_first").eqNullSafe(F.col("state"))
+    p = p.withColumn("_opens", opens).drop("_kept", "_first")
+    return running(p, KEYS, order=("run_start",), block_start=("last", F.when(F.col("_opens"), F.col("run_start"))),
+                   block_state=("last", F.when(F.col("_opens"), F.col("state")))).drop("_opens")
 
 
 def smoothed(runs_with_blocks: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ ev AS (SELECT *, CASE WHEN kind = 'H' AND lean = 1 THEN ln(price / prev) ELSE 0
  CASE WHEN kind = 'H' AND lean = -1 THEN ln(prev / price) ELSE 0 END AS lh_strength,
  CASE WHEN kind = 'L' AND lean = 1 THEN ln(price / prev) ELSE 0 END AS hl_strength,
  CASE WHEN kind = 'L' AND lean = -1 THEN ln(prev / price) ELSE 0 END AS ll_strength,
- CASE WHEN direction <> 0 THEN len(list_filter(hist, x -> x = direction)) / CAST(len(hist) AS DOUBLE) END AS consistency,
+ CASE WHEN direction <> 0 THEN len(list_filter(hist, lambda x: x = direction)) / CAST(len(hist) AS DOUBLE) END AS consistency,
  CASE WHEN impulse > 0 THEN abs(ln(price / b)) / impulse END AS pullback FROM ev5)"""
 ONBARS = PIVOTS + """,
 el AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY series_id, conf_pos ORDER BY n DESC) = 1),
