@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.blocks import running
 from ..functions.columns import safe_div
-from ..functions.ordered import percentiles
+from ..functions.ordered import percentiles, ranked
+from .metrics import roc_auc
 
 PCT = 100.0
 
@@ -115,13 +116,19 @@ def transition_matrix(rows: DataFrame, keys=("series_id",), state: str = "state"
     return c.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, "from_state")))
 
 
-def prev_next_context(marked: DataFrame) -> DataFrame:
-    """Adds prev_regime and next_regime: the nearest different state before and after each row's run."""
-    runs = marked.groupBy("series_id", "run_start").agg(F.first("state").alias("state"))
-    r = running(runs, ("series_id",), ("run_start",), prev_state=("last", "state", "before"))
-    r = running(r, ("series_id",), ("run_start",), reverse=True, next_state=("last", "state", "before"))
-    # neighbours of equal state can only meet across a gap: look through them with the run opening that block
-    return marked.join(r.drop("state"), ["series_id", "run_start"])
+def prev_next_context(runs: DataFrame) -> DataFrame:
+    """Adds prev_state and next_state to runs: the nearest different state on each side.
+
+    Neighbouring runs of equal state can only meet across a gap; the value found where such a block
+    opens is carried through it. The run table is read several times: pass a staged one."""
+    order = ("run_start",)
+
+    def one_side(d, name, reverse):
+        d = running(d, ("series_id",), order, reverse=reverse, _n=("last", "state", "before"))
+        differs = F.when(F.col("_n") != F.col("state"), F.col("_n"))
+        return running(d, ("series_id",), order, reverse=reverse, **{name: ("last", differs)}).drop("_n")
+
+    return one_side(one_side(runs, "prev_state", False), "next_state", True)
 
 
 def sample_tier(n, pos, neg, insufficient: int, reliable: int, few: int = 20, enough: int = 100) -> Column:
@@ -164,8 +171,6 @@ def bootstrap_auc(rows: DataFrame, keys, replicates: int, seed: int = 42) -> Dat
     """Percentile interval of the AUC. Rows are first reduced to counts per distinct score and label; a
     resample then draws a Poisson count per cell (a sum of n Poisson(1) draws is Poisson(n)), by
     inverting the distribution on a hash-based uniform so that a retry repeats it."""
-    from .metrics import roc_auc
-
     cells = rows.filter("label IS NOT NULL").groupBy(*keys, "score", "label").agg(F.count(F.lit(1)).alias("_n"))
     rep = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = rep.withColumn("_w", poisson(F.col("_n"), hash_uniform("replicate", "score", "label", F.lit(seed)),
@@ -225,8 +230,6 @@ def paired_tests(deltas: DataFrame, delta: str, order: str) -> DataFrame:
     """Paired t, signed-rank sum, wins and half means of per-fold differences (fold-sized input)."""
     d = deltas.filter(F.col(delta).isNotNull())
     nz = d.filter(F.col(delta) != 0).withColumn("_abs", F.abs(delta)).withColumn("_all", F.lit(0))
-    from ..functions.ordered import ranked
-
     r = ranked(nz, ["_all"], "_abs", {"n": F.count(F.lit(1)), "up": F.count_if(F.col(delta) > 0)})
     rank = F.col("n_before") + (F.col("n") + 1) / 2
     w = r.agg(F.sum(rank * F.col("up")).alias("w_plus"), F.sum(rank * (F.col("n") - F.col("up"))).alias("w_minus"), F.lit(1).alias("_k"))
