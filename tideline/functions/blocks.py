@@ -119,3 +119,16 @@ def stage(df: DataFrame) -> DataFrame:
     path = os.path.join(work_dir(df.sparkSession), "tideline", uuid.uuid4().hex)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+LOOKUP_ROWS = 200_000
+
+
+def lookup(df: DataFrame, small: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Joins a table of per-key values to a big one. The values are written first, so their number is known:
+    few are broadcast and the big side is not shuffled; many take a shuffle join, where adaptive
+    execution splits partitions that hold a hot key."""
+    small = stage(small)
+    if small.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
+        small = F.broadcast(small)
+    return df.join(small, list(keys), how)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .blocks import running
 from .columns import col
 
-PER_OCTAVE = 256  # bins per doubling of |x|
+PER_OCTAVE = 1_024  # bins per doubling of |x|
 _SHIFT = 1_100  # beyond the smallest double exponent, keeps every magnitude positive
 
 

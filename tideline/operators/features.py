@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -80,6 +81,19 @@ def memory(span: int) -> int:
     return max(span, math.ceil(math.log(1e-18) / math.log(1 - 2 / (span + 1))))
 
 
+def smooth_slots(pos: np.ndarray, x: np.ndarray, spans, reach: int) -> np.ndarray:
+    """Exponential means at the given slots, a missing slot repeating the last value; a silence of more
+    than `reach` slots starts afresh."""
+    out = np.full((len(pos), len(spans)), np.nan)
+    cuts = [0, *(np.flatnonzero(np.diff(pos) > reach) + 1), len(pos)]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        at = pos[lo:hi] - pos[lo]
+        grid = pd.Series(x[lo:hi], index=at).reindex(range(int(at[-1]) + 1)).ffill()
+        for i, s in enumerate(spans):
+            out[lo:hi, i] = grid.ewm(span=s, adjust=False, min_periods=s).mean().to_numpy()[at]
+    return out
+
+
 def ema(bars: DataFrame, spans, column: str = "close", size: int | None = None) -> DataFrame:
     """Exponential means with alpha = 2 / (span + 1), seeded with the first value, defined from bar `span`.
 
@@ -93,14 +107,11 @@ def ema(bars: DataFrame, spans, column: str = "close", size: int | None = None)
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        home, chunk = pdf["_home"].to_numpy(), pdf["_chunk"].iloc[0]
-        x = pdf.set_index("pos")[column]
-        grid = x.reindex(range(int(x.index[0]), int(x.index[-1]) + 1)).ffill()
         out = pdf[["series_id", "pos"]].reset_index(drop=True)
-        for s, n in zip(spans, names):
-            e = grid.ewm(span=s, adjust=False, min_periods=s).mean()
-            out[n] = e.reindex(out["pos"]).to_numpy()
-        return out[home == chunk]
+        e = smooth_slots(pdf["pos"].to_numpy(), pdf[column].to_numpy(float), spans, reach)
+        for i, n in enumerate(names):
+            out[n] = e[:, i]
+        return out[(pdf["_home"] == pdf["_chunk"]).to_numpy()]
 
     rows = halo(bars.select("series_id", "pos", column), reach, size=size)
     return rows.groupBy("series_id", "_chunk").applyInPandas(scan, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.blocks import with_position
+from ..functions.blocks import lookup, with_position
 
 
 def _monthly(last: DataFrame, start: str, warmup: int, embargo: str) -> DataFrame:
@@ -65,7 +65,7 @@ def chronological_split(rows: DataFrame, holdout: str, embargo: str) -> DataFram
 def inner_split(rows: DataFrame, keys, order, chunk: Column, share: float) -> DataFrame:
     """Adds inner: true for the first share of rows in time order."""
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = with_position(rows, keys, order, chunk).join(n, list(keys))
+    d = lookup(with_position(rows, keys, order, chunk), n, keys)
     return d.withColumn("inner", F.col("row_pos") < F.floor(F.col("_n") * share)).drop("row_pos", "_n")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.blocks import lookup
 from ..functions.columns import col, safe_div
 from ..functions.ordered import percentiles
 
@@ -82,7 +83,7 @@ def target_variants(rows: DataFrame, forward: str, vol: str, epsilon: DataFrame,
     """Shares of positive, negative and excluded rows under several target definitions.
 
     ``epsilon`` has one row per key with epsilon and q75 (of the absolute move)."""
-    d = rows.join(epsilon, list(keys)).withColumn("a", aligned(forward)).filter("a IS NOT NULL")
+    d = lookup(rows, epsilon, keys).withColumn("a", aligned(forward)).filter("a IS NOT NULL")
     norm = safe_div("a", vol)
     defs = {"direction": (F.col("a") > 0, F.col("a") <= 0), "epsilon": (F.col("a") > F.col("epsilon"), F.col("a") < -F.col("epsilon")),
             "large_move": (F.col("a") > F.col("q75"), F.col("a") < -F.col("q75")),

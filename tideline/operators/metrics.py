@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.blocks import lookup
 from ..functions.columns import safe_div
 from ..functions.ordered import percentiles, ranked
 
@@ -65,7 +66,7 @@ def bucket_edges(rows: DataFrame, keys, x: str, n: int) -> DataFrame:
 
 def quantile_bucket(rows: DataFrame, keys, x: str, n: int) -> DataFrame:
     """Adds bucket (from 0): intervals closed on the right, the first on both sides."""
-    d = rows.join(bucket_edges(rows, keys, x, n), list(keys))
+    d = lookup(rows, bucket_edges(rows, keys, x, n), keys)
     below = F.size(F.filter("edges", lambda e: e < F.col(x)))
     return d.withColumn("bucket", F.when(F.col(x).isNotNull(), F.greatest(below - 1, F.lit(0))).cast("long")).drop("edges")
 
@@ -96,7 +97,7 @@ def kruskal(rows: DataFrame, keys, group: str, x: str, min_rows: int = 10) -> Da
     """Tie-corrected rank statistic across groups, from counts per distinct value."""
     d = rows.filter(F.col(x).isNotNull())
     big = d.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_g")).filter(F.col("_g") > min_rows).drop("_g")
-    d = d.join(big, [*keys, group])
+    d = lookup(d, big, [*keys, group])
     per = d.groupBy(*keys, group, x).agg(F.count(F.lit(1)).alias("m"))
     r = ranked(d, keys, x, {"n": F.count(F.lit(1))})
     rank = F.col("n_before") + (F.col("n") + 1) / 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.blocks import chunk_of, over_chunks, with_position
+from ..functions.blocks import chunk_of, lookup, over_chunks, with_position
 from ..functions.columns import ahead, back
 from ..functions.ordered import percentiles
 from . import gaps
@@ -15,7 +15,7 @@ KEYS = ("series_id",)
 
 def zscore_flags(rows: DataFrame, cols, cut: float, levels=()) -> DataFrame:
     """Adds z_<c>, max_z, max_feature, n_over (features beyond cut), over_<level> and is_outlier."""
-    d = rows.join(scaler_fit(rows, cols), list(KEYS))
+    d = lookup(rows, scaler_fit(rows, cols), KEYS)
     d = d.withColumns({f"z_{c}": (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd") for c in cols}).drop(
         *[f"{c}_{o}" for c in cols for o in ("mean", "sd")])
     z = F.array(*[F.abs(f"z_{c}") for c in cols])
@@ -38,7 +38,7 @@ def tail_state_share(rows: DataFrame, x: str, tails, states) -> DataFrame:
     d = rows.withColumn("_m", F.abs(x))
     names = {f"t{i}": 1 - t / 100 for i, t in enumerate(tails)}
     cuts = percentiles(d, KEYS, "_m", names).drop("n_all")
-    j = d.join(cuts, list(KEYS)).select(*KEYS, "state", "_m", F.inline(F.array(
+    j = lookup(d, cuts, KEYS).select(*KEYS, "state", "_m", F.inline(F.array(
         *[F.struct(F.lit(float(t)).alias("tail_pct"), F.col(f"t{i}").alias("cut")) for i, t in enumerate(tails)]))).filter("_m >= cut")
     g = j.groupBy(*KEYS, "tail_pct").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("state") == s).alias(f"s{s}") for s in states])
     return g.select(*KEYS, "tail_pct", "n", F.inline(F.array(

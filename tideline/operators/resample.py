@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.blocks import over_chunks, running
+from ..functions.blocks import lookup, over_chunks, running
 from ..functions.columns import micros, safe_div, slot, slot_start
 
 KEYS = ("series_id",)
@@ -119,7 +119,7 @@ def nearest_row(df: DataFrame, at) -> DataFrame:
     ts = F.when(F.col("_hi").isNull() | (gap_lo <= gap_hi), F.col("_lo")).otherwise(F.col("_hi"))
     ts = F.when(F.col("_lo").isNull(), F.col("_hi")).otherwise(ts)
     pick = best.select("series_id", ts.alias("ts"), (ts == t).alias("exact"))
-    return df.join(pick, ["series_id", "ts"])
+    return lookup(df, pick, ["series_id", "ts"])
 
 
 def lagged(df: DataFrame, exprs, before: int, after: int = 0) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.blocks import lookup
 from ..functions.columns import clip
 from ..functions.ordered import long_form, percentiles
 
@@ -18,7 +19,7 @@ def winsor_fit(df: DataFrame, cols, low: float = 0.01, high: float = 0.99) -> Da
 
 
 def winsor_apply(df: DataFrame, bounds: DataFrame, cols) -> DataFrame:
-    j = df.join(bounds, "series_id", "left")
+    j = lookup(df, bounds, KEYS, "left")
     return j.withColumns({c: clip(c, f"{c}_lo", f"{c}_hi") for c in cols}).drop(*[f"{c}_{o}" for c in cols for o in ("lo", "hi")])
 
 
@@ -32,7 +33,7 @@ def scaler_fit(df: DataFrame, cols, keys=KEYS) -> DataFrame:
 
 
 def scaler_apply(df: DataFrame, scaler: DataFrame, cols, keys=KEYS) -> DataFrame:
-    j = df.join(scaler, list(keys))
+    j = lookup(df, scaler, keys)
     return j.withColumns({c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd") for c in cols}).drop(
         *[f"{c}_{o}" for c in cols for o in ("mean", "sd")])
 
@@ -42,7 +43,7 @@ def expanding_scalers(df: DataFrame, cols, fold: str = "fold") -> DataFrame:
 
     Sums are taken around the per-series mean so that the variance does not cancel."""
     centre = df.groupBy(*KEYS).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    d = df.join(centre, list(KEYS))
+    d = lookup(df, centre, KEYS)
     aggs = [F.count(F.lit(1)).alias("_n"), *[F.max(f"_m_{c}").alias(f"_m_{c}") for c in cols]]
     for c in cols:
         x = F.col(c) - F.col(f"_m_{c}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.blocks import running
+from ..functions.blocks import lookup, running
 from ..functions.columns import safe_div
 from ..functions.ordered import percentiles, ranked
 from .metrics import roc_auc
@@ -219,7 +219,7 @@ def state_kurtosis(rows: DataFrame, keys, cols) -> DataFrame:
     d = unpivot(rows, keys, {c: c for c in cols}, "feature", "x").filter("x IS NOT NULL")
     k = [*keys, "feature"]
     med = percentiles(d, k, "x", {"med": 0.5}).drop("n_all")
-    dev = d.join(med, k).withColumn("dev", F.abs(F.col("x") - F.col("med")))
+    dev = lookup(d, med, k).withColumn("dev", F.abs(F.col("x") - F.col("med")))
     mad = percentiles(dev, k, "dev", {"mad": 0.5}).drop("n_all")
     g = d.groupBy(*k).agg(F.count("x").alias("n"), F.kurtosis("x").alias("excess_kurtosis"), F.var_pop("x").alias("variance"))
     robust = (F.col("mad") * 1.4826) ** 2

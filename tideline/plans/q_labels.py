@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.blocks import chunk_of, stage
+from ..functions.blocks import chunk_of, lookup, stage
 from ..functions.columns import full
 from ..operators import audits, folds as fo, labels as lb, metrics as mt
 from ..sources.tables import table
@@ -100,7 +100,7 @@ lab AS (SELECT v.*, epsilon, coalesce(is_trending AND abs(fwd_2) > epsilon, fals
 def labelled(spark, folder):
     v = stage(inp.valid_rows(spark, folder))
     eps = lb.deadband(v.filter("is_trending AND fwd_2 IS NOT NULL"), "fwd_2", keys=inp.KEYS)
-    return lb.persistence(v.join(eps, "series_id"), "fwd_2", F.col("epsilon"))
+    return lb.persistence(lookup(v, eps, inp.KEYS), "fwd_2", F.col("epsilon"))
 
 
 @query("persistence_label", "series_id ts:t usable:b label:l", LABEL + "SELECT * FROM lab")
@@ -128,7 +128,7 @@ def voladj_label(spark, folder):
     v = stage(with_past_vol(spark, folder)).withColumn("m", F.expr("fwd_2 / nullif(past_vol, 0)"))
     train = v.filter("is_trending AND m IS NOT NULL AND ts < TIMESTAMP_NTZ'2024-01-22 00:00:00'")
     k = lb.deadband(train, "m", keys=inp.KEYS).withColumnRenamed("epsilon", "k")
-    return lb.vol_adjusted(v.join(k, "series_id"), "fwd_2", "past_vol", F.col("k"))
+    return lb.vol_adjusted(lookup(v, k, inp.KEYS), "fwd_2", "past_vol", F.col("k"))
 
 
 @query("adaptive_label", "series_id ts:t norm_move:d label:l", PAST + """;;

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.blocks import stage
+from ..functions.blocks import lookup, stage
 from ..functions.columns import safe_div
 from ..operators import gaps, metrics as mt, stats as st
 from ..sources.tables import table
@@ -175,7 +175,7 @@ def fold_label_join(spark, folder):
 
     v = stage(inp.valid_rows(spark, folder).select("series_id", "ts", "fold", "state", "px_z"))
     labels = v.groupBy("fold", "state").agg(F.avg("px_z").alias("m"))
-    return v.join(labels.withColumn("fold_label", three_way("m", 0.3, "Downtrend", "Ranging", "Uptrend")).drop("m"), ["fold", "state"])
+    return lookup(v, labels.withColumn("fold_label", three_way("m", 0.3, "Downtrend", "Ranging", "Uptrend")).drop("m"), ["fold", "state"])
 
 
 @query("prev_next_context", "series_id state:l prev_state:l next_state:l n_bars:l", """

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship
 from .oracle import BASE
 
 _SPARK = {
@@ -35,6 +36,7 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
         return self.run(spark, folder).select(*[_SPARK[k](c).alias(c) for c, k in self.columns])
 
     def oracle(self) -> str | None:

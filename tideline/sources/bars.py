@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.blocks import running
+from ..functions.blocks import lookup, running
 from ..functions.columns import slot
 from ..schemas import BAR
 
@@ -76,7 +76,7 @@ def duplicate_times(rows: DataFrame, keys=("series_id", "ts")) -> DataFrame:
 def new_feature_rows(bars: DataFrame, done: DataFrame, build, halo_slots: int) -> DataFrame:
     """Rows to append: per series, bars after the last stored one, computed with a look-back halo."""
     mark = done.groupBy("series_id").agg(F.max("pos").alias("_mark"))
-    fresh = bars.join(mark, "series_id", "left").filter(
+    fresh = lookup(bars, mark, KEYS, "left").filter(
         F.col("_mark").isNull() | (F.col("pos") > F.col("_mark") - halo_slots))
     return build(fresh).filter(F.col("_mark").isNull() | (F.col("pos") > F.col("_mark"))).drop("_mark")
 
