@@ -53,7 +53,13 @@ def main():
     from tideline.session import local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
-    parts = sys.argv[2:]
+    parts = [a for a in sys.argv[2:] if not a.startswith("--")]
+    for a in sys.argv[2:]:
+        if a.startswith("--chunk="):  # many small chunks, to exercise halos and carries
+            from tideline.functions import blocks
+            from tideline.operators import hmm
+
+            blocks.CHUNK = hmm.CHUNK = int(a.split("=")[1])
     folder = f"/root/testdata/sf{sf}"
     spark, con = local_session(), duck(folder)
     bad = 0

@@ -13,7 +13,17 @@ def col(x) -> Column:
 
 def micros(ts: str = "ts") -> Column:
     """Microseconds since the epoch of a zone-less timestamp (independent of the session zone)."""
-    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {ts})")
+    return F.expr(f"({ts} - {EPOCH}) div INTERVAL '0.000001' SECOND")
+
+
+def since(origin: str, ts: str = "ts") -> Column:
+    """Microseconds since a zone-less origin."""
+    return F.expr(f"({ts} - TIMESTAMP_NTZ'{origin}') div INTERVAL '0.000001' SECOND")
+
+
+def periods(origin: str, days: int, ts: str = "ts") -> Column:
+    """Number of the period of so many days since the origin, negative before it."""
+    return F.floor(since(origin, ts) / F.lit(days * 86_400_000_000)).cast("long")
 
 
 def slot(minutes: int, ts: str = "ts") -> Column:

@@ -26,8 +26,13 @@ def ranked(df, keys, x: str, aggs: dict[str, Column], reverse: bool = False) ->
     """One row per distinct value with, for each aggregate a, a, a_before (sum over smaller values,
     or larger ones when reverse) and a_all."""
     vals = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(*[c.alias(n) for n, c in aggs.items()])
+    return cumulate(vals, keys, x, aggs, reverse)
+
+
+def cumulate(vals, keys, x: str, names, reverse: bool = False) -> DataFrame:
+    """ranked() for a table that already has one row per distinct value."""
     specs = {}
-    for n in aggs:
+    for n in names:
         specs[f"{n}_before"] = ("sum", n, "before")
         specs[f"{n}_all"] = ("total", n)
     return running(vals, keys, (x,), value_bin(x), reverse, **specs)

@@ -122,8 +122,8 @@ def ema_features(bars: DataFrame, fast: int, slow: int, lag: int) -> DataFrame:
     e = bars.join(ema(bars, (fast, slow)), ["series_id", "pos"])
     f, s = F.col(f"ema_{fast}"), F.col(f"ema_{slow}")
     return over_chunks(e, KEYS, lambda d, w: d.withColumns({
-        "ema_dist_fast": F.log(F.col("close") / f), "ema_dist_slow": F.log(F.col("close") / s),
-        "ema_slope_fast": F.log(f / back(f, w, lag))}), before=lag)
+        "ema_dist_fast": F.log(safe_div("close", f)), "ema_dist_slow": F.log(safe_div("close", s)),
+        "ema_slope_fast": F.log(safe_div(f, back(f, w, lag)))}), before=lag)
 
 
 def blend_scores(d: DataFrame, fine: str, fine_conf: str, coarse: str, coarse_conf: str) -> DataFrame:

@@ -14,14 +14,17 @@ from ..functions.ordered import percentiles, ranked
 POS, NEG = "label = 1", "label = 0"
 
 
-def _counts(weight: str | None = None) -> dict[str, Column]:
-    one = F.col(weight) if weight else F.lit(1)
-    return {"p": F.sum(F.when(F.expr(POS), one).otherwise(0)), "q": F.sum(F.when(F.expr(NEG), one).otherwise(0))}
+def _counts() -> dict[str, Column]:
+    return {"p": F.count_if(F.expr(POS)), "q": F.count_if(F.expr(NEG))}
 
 
-def roc_auc(rows: DataFrame, keys, score: str = "score", weight: str | None = None) -> DataFrame:
+def roc_auc(rows: DataFrame, keys, score: str = "score") -> DataFrame:
     """Share of (positive, negative) pairs ordered correctly, ties half; null with one class only."""
-    r = ranked(rows.filter("label IS NOT NULL"), keys, score, _counts(weight))
+    return auc_of(ranked(rows.filter("label IS NOT NULL"), keys, score, _counts()), keys)
+
+
+def auc_of(r: DataFrame, keys) -> DataFrame:
+    """AUC from positives p and negatives q per distinct score, with q_before, p_all and q_all."""
     won = F.sum(F.col("p").cast("double") * (F.col("q_before") + F.col("q") / 2))
     return r.groupBy(*keys).agg(F.max("p_all").alias("n_pos"), F.max("q_all").alias("n_neg"), won.alias("_w")).withColumn(
         "auc", safe_div("_w", F.col("n_pos").cast("double") * F.col("n_neg"))).drop("_w")
@@ -131,7 +134,7 @@ def adjusted_rand(pairs: DataFrame, keys, a: str, b: str) -> DataFrame:
     nij = c.groupBy(*keys).agg(F.sum(two(F.col("n"))).alias("_ij"), F.sum("n").alias("_n"))
     side = lambda s, o: c.groupBy(*keys, s).agg(F.sum("n").alias("_m")).groupBy(*keys).agg(F.sum(two(F.col("_m"))).alias(o))
     j = nij.join(side(a, "_a"), list(keys)).join(side(b, "_b"), list(keys))
-    expected = F.col("_a") * F.col("_b") / two(F.col("_n"))
+    expected = safe_div(F.col("_a") * F.col("_b"), two(F.col("_n")))
     return j.select(*keys, F.col("_n").cast("long").alias("n"), safe_div(
         F.col("_ij") - expected, (F.col("_a") + F.col("_b")) / 2 - expected).alias("ari"))
 
@@ -145,7 +148,7 @@ def effect_size(rows: DataFrame, keys, in_first: Column, x: str) -> DataFrame:
     g = d.groupBy(*keys).agg(F.count(one).alias("n1"), F.count(two).alias("n2"), F.avg(one).alias("mean1"), F.avg(two).alias("mean2"),
                              F.var_samp(one).alias("_v1"), F.var_samp(two).alias("_v2"),
                              F.avg((one > 0).cast("double")).alias("_p1"), F.avg((two > 0).cast("double")).alias("_p2"))
-    pooled = F.sqrt(((F.col("n1") - 1) * F.col("_v1") + (F.col("n2") - 1) * F.col("_v2")) / (F.col("n1") + F.col("n2") - 2))
+    pooled = F.sqrt(safe_div((F.col("n1") - 1) * F.col("_v1") + (F.col("n2") - 1) * F.col("_v2"), F.col("n1") + F.col("n2") - 2))
     return g.join(med, list(keys)).select(
         *keys, "n1", "n2", "mean1", "mean2", (F.col("mean1") - F.col("mean2")).alias("mean_diff"),
         (F.col("_m1") - F.col("_m2")).alias("median_diff"), (F.col("_p1") - F.col("_p2")).alias("positive_diff"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.blocks import lookup, over_chunks, running
-from ..functions.columns import micros, safe_div, slot, slot_start
+from ..functions.columns import micros, safe_div, since, slot, slot_start
 
 KEYS = ("series_id",)
 
@@ -114,8 +114,7 @@ def nearest_row(df: DataFrame, at) -> DataFrame:
     t = F.lit(at).cast("timestamp_ntz")
     best = df.groupBy("series_id").agg(
         F.max(F.when(F.col("ts") <= t, F.col("ts"))).alias("_lo"), F.min(F.when(F.col("ts") >= t, F.col("ts"))).alias("_hi"))
-    gap_lo, gap_hi = F.expr(f"timestampdiff(MICROSECOND, _lo, TIMESTAMP_NTZ'{at}')"), F.expr(
-        f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{at}', _hi)")
+    gap_lo, gap_hi = -since(at, "_lo"), since(at, "_hi")
     ts = F.when(F.col("_hi").isNull() | (gap_lo <= gap_hi), F.col("_lo")).otherwise(F.col("_hi"))
     ts = F.when(F.col("_lo").isNull(), F.col("_hi")).otherwise(ts)
     pick = best.select("series_id", ts.alias("ts"), (ts == t).alias("exact"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import micros
+
 
 def _t(x):
     return F.lit(x).cast("timestamp_ntz")
 
 
 def unix(c: str):
-    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
+    return F.floor(micros(c) / 1_000_000).cast("long")
 
 
 def _within(df: DataFrame, start, end, lo: str, hi: str) -> DataFrame:

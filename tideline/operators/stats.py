@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.blocks import lookup, running
 from ..functions.columns import safe_div
-from ..functions.ordered import percentiles, ranked
-from .metrics import roc_auc
+from ..functions.ordered import cumulate, percentiles, ranked
+from .metrics import auc_of
 
 PCT = 100.0
 
@@ -171,11 +173,14 @@ def bootstrap_auc(rows: DataFrame, keys, replicates: int, seed: int = 42) -> Dat
     """Percentile interval of the AUC. Rows are first reduced to counts per distinct score and label; a
     resample then draws a Poisson count per cell (a sum of n Poisson(1) draws is Poisson(n)), by
     inverting the distribution on a hash-based uniform so that a retry repeats it."""
-    cells = rows.filter("label IS NOT NULL").groupBy(*keys, "score", "label").agg(F.count(F.lit(1)).alias("_n"))
+    cells = rows.filter("label IS NOT NULL").groupBy(*keys, "score").agg(
+        F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_q"))
     rep = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = rep.withColumn("_w", poisson(F.col("_n"), hash_uniform("replicate", "score", "label", F.lit(seed)),
-                                         hash_uniform("score", "label", "replicate", F.lit(seed + 1)))).filter("_w > 0")
-    a = roc_auc(drawn, [*keys, "replicate"], weight="_w").filter("auc IS NOT NULL")
+    draw = lambda c, tag: F.when(F.col(c) > 0, poisson(F.col(c), hash_uniform("replicate", "score", F.lit(f"{tag}{seed}")),
+                                                       hash_uniform("score", "replicate", F.lit(f"{tag}{seed}")))).otherwise(0)
+    drawn = rep.withColumns({"p": draw("_p", "p"), "q": draw("_q", "q")}).drop("_p", "_q").filter("p + q > 0")
+    k = [*keys, "replicate"]
+    a = auc_of(cumulate(drawn, k, "score", ("p", "q")), k).filter("auc IS NOT NULL")
     p = percentiles(a, keys, "auc", {"lo": 0.025, "hi": 0.975}, {"mean_auc": F.sum(F.col("auc") * F.col("n")) / F.sum("n")})
     return p.withColumnRenamed("n_all", "n_replicates")
 
@@ -185,15 +190,33 @@ def hash_uniform(*cols) -> Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
 
 
+def _poisson_steps(lam: int) -> list[float]:
+    """Cumulative probabilities up to where the rest is below double precision."""
+    p = c = math.exp(-lam)
+    steps, k = [c], 0
+    while c < 1 - 1e-15 and k < 80:
+        k += 1
+        p *= lam / k
+        c += p
+        steps.append(c)
+    return steps
+
+
+def poisson_one(u: Column) -> Column:
+    draw = F.lit(0)
+    for k, c in enumerate(_poisson_steps(1)):
+        draw = F.when(u > c, k + 1).otherwise(draw)
+    return draw
+
+
 def poisson(lam: Column, u: Column, v: Column, exact_to: int = 12) -> Column:
-    """Poisson(lam) draw: inversion up to lam = exact_to, rounded normal (Box-Muller) beyond."""
-    terms = F.sequence(F.lit(0), F.lit(60))
-    cdf = F.aggregate(terms, F.struct(F.lit(0).alias("k"), F.exp(-lam.cast("double")).alias("p"), F.exp(-lam.cast("double")).alias("c")),
-                      lambda s, i: F.when(u <= s["c"], s).otherwise(F.struct(
-                          (s["k"] + 1).alias("k"), (s["p"] * lam / (s["k"] + 1)).alias("p"),
-                          (s["c"] + s["p"] * lam / (s["k"] + 1)).alias("c"))))
-    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.lit(3.141592653589793) * v)
-    return F.when(lam <= exact_to, cdf["k"]).otherwise(F.greatest(F.round(lam + z * F.sqrt(lam)), F.lit(0)).cast("int")).cast("long")
+    """Poisson(lam) draw for whole lam: inversion by fixed tables up to exact_to, rounded normal beyond.
+    lam = 1, the usual case, is a plain comparison chain."""
+    tables = F.array(*[F.array(*[F.lit(c) for c in _poisson_steps(i)]) for i in range(1, exact_to + 1)])
+    small = F.size(F.filter(F.element_at(tables, lam.cast("int")), lambda c: c < u))
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.lit(math.pi) * v)
+    large = F.greatest(F.round(lam + z * F.sqrt(lam)), F.lit(0))
+    return F.when(lam == 1, poisson_one(u)).when(lam <= exact_to, small).otherwise(large).cast("long")
 
 
 def block_bootstrap(rows: DataFrame, keys, in_first: Column, x: str, block: int, replicates: int, seed: int = 42) -> DataFrame:
@@ -205,7 +228,7 @@ def block_bootstrap(rows: DataFrame, keys, in_first: Column, x: str, block: int,
     blocks = d.groupBy(*keys, F.floor(F.col("pos") / block).alias("_b")).agg(
         F.sum(one).alias("_s1"), F.count(one).alias("_n1"), F.sum(two).alias("_s2"), F.count(two).alias("_n2"))
     rep = blocks.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    w = poisson(F.lit(1), hash_uniform("replicate", "_b", *keys, F.lit(seed)), F.lit(0.5))
+    w = poisson_one(hash_uniform("replicate", "_b", *keys, F.lit(seed)))
     rep = rep.withColumn("_w", w).filter("_w > 0")
     s = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("_w"))
     g = rep.groupBy(*keys, "replicate").agg(safe_div(s("_s1"), s("_n1")).alias("_m1"), safe_div(s("_s2"), s("_n2")).alias("_m2"))
@@ -237,6 +260,6 @@ def paired_tests(deltas: DataFrame, delta: str, order: str) -> DataFrame:
     x = F.col(delta)
     g = d.withColumn("_k", F.lit(1)).join(half, "_k").groupBy("_k").agg(
         F.count(x).alias("n"), F.count_if(x > 0).alias("wins"), F.avg(x).alias("mean"),
-        (F.avg(x) / (F.stddev_samp(x) / F.sqrt(F.count(x)))).alias("t_stat"),
+        safe_div(F.avg(x), F.stddev_samp(x) / F.sqrt(F.count(x))).alias("t_stat"),
         F.avg(F.when(F.col(order) <= F.col("_h"), x)).alias("first_half"), F.avg(F.when(F.col(order) > F.col("_h"), x)).alias("second_half"))
     return g.join(w, "_k").drop("_k")

@@ -39,7 +39,7 @@ def pivot_features(events: DataFrame) -> DataFrame:
     order, chunk = ("pivot_pos", "kind"), chunk_of("pivot_pos")
     e = running(events, ("series_id", "kind"), ("pivot_pos",), chunk, prev=("last", "price", "before"))
     up, down = F.col("price") > F.col("prev"), F.col("price") < F.col("prev")
-    rise, fall = F.log(F.col("price") / F.col("prev")), F.log(F.col("prev") / F.col("price"))
+    rise, fall = F.log(safe_div("price", "prev")), F.log(safe_div("prev", "price"))
     high, low = F.col("kind") == "H", F.col("kind") == "L"
     e = e.withColumns({
         "hh_strength": F.when(high & up, rise).otherwise(0.0), "lh_strength": F.when(high & down, fall).otherwise(0.0),
@@ -49,11 +49,12 @@ def pivot_features(events: DataFrame) -> DataFrame:
     e = running(e, KEYS, order, chunk, dir_h=("last", F.when(high, lean)), dir_l=("last", F.when(low, lean)),
                 ev=("sum", F.lit(1).cast("long")), moves=("sum", F.abs("lean")))
     e = e.withColumn("direction", F.when(F.col("dir_h") == F.col("dir_l"), F.col("dir_h")).otherwise(0)).drop("dir_h", "dir_l")
+    
     # impulse and pullback over the last three pivots of either kind
     def three(d, w):
         p1, p0 = F.lag("price", 1).over(w), F.lag("price", 2).over(w)
-        imp = F.abs(F.log(p1 / p0))
-        return d.withColumns({"impulse": imp, "pullback": safe_div(F.abs(F.log(F.col("price") / p1)), imp)})
+        imp = F.abs(F.log(safe_div(p1, p0)))
+        return d.withColumns({"impulse": imp, "pullback": safe_div(F.abs(F.log(safe_div("price", p1))), imp)})
 
     e = over_chunks(e, KEYS, three, before=2, pos="ev")
     # consistency: the last eight moves, numbered by `moves`, then carried over unmoved pivots
@@ -100,8 +101,8 @@ def breaks(d: DataFrame) -> DataFrame:
     d = d.withColumns({"bos_up": up, "bos_down": down})
     both = lambda want, b: F.when(prior.isNotNull() & F.col(b).isNotNull(), ((prior == want) & (F.col(b) == 1)).cast("long"))
     return d.withColumns({"choch_up": both(-1, "bos_up"), "choch_down": both(1, "bos_down"),
-                          "dist_swing_high": F.log(F.col("close") / F.col("high_level")),
-                          "dist_swing_low": F.log(F.col("close") / F.col("low_level"))})
+                          "dist_swing_high": F.log(safe_div("close", "high_level")),
+                          "dist_swing_low": F.log(safe_div("close", "low_level"))})
 
 
 def structure_age(d: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.blocks import over_chunks
-from ..functions.columns import ahead, three_way
+from ..functions.blocks import over_chunks, stage
+from ..functions.columns import ahead, periods, three_way
 from ..operators import features as ft, gaps, resample as rs
 from ..sources.tables import table
 
@@ -14,13 +14,18 @@ KEYS = ("series_id",)
 STATE_CUT = 0.5
 HORIZONS = (1, 2, 4)
 REACH = ft.LOOKBACK + 1
-WEEK0 = "TIMESTAMP_NTZ'2024-01-08 00:00:00'"
+WEEK0 = "2024-01-08 00:00:00"
 
 
 def bars(spark: SparkSession, folder: str, minutes: int = MINUTES) -> DataFrame:
     return rs.tick_bars(table(spark, folder, "events"), minutes)
 
 
+def bar_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The bars written once, for whatever reads them more than once: the event table is scanned one time."""
+    return stage(bars(spark, folder))
+
+
 def with_features(d, w):
     return ft.add_base(d, w).withColumn("px_z", ft.rolling_zscore("avg_price", w, ft.SPAN))
 
@@ -37,15 +42,17 @@ def state_columns(cut: float = STATE_CUT) -> dict:
 
 def week_fold():
     """Weekly test folds after one week of warm-up; rows of the warm-up get a negative number."""
-    return F.floor(F.expr(f"timestampdiff(SECOND, {WEEK0}, ts)") / 604_800).cast("long")
+    return periods(WEEK0, 7)
 
 
-def featured(spark, folder, minutes: int = MINUTES) -> DataFrame:
+def featured(spark, folder, source: DataFrame | None = None) -> DataFrame:
     """All bars with the base features (null where undefined). One shuffle after the bars."""
-    return over_chunks(bars(spark, folder, minutes), KEYS, with_features, before=ft.LOOKBACK)
+    source = bars(spark, folder) if source is None else source
+    return over_chunks(source, KEYS, with_features, before=ft.LOOKBACK)
 
 
-def valid_rows(spark, folder, then=None, before: int = 0, after: int = max(HORIZONS), minutes: int = MINUTES) -> DataFrame:
+def valid_rows(spark, folder, then=None, before: int = 0, after: int = max(HORIZONS), minutes: int = MINUTES,
+               source: DataFrame | None = None) -> DataFrame:
     """Valid rows with state, fold and forward returns, in the same shuffle as the features.
 
     ``then(d, w)`` may add further bounded windows over the valid rows (before / after slots)."""
@@ -55,12 +62,13 @@ def valid_rows(spark, folder, then=None, before: int = 0, after: int = max(HORIZ
         d = d.withColumns({f"fwd_{h}": ahead(F.log("close"), w, h) - F.log("close") for h in HORIZONS})
         return then(d, w) if then else d
 
-    return over_chunks(bars(spark, folder, minutes), KEYS, work, before=REACH + before, after=after)
+    source = bars(spark, folder, minutes) if source is None else source
+    return over_chunks(source, KEYS, work, before=REACH + before, after=after)
 
 
-def marked(spark, folder, across_gaps: bool = False) -> DataFrame:
-    """Valid rows with segment and run marks."""
-    return gaps.mark_runs(valid_rows(spark, folder), across_gaps=across_gaps).withColumn(
+def marked(spark, folder, source: DataFrame | None = None) -> DataFrame:
+    """Valid rows with segment and run marks. Marking reads its input twice, hence the written table."""
+    return gaps.mark_runs(stage(valid_rows(spark, folder, source=source))).withColumn(
         "duration", gaps.running_duration(None)).withColumn("left_censored", gaps.left_censored())
 
 

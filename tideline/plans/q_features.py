@@ -63,7 +63,7 @@ base("updown_asymmetry", "asym_6:d")
 
 @query("ema", "series_id ts:t ema_3:d ema_8:d", EMA_SQL.rstrip().rstrip(",") + ";; SELECT * FROM em WHERE close IS NOT NULL")
 def ema(spark, folder):
-    b = inp.bars(spark, folder)
+    b = inp.bar_table(spark, folder)
     return b.select("series_id", "pos", "ts").join(ft.ema(b, (3, 8)), ["series_id", "pos"])
 
 
@@ -77,12 +77,12 @@ SELECT * FROM ef WHERE close IS NOT NULL"""
 
 @query("ema_distance", "series_id ts:t ema_dist_fast:d ema_dist_slow:d", EMA_FEATURES)
 def ema_distance(spark, folder):
-    return ft.ema_features(inp.bars(spark, folder), 3, 8, 2)
+    return ft.ema_features(inp.bar_table(spark, folder), 3, 8, 2)
 
 
 @query("ema_slope", "series_id ts:t ema_slope_fast:d", EMA_FEATURES)
 def ema_slope(spark, folder):
-    return ft.ema_features(inp.bars(spark, folder), 3, 8, 2)
+    return ft.ema_features(inp.bar_table(spark, folder), 3, 8, 2)
 
 
 @query("feature_sets", "feature_set series_id n_valid:l mean_ret:d", EMA_SQL + """
@@ -95,8 +95,9 @@ UNION ALL SELECT 'base+ema_8', series_id, count(*), avg(ret_1) FROM k WHERE h8 G
 UNION ALL SELECT 'base+both', series_id, count(*), avg(ret_1) FROM k WHERE h3 AND h8 GROUP BY 2""")
 def feature_sets(spark, folder):
     """Rows valid under each of four feature sets, counted in one pass."""
-    v = inp.valid_rows(spark, folder).select("series_id", "pos", "ret_1")
-    d = v.join(ft.ema(inp.bars(spark, folder), (3, 8)), ["series_id", "pos"])
+    b = inp.bar_table(spark, folder)
+    v = inp.valid_rows(spark, folder, source=b).select("series_id", "pos", "ret_1")
+    d = v.join(ft.ema(b, (3, 8)), ["series_id", "pos"])
     h3, h8 = F.col("ema_3").isNotNull(), F.col("ema_8").isNotNull()
     sets = F.array_compact(F.array(F.lit("base"), F.when(h3, F.lit("base+ema_3")), F.when(h8, F.lit("base+ema_8")),
                                    F.when(h3 & h8, F.lit("base+both"))))
@@ -118,7 +119,7 @@ q AS (SELECT series_id, quantile_cont(volume, 0.01) AS vlo, quantile_cont(volume
 
 @query("winsor_fit", "series_id vlo:d vhi:d olo:d ohi:d", QUANT + "SELECT * FROM q")
 def winsor_fit(spark, folder):
-    b = sc.winsor_fit(inp.bars(spark, folder), ("volume", "ofi"))
+    b = sc.winsor_fit(inp.bar_table(spark, folder), ("volume", "ofi"))
     return b.select("series_id", F.col("volume_lo").alias("vlo"), F.col("volume_hi").alias("vhi"),
                     F.col("ofi_lo").alias("olo"), F.col("ofi_hi").alias("ohi"))
 
@@ -126,7 +127,7 @@ def winsor_fit(spark, folder):
 @query("winsor_apply", "series_id ts:t volume:d ofi:d", QUANT + """
 SELECT series_id, ts, greatest(least(volume, vhi), vlo) AS volume, greatest(least(ofi, ohi), olo) AS ofi FROM bars JOIN q USING (series_id)""")
 def winsor_apply(spark, folder):
-    b = inp.bars(spark, folder)
+    b = inp.bar_table(spark, folder)
     return sc.winsor_apply(b, sc.winsor_fit(b, ("volume", "ofi")), ("volume", "ofi"))
 
 
@@ -136,7 +137,7 @@ q AS (SELECT series_id, quantile_cont(volume, 0.01) AS lo, quantile_cont(volume,
 SELECT series_id, ts, greatest(least(volume, hi), lo) AS volume FROM bars JOIN q USING (series_id)""")
 def winsor_train_only(spark, folder):
     """Bounds from the training slice only, so that later rows cannot move earlier features."""
-    b = inp.bars(spark, folder)
+    b = inp.bar_table(spark, folder)
     train = b.filter("ts < TIMESTAMP_NTZ'2024-01-15 00:00:00'")
     return sc.winsor_apply(b, sc.winsor_fit(train, ("volume",)), ("volume",))
 
@@ -147,14 +148,14 @@ q AS (SELECT series_id, quantile_cont(vol_change, 0.01) AS lo, quantile_cont(vol
 SELECT series_id, ts, CASE WHEN vol_change IS NOT NULL THEN greatest(least(vol_change, hi), lo) END AS vol_change
 FROM f2 JOIN q USING (series_id) WHERE close IS NOT NULL""")
 def volume_change(spark, folder):
-    d = inp.featured(spark, folder).select("series_id", "ts", "vol_change")
+    d = stage(inp.featured(spark, folder).select("series_id", "ts", "vol_change"))
     return sc.winsor_apply(d, sc.winsor_fit(d, ("vol_change",)), ("vol_change",))
 
 
 @query("order_flow", "series_id ts:t ofi:d", QUANT + """
 SELECT series_id, ts, greatest(least(ofi, ohi), olo) AS ofi FROM bars JOIN q USING (series_id)""")
 def order_flow(spark, folder):
-    d = inp.bars(spark, folder).withColumn("ofi", F.col("buy_vol") - F.col("sell_vol"))
+    d = inp.bar_table(spark, folder).withColumn("ofi", F.col("buy_vol") - F.col("sell_vol"))
     return sc.winsor_apply(d, sc.winsor_fit(d, ("ofi",)), ("ofi",))
 
 
@@ -210,7 +211,8 @@ def causal_volatility(spark, folder):
 SELECT series_id, ts, sum(CASE WHEN new_segment THEN 0 ELSE ret_1 END) OVER (PARTITION BY series_id, seg_no ORDER BY pos) AS rel_price FROM valid""")
 def relative_log_price(spark, folder):
     """Running sum of returns inside a segment, its first return set to 0: difference of one series-wide running sum."""
-    d = inp.valid_rows(spark, folder, lambda d, w: d.withColumn("new_segment", gaps.new_segment(w)), before=1)
+    d = stage(inp.valid_rows(spark, folder, lambda d, w: d.withColumn("new_segment", gaps.new_segment(w)), before=1).select(
+        "series_id", "pos", "ts", "ret_1", "new_segment"))
     step = F.when(F.col("new_segment"), 0.0).otherwise(F.col("ret_1"))
     d = running(d, inp.KEYS, total=("sum", step))
     d = running(stage(d.select("series_id", "pos", "ts", "new_segment", "total")), inp.KEYS,
@@ -240,7 +242,7 @@ h2 AS (SELECT *, sum(CAST(nf AS INT)) OVER (PARTITION BY series_id ORDER BY pos)
 SELECT series_id, ts, row_number() OVER i AS age, ln(1 + row_number() OVER i) AS log_age FROM h2 WINDOW i AS (PARTITION BY series_id, island ORDER BY pos)""")
 def bars_since_flip(spark, folder):
     d = over_chunks(inp.bars(spark, folder), inp.KEYS, lambda d, w: ft.trend_features(ft.add_base(d, w), w), before=ft.TREND_REACH)
-    d = d.select("series_id", "pos", "ts", F.coalesce(F.signum("structure_score"), F.lit(0.0)).alias("sg"))
+    d = stage(d.select("series_id", "pos", "ts", F.coalesce(F.signum("structure_score"), F.lit(0.0)).alias("sg")))
     m = gaps.mark_runs(d, "sg").withColumn("age", gaps.running_duration(None))
     return m.withColumn("log_age", F.log1p("age"))
 
@@ -252,10 +254,11 @@ j AS (SELECT v.series_id, v.ts, v.px_z, v.confidence, c.c_score, c.c_conf FROM v
 SELECT series_id, ts, 0.6 * px_z + 0.4 * c_score AS mtf_raw, 0.6 * px_z * confidence + 0.4 * c_score * c_conf AS mtf_weighted,
  CASE WHEN 0.6 * px_z + 0.4 * c_score > 0.3 THEN 1 WHEN 0.6 * px_z + 0.4 * c_score < -0.3 THEN -1 ELSE 0 END AS mtf_bin FROM j""")
 def mtf_score(spark, folder):
-    fine = inp.valid_rows(spark, folder).select("series_id", "ts", "pos", "px_z", "confidence")
-    c = rs.resample_bars(inp.bars(spark, folder), 360, 60).select(
+    b = inp.bar_table(spark, folder)
+    fine = inp.valid_rows(spark, folder, source=b).select("series_id", "ts", "pos", "px_z", "confidence")
+    c = rs.resample_bars(b, 360, 60).select(
         "series_id", "pos", F.expr("timestampadd(HOUR, 6, ts)").alias("available_at"),
-        F.log(F.col("close") / F.col("open")).alias("c_score"), safe_div(F.abs("ofi"), "volume").alias("c_conf"))
+        F.log(safe_div("close", "open")).alias("c_score"), safe_div(F.abs("ofi"), "volume").alias("c_conf"))
     week = F.floor(micros("_t") / F.lit(7 * 86_400_000_000)).cast("long")
     j = rs.asof_backward(fine, c, ["series_id"], "ts", "available_at", ["c_score", "c_conf"], week, "pos")
     return ft.blend_scores(j, "px_z", "confidence", "c_score", "c_conf")
@@ -268,8 +271,9 @@ SELECT g.series_id, count(*) AS n, count(*) FILTER (WHERE structure_score IS NUL
 FROM valid v JOIN g ON g.series_id = v.series_id AND g.pos = v.pos GROUP BY 1""")
 def expanded_matrix(spark, folder):
     """Structure columns joined on the base table; the join may not change the row count."""
-    v = inp.valid_rows(spark, folder).select("series_id", "pos", "ret_1")
-    t = over_chunks(inp.bars(spark, folder), inp.KEYS, lambda d, w: ft.trend_features(ft.add_base(d, w), w),
+    b = inp.bar_table(spark, folder)
+    v = inp.valid_rows(spark, folder, source=b).select("series_id", "pos", "ret_1")
+    t = over_chunks(b, inp.KEYS, lambda d, w: ft.trend_features(ft.add_base(d, w), w),
                     before=ft.TREND_REACH).select("series_id", "pos", "structure_score", "eff_long")
     return v.join(t, ["series_id", "pos"], "left").groupBy("series_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("structure_score").isNull()).alias("null_structure"),

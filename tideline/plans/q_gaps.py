@@ -14,11 +14,11 @@ MASK = "max(CASE WHEN coalesce(volume, 0) = 0 THEN 1 ELSE 0 END) OVER (PARTITION
 
 @query("validity_mask", "series_id ts:t volume:d valid:b", f"SELECT series_id, ts, coalesce(volume, 0) AS volume, {MASK} AS valid FROM dense")
 def validity_mask(spark, folder):
-    return gaps.validity_mask(rs.fill_grid(inp.bars(spark, folder), inp.MINUTES), 6)
+    return gaps.validity_mask(rs.fill_grid(inp.bar_table(spark, folder), inp.MINUTES), 6)
 
 
 def _masked(spark, folder):
-    dense = rs.fill_grid(inp.bars(spark, folder), inp.MINUTES)
+    dense = rs.fill_grid(inp.bar_table(spark, folder), inp.MINUTES)
 
     def work(d, w):
         zero = F.when(F.col("volume") == 0, 1).otherwise(0)
@@ -78,7 +78,8 @@ r AS (SELECT *, sum(CAST(ch AS INT)) OVER (PARTITION BY series_id ORDER BY pos)
 ;;
 SELECT series_id, min(state) AS state, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_bars FROM r WHERE state IS NOT NULL GROUP BY series_id, rid""")
 def state_runs_nullaware(spark, folder):
-    a = rs.align_left(inp.bars(spark, folder).select("series_id", "pos", "ts"), inp.valid_rows(spark, folder), ["state"])
+    b = inp.bar_table(spark, folder)
+    a = rs.align_left(b.select("series_id", "pos", "ts"), inp.valid_rows(spark, folder, source=b), ["state"])
     return gaps.runs_null_aware(stage(a))
 
 

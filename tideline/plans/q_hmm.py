@@ -96,9 +96,9 @@ def _post(d, name, prefix):
     return d.withColumns({f"{prefix}{i}": F.element_at(name, i + 1) for i in range(3)})
 
 
-def decoded(spark, folder, want=("causal",)):
+def decoded(spark, folder, want=("causal",), source=None):
     """Decoded rows with their time; the valid rows are written once and read for both."""
-    v = stage(_valid(spark, folder))
+    v = stage(inp.valid_rows(spark, folder, source=source))
     return hmm.decode(v, COLS, MODEL, want).join(v.select("series_id", "pos", "ts"), ["series_id", "pos"])
 
 
@@ -194,8 +194,9 @@ lb AS (SELECT series_id, max(pos) AS pos, max(ts) AS ts FROM bars GROUP BY 1)
 SELECT l.series_id, l.ts, c.pos IS NOT NULL AS available, c.cstate, c.conf FROM lb l LEFT JOIN cq c ON c.series_id = l.series_id AND c.pos = l.pos""")
 def current_state(spark, folder):
     """Latest bar's state; not available when that bar is invalid."""
-    latest = inp.bars(spark, folder).groupBy("series_id").agg(F.max("pos").alias("pos"), F.max("ts").alias("ts"))
-    d = decoded(spark, folder).drop("ts")
+    b = inp.bar_table(spark, folder)
+    latest = b.groupBy("series_id").agg(F.max("pos").alias("pos"), F.max("ts").alias("ts"))
+    d = decoded(spark, folder, source=b).drop("ts")
     return latest.join(d, ["series_id", "pos"], "left").withColumns({"available": F.col("cstate").isNotNull(), "conf": hmm.confidence()})
 
 
@@ -228,8 +229,9 @@ def anchor_decode(spark, folder):
     """All test weeks decoded in one pass, each by the model of its latest anchor week.
 
     An anchor's model has moments of the threshold states on rows before it."""
-    v = stage(_valid(spark, folder).filter("fold >= 0")).withColumn("anchor", F.expr("CASE WHEN fold < 2 THEN 0L ELSE 2L END"))
-    models = {a: walk.moment_model(stage(_valid(spark, folder)).filter(F.col("fold") < a), COLS, MODEL) for a in (0, 2)}
+    rows = stage(_valid(spark, folder))
+    v = rows.filter("fold >= 0").withColumn("anchor", F.expr("CASE WHEN fold < 2 THEN 0L ELSE 2L END"))
+    models = {a: walk.moment_model(rows.filter(F.col("fold") < a), COLS, MODEL) for a in (0, 2)}
     d = hmm.decode(v, COLS, models, keys=("series_id", "anchor"))
     return _post(d, "cpost", "a").join(v.select("series_id", "pos", "ts"), ["series_id", "pos"])
 
@@ -253,7 +255,7 @@ def scaler_fit(spark, folder):
 
 @query("scaler_apply", "series_id ts:t ret_1:d volume:d", SCALE + "SELECT v.series_id, v.ts, (ret_1 - rm) / rs AS ret_1, (volume - vm) / vs AS volume FROM valid v JOIN sk USING (series_id)")
 def scaler_apply(spark, folder):
-    v = _valid(spark, folder).select("series_id", "ts", "ret_1", "volume")
+    v = stage(_valid(spark, folder).select("series_id", "ts", "ret_1", "volume"))
     return sc.scaler_apply(v, sc.scaler_fit(_train(v), ("ret_1", "volume")), ("ret_1", "volume"))
 
 

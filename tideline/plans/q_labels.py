@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.blocks import chunk_of, lookup, stage
-from ..functions.columns import full
+from ..functions.columns import ahead, full, since
 from ..operators import audits, folds as fo, labels as lb, metrics as mt
 from ..sources.tables import table
 from . import inputs as inp
@@ -41,7 +41,7 @@ SELECT t.series_id, t.fold, count(*) FILTER (WHERE r.ts < TIMESTAMP '2024-01-08'
  any_value(t.n) AS n_test, n_train >= 100 AND n_test >= 50 AS enough
 FROM (SELECT series_id, fold, count(*) AS n FROM valid GROUP BY 1, 2) t JOIN valid r ON r.series_id = t.series_id GROUP BY 1, 2""")
 def fold_slice(spark, folder):
-    late = F.expr("pmod(timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-08 00:00:00', ts), 168)") >= 164
+    late = F.pmod(since(inp.WEEK0), F.lit(7 * 86_400_000_000)) >= 164 * 3_600_000_000
     return fo.slice_counts(inp.valid_rows(spark, folder), late, 100, 50)
 
 
@@ -69,8 +69,6 @@ SELECT *, CASE WHEN lead(seg_no, 6) OVER w = seg_no THEN lead(ln(close), 6) OVER
  CASE WHEN lead(seg_no, 8) OVER w = seg_no THEN lead(ln(close), 8) OVER w - ln(close) END AS fwd_8
 FROM valid WINDOW w AS (PARTITION BY series_id ORDER BY pos)""")
 def forward_returns_multi(spark, folder):
-    from ..functions.columns import ahead
-
     return inp.valid_rows(spark, folder, lambda d, w: d.withColumns(
         {f"fwd_{h}": ahead(F.log("close"), w, h) - F.log("close") for h in (6, 8)}), after=8)
 

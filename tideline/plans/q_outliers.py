@@ -154,8 +154,8 @@ cd AS (SELECT b.series_id AS model_id, b.ts, b.close, b.volume, state, regime, c
 
 
 def _tables(spark, folder):
-    m = stage(inp.marked(spark, folder))
-    b = inp.bars(spark, folder)
+    b = inp.bar_table(spark, folder)
+    m = stage(inp.marked(spark, folder, source=b))
     c = stores.candles(b, m, "x").drop("model_id").withColumnRenamed("series_id", "model_id")
     runs = stage(gaps.state_runs(m, inp.MINUTES))
     t = gaps.transitions(runs).withColumnRenamed("series_id", "model_id")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import micros
+from ..functions.columns import micros, periods
 from ..operators import resample as rs
+from ..operators.folds import anchor_of
 from ..sources.tables import table
 from . import inputs as inp
 from .registry import query
@@ -36,14 +37,15 @@ day AS (SELECT series_id, pos // 24 AS day, arg_min(open, pos) AS open, max(high
 ;;
 SELECT d.*, TIMESTAMP '1970-01-01' + to_days(CAST(d.day AS INT)) AS ts, t.state FROM day d LEFT JOIN top t ON t.series_id = d.series_id AND t.day = d.day""")
 def daily_overview(spark, folder):
-    return rs.daily_overview(inp.bars(spark, folder), inp.valid_rows(spark, folder), 60)
+    b = inp.bar_table(spark, folder)
+    return rs.daily_overview(b, inp.valid_rows(spark, folder, source=b), 60)
 
 
 @query("floor_broadcast", "series_id ts:t close:d coarse_close:d coarse_volume:d", COARSE + """
 SELECT b.series_id, b.ts, b.close, c.close AS coarse_close, c.volume AS coarse_volume
 FROM bars b LEFT JOIN coarse c ON c.series_id = b.series_id AND c.pos = b.pos // 6""")
 def floor_broadcast(spark, folder):
-    b = inp.bars(spark, folder)
+    b = inp.bar_table(spark, folder)
     c = rs.resample_bars(b, 360, 60).withColumnsRenamed({"close": "coarse_close", "volume": "coarse_volume"})
     return rs.floor_broadcast(b, c, 6, ["coarse_close", "coarse_volume"])
 
@@ -51,7 +53,8 @@ def floor_broadcast(spark, folder):
 @query("align_left", "series_id ts:t close:d state:l confidence:d", """
 SELECT b.series_id, b.ts, b.close, v.state, v.confidence FROM bars b LEFT JOIN valid v ON v.series_id = b.series_id AND v.pos = b.pos""")
 def align_left(spark, folder):
-    return rs.align_left(inp.bars(spark, folder), inp.valid_rows(spark, folder), ["state", "confidence"])
+    b = inp.bar_table(spark, folder)
+    return rs.align_left(b, inp.valid_rows(spark, folder, source=b), ["state", "confidence"])
 
 
 @query("match_report", "matched:l left_only:l right_only:l", """
@@ -59,7 +62,8 @@ SELECT count(*) FILTER (WHERE b.pos IS NOT NULL AND v.pos IS NOT NULL) AS matche
  count(*) FILTER (WHERE b.pos IS NULL) AS right_only
 FROM bars b FULL OUTER JOIN valid v ON v.series_id = b.series_id AND v.pos = b.pos""")
 def match_report(spark, folder):
-    return rs.match_report(inp.bars(spark, folder), inp.valid_rows(spark, folder))
+    b = inp.bar_table(spark, folder)
+    return rs.match_report(b, inp.valid_rows(spark, folder, source=b))
 
 
 @query("asof_backward", "event_id:l user_id:l value:d click_value:d click_id:l", """
@@ -79,7 +83,7 @@ SELECT b.series_id, b.ts, b.close, c.ts AS coarse_ts, c.close AS coarse_close FR
  (SELECT *, ts + INTERVAL 6 HOUR AS available_at FROM coarse) c ON b.series_id = c.series_id AND c.available_at <= b.ts""")
 def asof_coarse_bars(spark, folder):
     """A coarse bar is known only once it has closed: start + interval <= fine time."""
-    b = inp.bars(spark, folder)
+    b = inp.bar_table(spark, folder)
     c = rs.resample_bars(b, 360, 60).withColumn("available_at", F.expr("timestampadd(HOUR, 6, ts)"))
     day = F.floor(micros("_t") / F.lit(7 * 86_400_000_000)).cast("long")
     return rs.asof_backward(b.select("series_id", "ts", "close", "pos"), c, ["series_id"], "ts", "available_at",
@@ -90,7 +94,7 @@ def asof_coarse_bars(spark, folder):
 SELECT *, ts = TIMESTAMP '2024-01-10 12:29:00' AS exact FROM bars QUALIFY row_number() OVER (PARTITION BY series_id
  ORDER BY abs(epoch(ts) - epoch(TIMESTAMP '2024-01-10 12:29:00')), ts) = 1""")
 def nearest_row(spark, folder):
-    return rs.nearest_row(inp.bars(spark, folder), "2024-01-10 12:29:00")
+    return rs.nearest_row(inp.bar_table(spark, folder), "2024-01-10 12:29:00")
 
 
 @query("anchor_asof", "fold:l anchor:l n:l", """
@@ -100,9 +104,7 @@ a AS (SELECT fold AS anchor FROM f WHERE fold % 7 = 3)
 SELECT fold, coalesce(max(anchor) FILTER (WHERE anchor <= fold), min(anchor)) AS anchor, any_value(n) AS n FROM f, a GROUP BY 1""")
 def anchor_asof(spark, folder):
     """Each daily fold's latest fitted anchor at or before it, else the earliest anchor."""
-    from ..operators.folds import anchor_of
-
-    day = F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").cast("long")
+    day = periods("2024-01-01 00:00:00", 1)
     f = table(spark, folder, "events").groupBy(day.alias("fold")).agg(F.count(F.lit(1)).alias("n"))
     return anchor_of(f, f.filter("fold % 7 = 3").select(F.col("fold").alias("anchor")))
 

@@ -33,7 +33,9 @@ def klines_normalise(spark, folder):
 @query("range_read", "series_id ts:t close:d volume:d", """
 SELECT * FROM bars WHERE ts BETWEEN TIMESTAMP '2024-01-05 03:00:00' AND TIMESTAMP '2024-01-12 18:00:00'""")
 def range_read(spark, folder):
-    return sb.range_read(inp.bars(spark, folder), "2024-01-05 03:00:00", "2024-01-12 18:00:00")
+    """From a store partitioned by day: only the days in range are read."""
+    b = inp.bars(spark, folder).withColumn("day", F.to_date("ts"))
+    return sb.range_read(stores.write_partitioned(b, stores.table_path(spark, "bars"), "day"), "2024-01-05 03:00:00", "2024-01-12 18:00:00", "day")
 
 
 @query("recent_n", "series_id ts:t close:d volume:d", """
@@ -46,7 +48,7 @@ def recent_n(spark, folder):
 SELECT series_id, step, count(*) AS n, step <> 1 AS off_step FROM (
  SELECT series_id, pos - lag(pos) OVER (PARTITION BY series_id ORDER BY pos) AS step FROM bars) WHERE step IS NOT NULL GROUP BY ALL""")
 def contiguity_report(spark, folder):
-    return sb.contiguity_report(inp.bars(spark, folder))
+    return sb.contiguity_report(inp.bar_table(spark, folder))
 
 
 @query("duplicate_ts_check", "event_type minute:t n:l", """
@@ -65,7 +67,7 @@ def feature_table_read(spark, folder):
     """A stored feature table with its validity flag, split into model columns and exclusions."""
     from ..operators import gaps, resample as rs
 
-    dense = rs.fill_grid(inp.bars(spark, folder), inp.MINUTES)
+    dense = rs.fill_grid(inp.bar_table(spark, folder), inp.MINUTES)
 
     def work(d, w):
         d = ft.add_base(d.withColumn("volume", F.when(F.col("close").isNotNull(), F.col("volume"))), w)
@@ -90,7 +92,7 @@ def session_column_drop(spark, folder):
 @query("feature_append", "series_id ts:t " + " ".join(f"{c}:d" for c in VALID_COLS), "SELECT * FROM f2 WHERE close IS NOT NULL")
 def feature_append(spark, folder):
     """A table filled up to a cut, then refreshed; must equal one full computation."""
-    b = inp.bars(spark, folder)
+    b = inp.bar_table(spark, folder)
     path = stores.table_path(spark, "features")
     cut = "2024-01-20 07:00:00"
     ft.build_features(b.filter(F.col("ts") <= F.lit(cut).cast("timestamp_ntz"))).write.parquet(path)
@@ -110,7 +112,7 @@ def fold_outputs_concat(spark, folder):
 @query("pending_folds", "fold_id:l n_rows:l", """
 SELECT fold AS fold_id, count(*) AS n_rows FROM valid WHERE fold >= 0 GROUP BY 1 HAVING fold % 2 = 1""")
 def pending_folds(spark, folder):
-    d = inp.valid_rows(spark, folder).filter("fold >= 0").withColumn("fold_id", F.col("fold"))
+    d = stage(inp.valid_rows(spark, folder).filter("fold >= 0").withColumn("fold_id", F.col("fold")))
     folds = d.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n_rows"))
     finished = d.filter("fold_id % 2 = 0").select("fold_id", "series_id", "ts", "state")
     done = stores.write_partitioned(finished, stores.table_path(spark, "done"), "fold_id")
@@ -118,8 +120,8 @@ def pending_folds(spark, folder):
 
 
 def _serving(spark, folder):
-    m = inp.marked(spark, folder)
-    return inp.bars(spark, folder), m
+    b = inp.bar_table(spark, folder)
+    return b, inp.marked(spark, folder, source=b)
 
 
 @query("write_candles", "model_id series_id ts:t close:d volume:d state:l regime confidence:d state_duration:l", """

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.blocks import lookup, stage
-from ..functions.columns import safe_div
-from ..operators import gaps, metrics as mt, stats as st
+from ..functions.columns import periods, safe_div, three_way
+from ..operators import gaps, metrics as mt, resample as rs, stats as st
 from ..sources.tables import table
 from . import inputs as inp
 from .q_labels import LABEL, labelled
@@ -108,7 +108,7 @@ def horizon_matrix(spark, folder):
 
 @query("label_characterisation", "regime n:l pct:d", "SELECT regime, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM valid GROUP BY 1")
 def label_characterisation(spark, folder):
-    c = inp.valid_rows(spark, folder).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_k"))
+    c = stage(inp.valid_rows(spark, folder).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_k")))
     total = c.groupBy("_k").agg(F.sum("n").alias("_t"))
     return c.join(total, "_k").withColumn("pct", F.col("n") / F.col("_t") * 100)
 
@@ -130,8 +130,8 @@ SELECT from_regime, to_regime, n, pct, mean_ret, pct_pos FROM (
  SELECT from_regime, to_regime, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct, avg(to_fwd_2) AS mean_ret, 100 * avg(CAST(to_fwd_2 > 0 AS INT)) AS pct_pos
  FROM pr GROUP BY 1, 2) WHERE n >= 20""")
 def label_transitions(spark, folder):
-    p = _pairs(spark, folder).groupBy("from_regime", "to_regime").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("to_fwd_2").alias("mean_ret"), st.share(F.col("to_fwd_2") > 0).alias("pct_pos"), F.lit(1).alias("_k"))
+    p = stage(_pairs(spark, folder).groupBy("from_regime", "to_regime").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("to_fwd_2").alias("mean_ret"), st.share(F.col("to_fwd_2") > 0).alias("pct_pos"), F.lit(1).alias("_k")))
     total = p.groupBy("_k").agg(F.sum("n").alias("_t"))
     return p.join(total, "_k").withColumn("pct", F.col("n") / F.col("_t") * 100).filter("n >= 20")
 
@@ -171,8 +171,6 @@ fl AS (SELECT fold, state, CASE WHEN avg(px_z) > 0.3 THEN 'Uptrend' WHEN avg(px_
 ;;
 SELECT v.series_id, v.ts, v.fold, v.state, fold_label FROM valid v JOIN fl ON fl.fold = v.fold AND fl.state = v.state""")
 def fold_label_join(spark, folder):
-    from ..functions.columns import three_way
-
     v = stage(inp.valid_rows(spark, folder).select("series_id", "ts", "fold", "state", "px_z"))
     labels = v.groupBy("fold", "state").agg(F.avg("px_z").alias("m"))
     return lookup(v, labels.withColumn("fold_label", three_way("m", 0.3, "Downtrend", "Ranging", "Uptrend")).drop("m"), ["fold", "state"])
@@ -245,7 +243,7 @@ au AS (SELECT fold, (sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label)
 
 
 def scored(spark, folder):
-    week = F.floor(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") / 604_800).cast("long")
+    week = periods("2024-01-01 00:00:00", 7)
     label = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", 0).cast("long")
     return table(spark, folder, "events").select(
         week.alias("fold"), label.alias("label"), (F.col("value") / 600).alias("score"),
@@ -365,8 +363,6 @@ def verdict_rule(spark, folder):
 SELECT fold, n, n_pos, 100.0 * n_pos / n AS pos_pct, 100.0 * sum(n_pos) OVER w / sum(n) OVER w AS pool_pos_pct FROM (SELECT fold, count(*) AS n, sum(label) AS n_pos FROM sl GROUP BY 1)
 WINDOW w AS (ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def class_balance(spark, folder):
-    from pyspark.sql import Window
-
     g = scored(spark, folder).filter("label IS NOT NULL").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_pos"))
     w = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)  # one row per fold
     return g.withColumns({"pos_pct": F.col("n_pos") / F.col("n") * 100, "pool_pos_pct": F.sum("n_pos").over(w) / F.sum("n").over(w) * 100})
@@ -381,8 +377,6 @@ tw AS (SELECT series_id, pos, fold, state, CASE WHEN vol_z > 0.5 THEN 2 WHEN vol
 
 
 def two_labelings(spark, folder):
-    from ..functions.columns import three_way
-
     return inp.valid_rows(spark, folder).select("series_id", "pos", "fold", "state", three_way("vol_z", 0.5, 0, 1, 2).cast("long").alias("state_b"))
 
 
@@ -604,10 +598,8 @@ d AS (SELECT series_id, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) /
 SELECT series_id, count(*) AS n_folds, count(*) FILTER (WHERE gaps = 0) AS folds_whole, sum(seen) AS rows_masked, coalesce(sum(seen) FILTER (WHERE gaps = 0), 0) AS rows_whole FROM d GROUP BY 1""")
 def coverage_comparison(spark, folder):
     """Daily folds usable when any gap drops the fold, against masking only the gap rows."""
-    from ..operators import resample as rs
-
-    d = rs.fill_grid(inp.bars(spark, folder), inp.MINUTES).withColumn(
-        "day", F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"))
+    d = rs.fill_grid(inp.bar_table(spark, folder), inp.MINUTES).withColumn(
+        "day", periods("2024-01-01 00:00:00", 1))
     gap = F.col("close").isNull()
     f = d.groupBy("series_id", "day").agg(F.count_if(gap).alias("gaps"), F.count_if(~gap).alias("seen"))
     return f.groupBy("series_id").agg(

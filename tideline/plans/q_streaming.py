@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.blocks import stage
 from ..operators import features as ft
 from ..streaming import bars as sbars, sources as ssrc, stateful
 from . import inputs as inp
@@ -18,7 +19,7 @@ SLICES = ("2024-01-11", "2024-01-21", "2100-01-01")
 def arriving(df, name):
     """Writes rows as three time slices, one file each, and streams them a file at a time."""
     spark, path = df.sparkSession, ssrc.fresh(df.sparkSession, f"{name}-in")
-    lo = "1900-01-01"
+    df, lo = stage(df), "1900-01-01"
     for hi in SLICES:
         df.filter(F.col("ts").between(F.lit(lo).cast("timestamp_ntz"), F.expr(f"TIMESTAMP_NTZ'{hi} 00:00:00' - INTERVAL '1' SECOND"))).coalesce(1).write.mode(
             "append").parquet(path)

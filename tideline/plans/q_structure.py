@@ -67,16 +67,17 @@ sd AS (SELECT *, CASE WHEN prior IS NOT NULL AND bos_up IS NOT NULL THEN CAST(pr
 
 
 def _bars(spark, folder):
-    return inp.bars(spark, folder).select("series_id", "pos", "ts", "high", "low", "close")
+    return stage(inp.bars(spark, folder).select("series_id", "pos", "ts", "high", "low", "close"))
 
 
-def _events(spark, folder):
-    return stage(st.swing_events(st.swing_points(_bars(spark, folder), K), K))
+def _events(bars):
+    return stage(st.swing_events(st.swing_points(bars, K), K))
 
 
 def _on_bars(spark, folder):
-    p = stage(st.pivot_features(_events(spark, folder)))
-    return st.scatter(_bars(spark, folder), st.last_per_bar(p), p)
+    b = _bars(spark, folder)
+    p = stage(st.pivot_features(_events(b)))
+    return st.scatter(b, st.last_per_bar(p), p)
 
 
 @query("swing_points", "series_id ts:t swing_high:b swing_low:b", swings_sql(K) + ";; SELECT * FROM sw")
@@ -92,7 +93,7 @@ def swing_events(spark, folder):
 def pivot(name, columns, body=";; SELECT * FROM ev"):
     @query(name, f"series_id pivot_pos:l kind {columns}", PIVOTS + body)
     def run(spark, folder):
-        return st.pivot_features(_events(spark, folder))
+        return st.pivot_features(_events(_bars(spark, folder)))
 
 
 pivot("pivot_compare", "hh_strength:d lh_strength:d hl_strength:d ll_strength:d lean:l")
@@ -104,7 +105,7 @@ pivot("impulse_pullback", "impulse:d pullback:d")
 @query("event_dedupe_last", "series_id conf_pos:l kind price:d direction:l", PIVOTS + """;;
 SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY series_id, conf_pos ORDER BY n DESC) = 1""")
 def event_dedupe_last(spark, folder):
-    return st.last_per_bar(st.pivot_features(_events(spark, folder)))
+    return st.last_per_bar(st.pivot_features(_events(_bars(spark, folder))))
 
 
 def on_bars(name, columns, finish=lambda d: d, body=";; SELECT * FROM sd"):

@@ -44,8 +44,10 @@ def to_klines(bars: DataFrame, minutes: int) -> DataFrame:
     return bars.select("series_id", F.to_json(arr).alias("kline"))
 
 
-def range_read(bars: DataFrame, start: str, end: str) -> DataFrame:
-    """Bars in [start, end]; the predicate reaches the scan of a stored table."""
+def range_read(bars: DataFrame, start: str, end: str, day: str | None = None) -> DataFrame:
+    """Bars in [start, end]; the predicate reaches the scan, and with a day partition column it prunes files."""
+    if day:
+        bars = bars.filter(F.col(day).between(F.lit(start[:10]).cast("date"), F.lit(end[:10]).cast("date")))
     return bars.filter(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
 
 
