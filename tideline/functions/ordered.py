@@ -7,9 +7,9 @@ values are cut into bins by magnitude. The bin number never decreases with the v
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .blocks import running
+from .blocks import lookup, running
 from .columns import col
 
 PER_OCTAVE = 1_024  # bins per doubling of |x|
@@ -38,27 +38,53 @@ def cumulate(vals, keys, x: str, names, reverse: bool = False) -> DataFrame:
     return running(vals, keys, (x,), value_bin(x), reverse, **specs)
 
 
-def percentiles(df, keys, x: str, probs: dict[str, float], extra: dict[str, Column] | None = None) -> DataFrame:
-    """Exact linearly interpolated percentiles per key; probs maps output name to probability.
-
-    ``extra`` may add aggregates over the distinct values (column n is the multiplicity)."""
-    r = ranked(df, keys, x, {"n": F.count(F.lit(1))})
-    lo_rank = {o: F.floor((F.col("n_all") - 1) * F.lit(p)) for o, p in probs.items()}
+def _ranks(probs: dict[str, float]) -> dict[str, Column]:
+    return {o: F.floor((F.col("n_all") - 1) * F.lit(p)).cast("long") for o, p in probs.items()}
 
-    def at(rank):
-        return F.max(F.when((F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n")), F.col(x)))
 
-    aggs = [F.max("n_all").alias("n_all")]
-    for o in probs:
-        aggs += [at(lo_rank[o]).alias(f"_lo_{o}"), at(lo_rank[o] + 1).alias(f"_hi_{o}")]
-    aggs += [c.alias(n) for n, c in (extra or {}).items()]
-    g = r.groupBy(*keys).agg(*aggs)
+def _interpolate(g: DataFrame, keys, probs, extra=()) -> DataFrame:
     outs = []
     for o, p in probs.items():
         h = (F.col("n_all") - 1) * F.lit(p)
         lo, hi = F.col(f"_lo_{o}"), F.coalesce(F.col(f"_hi_{o}"), F.col(f"_lo_{o}"))
         outs.append((lo + (hi - lo) * (h - F.floor(h))).alias(o))
-    return g.select(*keys, "n_all", *outs, *(extra or {}))
+    return g.select(*keys, "n_all", *outs, *extra)
+
+
+def _picks(probs, x: str) -> list[Column]:
+    """Values at the lower and upper rank of each probability, from distinct values with counts."""
+    def at(rank):
+        return F.max(F.when((F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n")), F.col(x)))
+
+    return [c for o, r in _ranks(probs).items() for c in (at(r).alias(f"_lo_{o}"), at(r + 1).alias(f"_hi_{o}"))]
+
+
+def percentiles(df, keys, x: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linearly interpolated percentiles per key; probs maps output name to probability.
+
+    First only counts per value bin are shuffled; they tell which bins hold the wanted ranks. Then the
+    rows of just those bins are ordered. df is read twice."""
+    d = df.filter(F.col(x).isNotNull()).withColumn("_bin", value_bin(x))
+    bins = d.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_m"))
+    by = Window.partitionBy(*keys)
+    bins = bins.withColumns({"_below": F.sum("_m").over(by.orderBy("_bin")) - F.col("_m"), "n_all": F.sum("_m").over(by)})
+    hit = F.lit(False)
+    for r in _ranks(probs).values():
+        for k in (r, r + 1):
+            hit = hit | ((F.col("_below") <= k) & (k < F.col("_below") + F.col("_m")))
+    few = lookup(d.select(*keys, "_bin", x), bins.filter(hit).drop("_m"), [*keys, "_bin"])
+    vals = few.groupBy(*keys, "_bin", x).agg(F.count(F.lit(1)).alias("n"), F.first("_below").alias("_below"), F.first("n_all").alias("n_all"))
+    inside = F.sum("n").over(Window.partitionBy(*keys, "_bin").orderBy(x)) - F.col("n")
+    r = vals.withColumn("n_before", F.col("_below") + inside)
+    return _interpolate(r.groupBy(*keys).agg(F.max("n_all").alias("n_all"), *_picks(probs, x)), keys, probs)
+
+
+def value_summary(df, keys, x: str, probs: dict[str, float], extra: dict[str, Column]) -> DataFrame:
+    """Percentiles of a column with few distinct values (run lengths, replicates) together with aggregates
+    over its distinct values, where column n is the multiplicity."""
+    r = ranked(df, keys, x, {"n": F.count(F.lit(1))})
+    aggs = [F.max("n_all").alias("n_all"), *_picks(probs, x), *[c.alias(n) for n, c in extra.items()]]
+    return _interpolate(r.groupBy(*keys).agg(*aggs), keys, probs, extra)
 
 
 def long_form(df, keys, cols, name: str = "feature", value: str = "value") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.blocks import lookup, running
 from ..functions.columns import safe_div
-from ..functions.ordered import cumulate, percentiles, ranked
+from ..functions.ordered import cumulate, percentiles, ranked, value_summary
 from .metrics import auc_of
 
 PCT = 100.0
@@ -38,7 +38,7 @@ def run_stats(runs: DataFrame, bars: DataFrame, transitions: DataFrame, keys=("s
     extra = {"n_runs": total, "mean_bars": F.sum(x * n) / total, "min_bars": F.min(x), "max_bars": F.max(x),
              "pct_1bar": part(x == 1), "pct_2bar": part(x == 2), "pct_3bar": part(x == 3), "pct_le5": part(x <= 5), "pct_le10": part(x <= 10),
              "pct_gt1h": part(x > 1), "pct_gt2h": part(x > 2), "pct_gt4h": part(x > 4), "pct_gt8h": part(x > 8)}
-    lengths = percentiles(runs, keys, "n_bars", {"median_bars": 0.5}, extra).drop("n_all")
+    lengths = value_summary(runs, keys, "n_bars", {"median_bars": 0.5}, extra).drop("n_all")
     b = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bars_total"), (F.max("pos") - F.min("pos")).alias("_span"))
     t = transitions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_transitions"))
     d = lengths.join(b, list(keys)).join(t, list(keys), "left").fillna(0, ["n_transitions"])
@@ -54,7 +54,7 @@ def state_stats(rows: DataFrame, runs: DataFrame, keys=("series_id",)) -> DataFr
     w = Window.partitionBy(*keys)
     b = b.withColumn("pct_bars", F.col("n_bars") / F.sum("n_bars").over(w) * PCT)
     x, n = F.col("duration_minutes"), F.col("n")
-    r = percentiles(runs, k, "duration_minutes", {"median_minutes": 0.5}, {
+    r = value_summary(runs, k, "duration_minutes", {"median_minutes": 0.5}, {
         "n_runs": F.sum("n"), "mean_minutes": F.sum(x * n) / F.sum("n"), "max_minutes": F.max(x)}).drop("n_all")
     return b.join(r, k, "left")
 
@@ -181,7 +181,7 @@ def bootstrap_auc(rows: DataFrame, keys, replicates: int, seed: int = 42) -> Dat
     drawn = rep.withColumns({"p": draw("_p", "p"), "q": draw("_q", "q")}).drop("_p", "_q").filter("p + q > 0")
     k = [*keys, "replicate"]
     a = auc_of(cumulate(drawn, k, "score", ("p", "q")), k).filter("auc IS NOT NULL")
-    p = percentiles(a, keys, "auc", {"lo": 0.025, "hi": 0.975}, {"mean_auc": F.sum(F.col("auc") * F.col("n")) / F.sum("n")})
+    p = value_summary(a, keys, "auc", {"lo": 0.025, "hi": 0.975}, {"mean_auc": F.sum(F.col("auc") * F.col("n")) / F.sum("n")})
     return p.withColumnRenamed("n_all", "n_replicates")
 
 
@@ -233,7 +233,7 @@ def block_bootstrap(rows: DataFrame, keys, in_first: Column, x: str, block: int,
     s = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("_w"))
     g = rep.groupBy(*keys, "replicate").agg(safe_div(s("_s1"), s("_n1")).alias("_m1"), safe_div(s("_s2"), s("_n2")).alias("_m2"))
     g = g.withColumn("diff", F.col("_m1") - F.col("_m2")).filter("diff IS NOT NULL")
-    p = percentiles(g, keys, "diff", {"lo": 0.025, "hi": 0.975}, {"mean_diff": F.sum(F.col("diff") * F.col("n")) / F.sum("n")})
+    p = value_summary(g, keys, "diff", {"lo": 0.025, "hi": 0.975}, {"mean_diff": F.sum(F.col("diff") * F.col("n")) / F.sum("n")})
     return p.withColumnRenamed("n_all", "n_replicates").withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
