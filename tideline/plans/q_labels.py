@@ -194,11 +194,12 @@ def label_distribution(spark, folder):
 
 
 @query("common_eligible", "series_id fold:l n:l", """
-SELECT series_id, fold, count(*) AS n FROM valid WHERE fwd_1 IS NOT NULL AND fwd_4 IS NOT NULL GROUP BY 1, 2""")
+SELECT series_id, fold, count(*) AS n FROM valid WHERE is_trending AND abs(vol_z) > 0.5 AND fwd_2 IS NOT NULL GROUP BY 1, 2""")
 def common_eligible(spark, folder):
-    """Rows where both horizons' predictions exist."""
-    return lb.common_rows(inp.valid_rows(spark, folder), ("fwd_1", "fwd_4")).groupBy("series_id", "fold").agg(
-        F.count(F.lit(1)).alias("n"))
+    """Two scores that each leave some rows unanswered are compared only where both, and the outcome, exist."""
+    v = inp.valid_rows(spark, folder).withColumns({
+        "score_trend": F.when(F.col("is_trending"), F.col("score")), "score_volume": F.when(F.abs("vol_z") > 0.5, F.col("vol_z"))})
+    return lb.common_rows(v, ("score_trend", "score_volume", "fwd_2")).groupBy("series_id", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("leakage_checks", "check_name n_checked:l n_violations:l", PAST + """,
