@@ -42,13 +42,10 @@ def staged_bytes(df: DataFrame) -> int:
     return total
 
 
-def join_small(df: DataFrame, small: DataFrame, keys, how: str = "inner") -> DataFrame:
-    """Stages the right side and broadcasts it if its files are below BROADCAST_BYTES; else a shuffle join,
+def small_side(staged: DataFrame) -> DataFrame:
+    """A staged table, marked for broadcast if its files are below BROADCAST_BYTES; else it is joined by a shuffle,
     where adaptive execution splits hot keys. Either way the result is the same."""
-    small = stage(small)
-    if staged_bytes(small) <= BROADCAST_BYTES:
-        small = F.broadcast(small)
-    return df.join(small, keys, how)
+    return F.broadcast(staged) if staged_bytes(staged) <= BROADCAST_BYTES else staged
 
 
 def text_of(name: str = "text") -> Column:

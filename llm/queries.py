@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, tokens
+from . import mixing, packing, quality, tokens
 from .common import documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,37 @@ def best_fit_packing(spark, folder):
 def token_counts(spark, folder):
     counted = tokens.prefix_counts(documents(spark, folder), tokenizer_file("piece_bpe_32k.model"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+_SIZES = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0 AS w
+       FROM d GROUP BY source),
+s1 AS (SELECT *, source_size * 3 / w AS ratio FROM s0),
+s2 AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(source_size * 3) OVER (ORDER BY ratio, source NULLS LAST
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio, source NULLS LAST
+         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
+s3 AS (SELECT *, arg_min(level, ratio) FILTER (source_size * 3 > w * level) OVER () AS common FROM s2),
+s AS (SELECT source, source_size, CASE WHEN source_size * 3 <= w * level THEN CAST(source_size * 3 AS DOUBLE) ELSE w * common END AS target FROM s3),
+o AS (SELECT d.*, s.source_size, s.target, CAST(floor(s.target + 0.5) AS BIGINT) AS need,
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (need // source_size) + greatest(0, least(size, need % source_size - before)) END AS BIGINT) AS taken
+FROM o"""
+
+
+@query("op5_curriculum_mix", _SIZES)
+def curriculum_mix(spark, folder):
+    mixed = mixing.mix(documents(spark, folder, "doc_id", "source", "text"))
+    ordered = mixing.in_training_order(mixed.withColumn("position", mixing.first_position(mixed)))
+    return ordered.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_quality_vote")
+def quality_vote(spark, folder):
+    docs = documents(spark, folder, "doc_id", "text")
+    model = quality.fit(docs, quality.training_labels(spark.read.parquet(f"{folder}/labels.parquet")))
+    return quality.score(docs, model, "score").select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
