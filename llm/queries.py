@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, quality, tokens
+from . import mixing, packing, quality, secrets, tokens
 from .common import documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,43 @@ def quality_vote(spark, folder):
     model = quality.fit(docs, quality.training_labels(spark.read.parquet(f"{folder}/labels.parquet")))
     return quality.score(docs, model, "score").select(
         "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+_KINDS = ("assign", "access", "hex")
+_FOUND = r"""
+{kind} AS (SELECT r, doc_id, unnest(spans) AS s FROM (
+  SELECT r, doc_id, list_filter(list_transform(generate_series(1, len(hits)), lambda i: {{
+      'a': CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda h: length(h))), 0) AS BIGINT),
+      'n': length(hits[i]), 'ok': length(held[i]) >= {least}, 'rank': {rank}, 'kind': '{kind}'}}), lambda x: x.ok) AS spans
+  FROM (SELECT r, doc_id, regexp_extract_all(t, '{pattern}') AS hits, regexp_extract_all(t, '{pattern}', {group}) AS held,
+          string_split_regex(t, '{pattern}') AS gaps FROM d)))"""
+
+
+def _sql_pattern(rule: secrets.Rule) -> str:
+    """Letters in either case, spelled out: RE2 would also fold letters outside ASCII."""
+    found = re.search(r"\(\?i:(.*?\))\)", rule.pattern)
+    pattern = rule.pattern
+    if found:
+        folded = re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", found[1])
+        pattern = pattern.replace(found[0], folded)
+    return pattern.replace("'", "''")
+
+
+_SECRETS = ("WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),"
+            + ",".join(_FOUND.format(kind=r.kind, least=r.least, rank=i, group=r.group, pattern=_sql_pattern(r)) for i, r in enumerate(secrets.RULES))
+            + """, al AS (SELECT r, s FROM assign UNION ALL SELECT r, s FROM access UNION ALL SELECT r, s FROM hex),
+g AS (SELECT r, count(*) FILTER (s.kind = 'assign') AS n_assign, count(*) FILTER (s.kind = 'access') AS n_access,
+  count(*) FILTER (s.kind = 'hex') AS n_hex, string_agg(s.kind || ':' || s.a || ':' || (s.a + s.n), ',' ORDER BY s.a, s.rank) AS spans FROM al GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)""")
+
+
+@query("op4_secret_scan", _SECRETS)
+def secret_scan(spark, folder):
+    found = secrets.scan(documents(spark, folder, "doc_id", "text"))
+    spans = F.col("secret_spans")
+    of_kind = lambda kind: F.filter(spans, lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in _KINDS]
+    listed = lambda of: F.concat_ws(",", F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    base = F.filter(spans, lambda s: s["kind"].isin(*_KINDS))
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
