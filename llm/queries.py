@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, quality, secrets, tokens
+from . import mixing, packing, quality, secrets, tokens, urls
 from .common import documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,32 @@ def secret_scan(spark, folder):
     listed = lambda of: F.concat_ws(",", F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     base = F.filter(spans, lambda s: s["kind"].isin(*_KINDS))
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+
+_URLS = r"""
+WITH RECURSIVE rules(action, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url LIKE '%://%'),
+goes AS (SELECT url, CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+  WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS t FROM tags),
+link0 AS (SELECT url AS a, CASE WHEN t LIKE '//%' THEN split_part(url, '://', 1) || ':' || t WHEN t LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t ELSE t END AS b
+  FROM goes WHERE t <> ''),
+urls AS (SELECT url AS u FROM pages WHERE url LIKE '%://%' UNION SELECT b FROM link0 WHERE b LIKE '%://%'),
+parts AS (SELECT u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM urls),
+known AS (SELECT u, parts.host, parts.path, lower(split_part(u, '://', 1)) || '://' || parts.host || regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS at,
+  arg_max(struct_pack(rule := rules.host || rules.path, action := action), length(rules.host || rules.path)) AS r FROM parts
+  LEFT JOIN rules ON (parts.host = rules.host OR ends_with(parts.host, '.' || rules.host)) AND starts_with(parts.path, rules.path) GROUP BY u, parts.host, parts.path),
+link AS (SELECT x.at AS a, y.at AS b FROM link0 JOIN known x ON link0.a = x.u JOIN known y ON link0.b = y.u),
+step AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM step UNION SELECT reach.a, step.b FROM reach JOIN step ON reach.b = step.a),
+said AS (SELECT reach.a, bool_or(known.r.action = 'block') AS blocked, bool_or(known.r.action = 'allow') AS allowed FROM reach JOIN known ON known.at = reach.b GROUP BY reach.a)
+SELECT page_id, coalesce(known.host, '') AS host, coalesce(known.path, '') AS path, known.r.rule AS rule,
+  coalesce(known.r.action, CASE WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages LEFT JOIN known ON pages.url = known.u LEFT JOIN said ON said.a = known.at"""
+
+
+@query("op6_url_rules", _URLS)
+def url_rules(spark, folder):
+    return urls.judge(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")).select(
+        "page_id", "host", "path", "rule", "verdict")
