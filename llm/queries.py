@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, quality, secrets, tokens, urls
+from . import fingerprints, mixing, neighbours, packing, quality, secrets, tokens, urls
 from .common import documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,15 @@ FROM pages LEFT JOIN known ON pages.url = known.u LEFT JOIN said ON said.a = kno
 def url_rules(spark, folder):
     return urls.judge(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")).select(
         "page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_lz_fingerprint")
+def lz_fingerprint(spark, folder):
+    return fingerprints.fingerprint(documents(spark, folder, "doc_id", "text")).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op8_multi_index_search")
+def multi_index_search(spark, folder):
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return neighbours.search(table, lambda vec_id: vec_id % 50 == 0, k=5)
