@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, mixing, neighbours, packing, quality, secrets, tokens, urls
+from . import fingerprints, jaccard, mixing, neighbours, packing, quality, secrets, tokens, urls
 from .common import documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,8 @@ def lz_fingerprint(spark, folder):
 def multi_index_search(spark, folder):
     table = spark.read.parquet(f"{folder}/embeddings.parquet")
     return neighbours.search(table, lambda vec_id: vec_id % 50 == 0, k=5)
+
+
+@query("op9_token_group_join")
+def token_group_join(spark, folder):
+    return jaccard.join(documents(spark, folder, "doc_id", "text"), jaccard.Rule(words=4, percent=85))
