@@ -60,7 +60,7 @@ def bands(tokens: np.ndarray) -> list[int]:
 
 
 def profile(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, sid, bands of every row; and per task one row that has only a sketch: how many sets have a token, by the
+    """doc_id, text_key, n, sid, bands of every row; and per task one row that has only a sketch: how many sets have a token, by the
     first bits of the token."""
 
     def run(batches):
@@ -77,15 +77,15 @@ def profile(docs: DataFrame, rule: Rule) -> DataFrame:
                 lows.append(bands(tokens))
                 seen.add(sid)
                 np.add.at(counts, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield _table([batch.column(0), pa.array(sizes, pa.int32()), pa.array(sids, pa.int64()), pa.array(lows, pa.list_(pa.int64())),
+            yield _table([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(sids, pa.int64()), pa.array(lows, pa.list_(pa.int64())),
                           pa.nulls(len(sizes), pa.binary())])
-        yield _table([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())),
+        yield _table([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())),
                       pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())])
 
     def _table(columns):
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sid", "bands", "sketch"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "sid", "bands", "sketch"])
 
-    return stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, sid long, bands array<long>, sketch binary"))
+    return stage(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n int, sid long, bands array<long>, sketch binary"))
 
 
 def commonness(profiled: DataFrame) -> np.ndarray:
@@ -300,7 +300,7 @@ def blocks(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest doc_id that links reach, itself included.
+    """doc_id, n_shingles, component_id, text_key (a hash of the text) of every row. component_id: the smallest doc_id that links reach, itself included.
 
     Texts without words (null, empty, blank) have the empty set, link with nothing and are their own component. A text with
     fewer words than a shingle has one shingle, its whole sequence. Repeated rows and equal sets are linked. A null doc_id gets
@@ -329,4 +329,20 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     lowest = stage(whole.groupBy("grp").agg(F.min("doc_id").alias("component_id")))
     answer = stage(whole.join(small_side(lowest), "grp").select("sid", "component_id"))
     return rows.join(small_side(answer), "sid", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key")
+
+
+def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of docs that stay: of each component the row with the smallest doc_id (of several texts with that id, the one
+    with the smallest hash), once. Documents without words all stay. Rows without doc_id stay if no row of their component
+    has one, once for each text. Columns are those of docs."""
+    rows = join(docs, rule)
+    low = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    text = F.when(F.col("doc_id").isNull(), F.col("text_key"))  # unknown ids: by text
+    low = low.groupBy("doc_id", "text_key").agg(F.min("n_shingles").alias("n"), (F.count(F.lit(1)) > 1).alias("_often"))
+    keys = stage(low.groupBy(F.col("doc_id").alias("_id"), F.col("n") == 0, text).agg(F.min(F.struct("text_key", "_often")).alias("_low"))
+                 .select("_id", F.col("_low.text_key").alias("_k"), F.col("_low._often").alias("_often")))
+    kept = docs.withColumn("_key", F.xxhash64("text")).join(small_side(keys), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
+    once = kept.filter("NOT _often").select(*docs.columns)
+    again = kept.filter("_often").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    return once.unionByName(again)

@@ -105,3 +105,24 @@ def in_training_order(rows: DataFrame, position: str = "position") -> DataFrame:
 def first_position(mixed: DataFrame, schedule=SCHEDULE) -> Column:
     """Position of a document's first copy, null if the mix takes none of it."""
     return F.when(F.col("taken") > 0, _position(F.lit(0), F.when(F.col("whole") > 0, F.col("size")).otherwise(F.col("taken")), schedule))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    gaps, words = F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.array_join(F.flatten(F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(words, F.lit(1), n), lambda g, w: F.array(g, w))), "")
+
+
+def mixed_documents(docs: DataFrame, cycle=CYCLE, schedule=SCHEDULE, most: int = MOST_REPEATS) -> DataFrame:
+    """The rows of docs in training order, each as often as the mix takes it; a copy taken in part ends after its last
+    word. Rows are told apart by doc_id and text, so repeated rows must have been removed. Documents without words
+    have nothing to take. n_chars, if there is such a column, follows the text."""
+    key = F.xxhash64("text")
+    mixed = mix(docs.withColumn("_text", key), cycle, schedule, most, extra=("_text",))
+    taken = stage(copies(mixed, schedule).select(F.col("doc_id").alias("_id"), "_text", "size", "words", "position"))
+    rows = docs.withColumn("_k", key).join(small_side(taken), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_text")))
+    text = F.when(F.col("words") < F.col("size"), first_words(F.col("text"), F.col("words").cast("int"))).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return in_training_order(rows.select(*docs.columns, "position")).drop("position")
