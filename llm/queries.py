@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, jaccard, mixing, neighbours, packing, quality, secrets, tokens, urls
-from .common import documents, ship
+from . import fingerprints, jaccard, lm, mixing, neighbours, packing, quality, secrets, tokens, urls
+from .common import documents, ship, small_side, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -165,3 +165,12 @@ def multi_index_search(spark, folder):
 @query("op9_token_group_join")
 def token_group_join(spark, folder):
     return jaccard.join(documents(spark, folder, "doc_id", "text"), jaccard.Rule(words=4, percent=85))
+
+
+@query("op2_cross_entropy_difference")
+def cross_entropy_difference(spark, folder):
+    """Target: documents labelled good and not toxic; background: all documents."""
+    docs = documents(spark, folder, "doc_id", "text")
+    good = spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("_id"), F.lit(True).alias("good")).distinct()
+    flagged = docs.join(small_side(stage(good)), F.col("doc_id") == F.col("_id"), "left")
+    return lm.score(docs, *lm.fit(flagged, "good"))
