@@ -117,3 +117,43 @@ def test_stream_features_equal_batch(spark):
     cols = ["pos", "ret_4", "vol_6", "vol_z", "skew_6"]
     a, b = (d.select(*cols).orderBy("pos").toPandas() for d in (got, ft.build_features(whole)))
     np.testing.assert_allclose(a.to_numpy(float), b.to_numpy(float), atol=1e-9)
+
+
+def test_small_volumes_keep_their_digits(spark):
+    from tideline.operators.resample import tick_bars
+
+    e = spark.createDataFrame([(1, 2, "a", 3e-7), (2, 3, "a", 2e-7)], "event_id long, user_id long, event_type string, value double").selectExpr(
+        "*", "timestamp_ntz'2024-01-01 00:00:00' AS ts")
+    bar = tick_bars(e, 60).first()
+    assert abs(bar.volume - 5e-7) < 1e-20 and abs(bar.buy_vol - 3e-7) < 1e-20 and abs(bar.ofi - 1e-7) < 1e-20
+
+
+def test_large_ids_do_not_reach_into_the_time(spark):
+    from tideline.operators.resample import tick_bars
+
+    e = spark.createDataFrame([(5 * 10**18, 1, "a", 1.0, 0), (1, 1, "a", 2.0, 2), (-5, 1, "a", 3.0, 2)], "event_id long, user_id long, event_type string, value double, us int").selectExpr(
+        "*", "timestampadd(MICROSECOND, us, timestamp_ntz'2024-01-01 00:00:00') AS ts")
+    bar = tick_bars(e, 60).first()
+    assert (bar.open, bar.close) == (1.0, 2.0)
+
+
+def test_a_days_state_is_the_commonest_whatever_its_number(spark):
+    from tideline.operators.resample import daily_overview
+
+    bars = spark.createDataFrame([("a", i, 1.0) for i in range(4)], "series_id string, pos long, close double").selectExpr(
+        "*", "close open", "close high", "close low", "close volume", "close buy_vol", "0.0D sell_vol", "close avg_price")
+    states = spark.createDataFrame([("a", 0, 5000), ("a", 1, 5000), ("a", 2, 1), ("a", 3, 7)], "series_id string, pos long, state long")
+    assert daily_overview(bars, states, 60).first().state == 5000
+
+
+def test_ema_goes_on_after_a_long_silence(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tideline.operators.features import ema
+
+    pos = [*range(20), *range(400, 405), *range(20_000, 20_003)]
+    rows = [("a", p, float(10 + p % 7)) for p in pos]
+    got = ema(spark.createDataFrame(rows, "series_id string, pos long, close double"), (8,), size=50).toPandas().sort_values("pos").ema_8.to_numpy()
+    dense = pd.Series([r[2] for r in rows], index=pos).reindex(range(pos[-1] + 1)).ffill().ewm(span=8, adjust=False, min_periods=8).mean()
+    assert np.allclose(got, dense.to_numpy()[pos], rtol=1e-12, equal_nan=True)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..functions.blocks import halo, over_chunks
+from ..functions.blocks import chunk_of, halo, over_chunks, running
 from ..functions.columns import back, full, safe_div, sample_skew, three_way
 
 KEYS = ("series_id",)
@@ -81,16 +81,19 @@ def memory(span: int) -> int:
     return max(span, math.ceil(math.log(1e-18) / math.log(1 - 2 / (span + 1))))
 
 
-def smooth_slots(pos: np.ndarray, x: np.ndarray, spans, reach: int) -> np.ndarray:
-    """Exponential means at the given slots, a missing slot repeating the last value; a silence of more
-    than `reach` slots starts afresh."""
+def smooth_slots(pos: np.ndarray, x: np.ndarray, before: np.ndarray, spans, reach: int) -> np.ndarray:
+    """Exponential means at the given slots, a missing slot repeating the last value. before: each slot's last value before it,
+    nan for a series' first. After a silence of more than `reach` slots the mean has become that value, so it goes
+    on from there."""
     out = np.full((len(pos), len(spans)), np.nan)
     cuts = [0, *(np.flatnonzero(np.diff(pos) > reach) + 1), len(pos)]
     for lo, hi in zip(cuts[:-1], cuts[1:]):
-        at = pos[lo:hi] - pos[lo]
-        grid = pd.Series(x[lo:hi], index=at).reindex(range(int(at[-1]) + 1)).ffill()
+        seeded = int(not np.isnan(before[lo]))
+        at = pos[lo:hi] - pos[lo] + seeded
+        values, slots = (np.append(before[lo], x[lo:hi]), np.append(0, at)) if seeded else (x[lo:hi], at)
+        grid = pd.Series(values, index=slots).reindex(range(int(at[-1]) + 1)).ffill()
         for i, s in enumerate(spans):
-            out[lo:hi, i] = grid.ewm(span=s, adjust=False, min_periods=s).mean().to_numpy()[at]
+            out[lo:hi, i] = grid.ewm(span=s, adjust=False, min_periods=1 if seeded else s).mean().to_numpy()[at]
     return out
 
 
@@ -99,7 +102,8 @@ def ema(bars: DataFrame, spans, column: str = "close", size: int | None = None)
 
     A missing bar repeats the last value. The recurrence forgets (1 - alpha) per slot, so a chunk
     plus memory(span) slots of halo gives the full-history value to double precision; each task
-    holds one chunk. A silence longer than that memory restarts the mean."""
+    holds one chunk. A silence longer than that memory leaves the last value as the mean, which is carried into
+    the chunk."""
     reach = max(memory(s) for s in spans)
     names = [f"ema_{s}" for s in spans]
     keep = [f for f in bars.schema.fields if f.name in ("series_id", "pos")]
@@ -108,12 +112,13 @@ def ema(bars: DataFrame, spans, column: str = "close", size: int | None = None)
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         out = pdf[["series_id", "pos"]].reset_index(drop=True)
-        e = smooth_slots(pdf["pos"].to_numpy(), pdf[column].to_numpy(float), spans, reach)
+        e = smooth_slots(pdf["pos"].to_numpy(), pdf[column].to_numpy(float), pdf["_before"].to_numpy(float), spans, reach)
         for i, n in enumerate(names):
             out[n] = e[:, i]
         return out[(pdf["_home"] == pdf["_chunk"]).to_numpy()]
 
-    rows = halo(bars.select("series_id", "pos", column), reach, size=size)
+    carried = running(bars.select("series_id", "pos", column), KEYS, chunk=chunk_of("pos", size), _before=("last", column, "before"))
+    rows = halo(carried, reach, size=size)
     return rows.groupBy("series_id", "_chunk").applyInPandas(scan, schema)
 
 

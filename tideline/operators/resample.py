@@ -12,20 +12,22 @@ KEYS = ("series_id",)
 
 def tick_bars(events: DataFrame, minutes: int, key: str = "event_type") -> DataFrame:
     """Bars from an event table. First and last go by (ts, event_id); that pair is packed into one
-    decimal so that the aggregate keeps a fixed-width buffer and stays a hash aggregate."""
-    when = (micros("ts").cast("decimal(20,0)") * F.lit(10**18).cast("decimal(19,0)")
+    decimal so that the aggregate keeps a fixed-width buffer and stays a hash aggregate. A microsecond is
+    2^64 apart from the next, so no id reaches into it."""
+    when = (micros("ts").cast("decimal(18,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)")
             + F.col("event_id").cast("decimal(19,0)")).cast("decimal(38,0)")
-    buy = F.when(F.col("user_id") % 2 == 0, F.col("value")).otherwise(F.lit(0.0))
+    bought = F.col("user_id") % 2 == 0
+    buy = F.when(bought, F.col("value")).otherwise(F.lit(0.0))
+    sell = F.when(bought, F.lit(0.0)).otherwise(F.col("value"))
     e = events.select(F.col(key).alias("series_id"), slot(minutes).alias("pos"), "value",
-                      buy.alias("buy"), when.alias("_when"))
+                      buy.alias("buy"), sell.alias("sell"), when.alias("_when"))
     g = e.groupBy("series_id", "pos").agg(
         F.min_by("value", "_when").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
-        F.max_by("value", "_when").alias("close"), F.round(F.sum("value"), 6).alias("volume"),
-        F.round(F.sum("buy"), 6).alias("buy_vol"), F.count(F.lit(1)).alias("n_ticks"))
-    sell = F.round(F.col("volume") - F.col("buy_vol"), 6)
+        F.max_by("value", "_when").alias("close"), F.sum("value").alias("volume"),
+        F.sum("buy").alias("buy_vol"), F.sum("sell").alias("sell_vol"), F.count(F.lit(1)).alias("n_ticks"))
     return g.select("series_id", "pos", slot_start(minutes).alias("ts"), "open", "high", "low", "close", "volume",
-                    F.round(F.col("volume") / F.col("n_ticks"), 6).alias("avg_price"), "buy_vol",
-                    sell.alias("sell_vol"), F.round(F.col("buy_vol") - sell, 6).alias("ofi"), "n_ticks")
+                    (F.col("volume") / F.col("n_ticks")).alias("avg_price"), "buy_vol", "sell_vol",
+                    (F.col("buy_vol") - F.col("sell_vol")).alias("ofi"), "n_ticks")
 
 
 def resample_bars(bars: DataFrame, minutes: int, base_minutes: int, complete: bool = True) -> DataFrame:
@@ -35,14 +37,13 @@ def resample_bars(bars: DataFrame, minutes: int, base_minutes: int, complete: bo
     g = bars.withColumn("_fine", F.col("pos")).withColumn("pos", F.floor(F.col("pos") / n).cast("long")).groupBy(
         "series_id", "pos").agg(
         F.min_by("open", "_fine").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.max_by("close", "_fine").alias("close"), F.round(F.sum("volume"), 6).alias("volume"),
-        F.round(F.sum("buy_vol"), 6).alias("buy_vol"), F.round(F.sum("sell_vol"), 6).alias("sell_vol"),
-        F.round(paid, 6).alias("_paid"), F.count(F.lit(1)).alias("n_base"))
+        F.max_by("close", "_fine").alias("close"), F.sum("volume").alias("volume"), F.sum("buy_vol").alias("buy_vol"),
+        F.sum("sell_vol").alias("sell_vol"), paid.alias("_paid"), F.count(F.lit(1)).alias("n_base"))
     if complete:
         g = g.filter(F.col("n_base") == n)
     return g.select("series_id", "pos", slot_start(minutes).alias("ts"), "open", "high", "low", "close", "volume",
                     F.coalesce(safe_div("_paid", "volume"), F.col("close")).alias("avg_price"), "buy_vol", "sell_vol",
-                    F.round(F.col("buy_vol") - F.col("sell_vol"), 6).alias("ofi"), "n_base")
+                    (F.col("buy_vol") - F.col("sell_vol")).alias("ofi"), "n_base")
 
 
 def fill_grid(bars: DataFrame, minutes: int) -> DataFrame:
@@ -66,7 +67,7 @@ def daily_overview(bars: DataFrame, states: DataFrame, base_minutes: int) -> Dat
     candles = resample_bars(bars, 1440, base_minutes, complete=False)
     counts = states.groupBy("series_id", day.alias("pos"), "state").agg(F.count(F.lit(1)).alias("n"))
     top = counts.groupBy("series_id", "pos").agg(
-        F.max_by("state", F.col("n") * 1_000 - F.col("state")).cast("long").alias("state"))
+        F.min(F.struct((-F.col("n")).alias("n"), "state"))["state"].cast("long").alias("state"))
     return candles.join(top, ["series_id", "pos"], "left")
 
 

@@ -23,22 +23,27 @@ def _within(df: DataFrame, start, end, lo: str, hi: str) -> DataFrame:
     return df
 
 
+def _ties(d: DataFrame) -> list:
+    """Second keys, so that a limit cuts rows of one time the same way each time."""
+    return [F.col(c) for c in ("series_id", "state", "from_state", "to_state") if c in d.columns]
+
+
 def candles(df: DataFrame, model: str, start=None, end=None, limit: int = 20_000) -> DataFrame:
     """Last rows when unbounded, first rows when bounded; truncated tells whether more exist."""
     d = _within(df.filter(F.col("model_id") == model), start, end, "ts", "ts")
     order = F.col("ts").desc() if start is None and end is None else F.col("ts")
-    more = d.agg((F.count(F.lit(1)) > limit).alias("truncated"), F.lit(1).alias("_k"))
-    return d.orderBy(order).limit(limit).withColumn("_k", F.lit(1)).join(more, "_k").withColumn("time", unix("ts"))
+    more = d.agg((F.count(F.lit(1)) > limit).alias("truncated"))  # one row
+    return d.orderBy(order, *_ties(d)).limit(limit).crossJoin(more).withColumn("time", unix("ts"))
 
 
 def segments(runs: DataFrame, model: str, start=None, end=None, limit: int = 5_000) -> DataFrame:
     d = _within(runs.filter(F.col("model_id") == model), start, end, "start_ts", "end_ts")
-    return d.orderBy(F.col("start_ts").desc()).limit(limit).withColumns({"start_time": unix("start_ts"), "end_time": unix("end_ts")})
+    return d.orderBy(F.col("start_ts").desc(), *_ties(d)).limit(limit).withColumns({"start_time": unix("start_ts"), "end_time": unix("end_ts")})
 
 
 def transitions(trans: DataFrame, model: str, start=None, end=None, limit: int = 200) -> DataFrame:
     d = _within(trans.filter(F.col("model_id") == model), start, end, "ts", "ts")
-    return d.orderBy(F.col("ts").desc()).limit(limit).withColumn("time", unix("ts"))
+    return d.orderBy(F.col("ts").desc(), *_ties(d)).limit(limit).withColumn("time", unix("ts"))
 
 
 def state_stats(candle_rows: DataFrame, runs: DataFrame, trans: DataFrame, start=None, end=None) -> DataFrame:

@@ -11,11 +11,10 @@ def bars_sql(minutes: int) -> str:
     us = minutes * 60_000_000
     return f"""
  SELECT series_id, pos, TIMESTAMP '1970-01-01' + to_minutes(pos * {minutes}) AS ts, open, high, low, close, volume,
-   round(volume / n_ticks, 6) AS avg_price, buy_vol, round(volume - buy_vol, 6) AS sell_vol,
-   round(buy_vol - round(volume - buy_vol, 6), 6) AS ofi, n_ticks
+   volume / n_ticks AS avg_price, buy_vol, sell_vol, buy_vol - sell_vol AS ofi, n_ticks
  FROM (SELECT event_type AS series_id, epoch_us(ts) // {us} AS pos, arg_min(value, (ts, event_id)) AS open,
-   max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, round(sum(value), 6) AS volume,
-   round(sum(CASE WHEN user_id % 2 = 0 THEN value ELSE 0 END), 6) AS buy_vol, count(*) AS n_ticks
+   max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, sum(value) AS volume,
+   sum(CASE WHEN user_id % 2 = 0 THEN value ELSE 0 END) AS buy_vol, sum(CASE WHEN user_id % 2 = 0 THEN 0 ELSE value END) AS sell_vol, count(*) AS n_ticks
    FROM events GROUP BY 1, 2)"""
 
 

@@ -14,10 +14,9 @@ from .registry import query
 COARSE = """
 coarse AS (
  SELECT series_id, pos // 6 AS pos, TIMESTAMP '1970-01-01' + to_hours(pos // 6 * 6) AS ts, arg_min(open, pos) AS open, max(high) AS high,
-  min(low) AS low, arg_max(close, pos) AS close, round(sum(volume), 6) AS volume,
-  coalesce(round(sum(avg_price * volume), 6) / nullif(round(sum(volume), 6), 0), arg_max(close, pos)) AS avg_price,
-  round(sum(buy_vol), 6) AS buy_vol, round(sum(sell_vol), 6) AS sell_vol,
-  round(round(sum(buy_vol), 6) - round(sum(sell_vol), 6), 6) AS ofi
+  min(low) AS low, arg_max(close, pos) AS close, sum(volume) AS volume,
+  coalesce(sum(avg_price * volume) / nullif(sum(volume), 0), arg_max(close, pos)) AS avg_price,
+  sum(buy_vol) AS buy_vol, sum(sell_vol) AS sell_vol, sum(buy_vol) - sum(sell_vol) AS ofi
  FROM bars GROUP BY 1, 2, 3 HAVING count(*) = 6)
 ;;
 """
@@ -33,7 +32,7 @@ def resample_bars(spark, folder):
 cnt AS (SELECT series_id, pos // 24 AS day, state, count(*) AS n FROM valid GROUP BY ALL),
 top AS (SELECT * FROM cnt QUALIFY row_number() OVER (PARTITION BY series_id, day ORDER BY n DESC, state) = 1),
 day AS (SELECT series_id, pos // 24 AS day, arg_min(open, pos) AS open, max(high) AS high, min(low) AS low,
- arg_max(close, pos) AS close, round(sum(volume), 6) AS volume FROM bars GROUP BY 1, 2)
+ arg_max(close, pos) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2)
 ;;
 SELECT d.*, TIMESTAMP '1970-01-01' + to_days(CAST(d.day AS INT)) AS ts, t.state FROM day d LEFT JOIN top t ON t.series_id = d.series_id AND t.day = d.day""")
 def daily_overview(spark, folder):

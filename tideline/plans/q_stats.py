@@ -110,7 +110,7 @@ def horizon_matrix(spark, folder):
 def label_characterisation(spark, folder):
     c = stage(inp.valid_rows(spark, folder).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_k")))
     total = c.groupBy("_k").agg(F.sum("n").alias("_t"))
-    return c.join(total, "_k").withColumn("pct", F.col("n") / F.col("_t") * 100)
+    return c.join(total, "_k").withColumns({"pct": F.col("n") / F.col("_t") * 100, "reliable": F.col("n") >= 20})
 
 
 PAIRS = """
@@ -125,15 +125,15 @@ def _pairs(spark, folder):
     return st.next_row_pairs(v, ("series_id", "fold"), ("regime",), ("fwd_2",))
 
 
-@query("label_transitions", "from_regime to_regime n:l pct:d mean_ret:d pct_pos:d", PAIRS + """
-SELECT from_regime, to_regime, n, pct, mean_ret, pct_pos FROM (
+@query("label_transitions", "from_regime to_regime n:l reliable:b pct:d mean_ret:d pct_pos:d", PAIRS + """
+SELECT from_regime, to_regime, n, n >= 20 AS reliable, pct, mean_ret, pct_pos FROM (
  SELECT from_regime, to_regime, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct, avg(to_fwd_2) AS mean_ret, 100 * avg(CAST(to_fwd_2 > 0 AS INT)) AS pct_pos
- FROM pr GROUP BY 1, 2) WHERE n >= 20""")
+ FROM pr GROUP BY 1, 2)""")
 def label_transitions(spark, folder):
     p = stage(_pairs(spark, folder).groupBy("from_regime", "to_regime").agg(
         F.count(F.lit(1)).alias("n"), F.avg("to_fwd_2").alias("mean_ret"), st.share(F.col("to_fwd_2") > 0).alias("pct_pos"), F.lit(1).alias("_k")))
     total = p.groupBy("_k").agg(F.sum("n").alias("_t"))
-    return p.join(total, "_k").withColumn("pct", F.col("n") / F.col("_t") * 100).filter("n >= 20")
+    return p.join(total, "_k").withColumns({"pct": F.col("n") / F.col("_t") * 100, "reliable": F.col("n") >= 20})
 
 
 @query("transition_category", "category n:l mean_ret:d pct_pos:d", PAIRS.replace(";;", "") + """,

@@ -51,9 +51,10 @@ def running_duration(stream: DataFrame, state_col: str = "state") -> DataFrame:
 
 
 def ema(stream: DataFrame, span: int, column: str = "close") -> DataFrame:
-    """Exponential mean with the batch operator's rules for start, gaps and long silences.
+    """Exponential mean with the batch operator's rules for start, gaps and long silences: after a silence longer than
+    the mean's memory the last value is the mean.
 
-    State: last slot, last value, mean there, slots since the mean began."""
+    State: last slot, last value, mean there, slots since the series began."""
     reach, alpha = memory(span), 2 / (span + 1)
 
     def step(pdf, old):
@@ -63,10 +64,12 @@ def ema(stream: DataFrame, span: int, column: str = "close") -> DataFrame:
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             p, v, count = pos[lo:hi], x[lo:hi], pos[lo:hi] - pos[lo] + 1
             lead = 0
-            if lo == 0 and old is not None and pos[0] - old[0] <= reach:
-                gap = int(pos[0] - old[0]) - 1  # empty slots repeat the stored value
-                v = np.concatenate([[old[1] + (1 - alpha) ** gap * (old[2] - old[1])], v])
-                p, lead, count = np.concatenate([[pos[0] - 1], p]), 1, pos[lo:hi] - old[0] + old[3]
+            last = old if lo == 0 else (pos[lo - 1], x[lo - 1], e[lo - 1], n[lo - 1])
+            if last is not None:
+                gap = int(p[0] - last[0]) - 1  # empty slots repeat the stored value
+                v = np.concatenate([[last[1] + (1 - alpha) ** gap * (last[2] - last[1])], v])
+                count = p - last[0] + last[3]
+                p, lead = np.concatenate([[p[0] - 1], p]), 1
             at = p - p[0]
             grid = pd.Series(v, index=at).reindex(range(int(at[-1]) + 1))
             # the carried mean is a seed, not a value to repeat; it is directly followed by a row
