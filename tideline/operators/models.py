@@ -18,15 +18,20 @@ from ..functions.blocks import with_position
 from ..sources import stores
 from .metrics import roc_auc
 
-RF_GRID = (  # fixed settings: depth, minimum rows per leaf, features per split
-    {"maxDepth": 5, "minInstancesPerNode": 1, "featureSubsetStrategy": "sqrt"},
-    {"maxDepth": 5, "minInstancesPerNode": 50, "featureSubsetStrategy": "sqrt"},
-    {"maxDepth": 8, "minInstancesPerNode": 50, "featureSubsetStrategy": "sqrt"},
-    {"maxDepth": 8, "minInstancesPerNode": 100, "featureSubsetStrategy": "sqrt"},
-    {"maxDepth": 6, "minInstancesPerNode": 200, "featureSubsetStrategy": "sqrt"},
-    {"maxDepth": 4, "minInstancesPerNode": 100, "featureSubsetStrategy": "log2"},
-    {"maxDepth": 3, "minInstancesPerNode": 200, "featureSubsetStrategy": "log2"},
-)
+# Fixed values of the forest studies. Spark's trees have no minimum split size, so min_samples_split has no counterpart.
+RF_GRID = {
+    "RF-1": {"maxDepth": 3, "minInstancesPerNode": 100, "featureSubsetStrategy": "sqrt"},
+    "RF-2": {"maxDepth": 5, "minInstancesPerNode": 100, "featureSubsetStrategy": "sqrt"},
+    "RF-3": {"maxDepth": 5, "minInstancesPerNode": 250, "featureSubsetStrategy": "sqrt"},
+    "RF-4": {"maxDepth": 8, "minInstancesPerNode": 100, "featureSubsetStrategy": "sqrt"},
+    "RF-5": {"maxDepth": 8, "minInstancesPerNode": 250, "featureSubsetStrategy": "sqrt"},
+    "RF-6": {"maxDepth": 5, "minInstancesPerNode": 100, "featureSubsetStrategy": "0.5"},
+    "RF-7": {"maxDepth": 8, "minInstancesPerNode": 250, "featureSubsetStrategy": "0.5"},
+}
+RF_BASE = {"maxDepth": 8, "minInstancesPerNode": 50, "featureSubsetStrategy": "sqrt"}
+
+
+RANGE_ROWS = 100_000
 
 
 @dataclass
@@ -64,8 +69,9 @@ def boosted(rounds: int = 100, depth: int = 3, rate: float = 0.1, seed: int = 42
 
 
 def xgb_like(rounds: int = 200, seed: int = 42) -> GBTClassifier:
-    """Boosting on 80 % row samples with at least 50 rows per leaf."""
-    return boosted(rounds, seed=seed, subsamplingRate=0.8, minInstancesPerNode=50)
+    """Boosting at rate 0.05 on 80 % row samples. At least 50 rows per leaf stand in for a least sum of second derivatives,
+    which Spark's trees do not offer."""
+    return boosted(rounds, rate=0.05, seed=seed, subsamplingRate=0.8, minInstancesPerNode=50)
 
 
 def fit_pool(pool: DataFrame, features, make, lo: float = 0.4, hi: float = 0.6):
@@ -84,28 +90,36 @@ def predict(model, rows: DataFrame, features) -> DataFrame:
     return out.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def walk(rows: DataFrame, features, make, folds, min_pool: int = 500, keep=("series_id", "pos", "label")) -> tuple[DataFrame, list[Fit]]:
-    """Each fold is predicted by a model of all earlier folds' labelled rows; only trending rows are scored."""
+def training_pool(rows: DataFrame, fold: int) -> DataFrame:
+    """Rows of earlier folds; if rows carry `late` (within the embargo before the next fold), those right before the fold
+    are left out."""
+    pool = rows.filter(F.col("fold") < fold)
+    return pool.filter(~(F.col("late") & (F.col("fold") == fold - 1))) if "late" in rows.columns else pool
+
+
+def walk(rows: DataFrame, features, make, folds, min_pool: int = 500, keep=("series_id", "pos", "label"), lo: float = 0.4,
+         hi: float = 0.6) -> tuple[DataFrame, list[Fit]]:
+    """Each fold is predicted by a model of all earlier folds' labelled rows; only trending rows are scored. Folds with too
+    small a pool are left out; if all are, the predictions are an empty table."""
     path, fits = stores.table_path(rows.sparkSession, "predictions"), []
     for f in folds:
-        model, n, rate = fit_pool(rows.filter(F.col("fold") < f), features, make)
+        model, n, rate = fit_pool(training_pool(rows, f), features, make, lo, hi) if f > min(folds) else (None, 0, None)
         if model is None or n < min_pool:
             continue
         p = predict(model, rows.filter((F.col("fold") == f) & F.col("is_trending")), features)
         stores.write_partitioned(p.select(*keep, "score", F.lit(f).alias("fold")), path, "fold")
         fits.append(Fit(f, model, n, rate))
     if not fits:
-        raise ValueError("no fold has enough earlier rows")
+        return rows.select(*keep, F.lit(0.0).alias("score"), F.col("fold").cast("int").alias("fold")).limit(0), fits
     return rows.sparkSession.read.parquet(path), fits
 
 
 def train_auc(rows: DataFrame, features, fits) -> DataFrame:
     """AUC of each fold's model on its own training pool."""
-    out = None
+    out = rows.sparkSession.createDataFrame([], "fold int, train_auc double")
     for x in fits:
-        p = predict(x.model, rows.filter((F.col("fold") < x.fold) & F.col("label").isNotNull()), features)
-        a = roc_auc(p.select("label", "score", F.lit(x.fold).alias("fold")), ["fold"]).select("fold", F.col("auc").alias("train_auc"))
-        out = a if out is None else out.unionByName(a)
+        p = predict(x.model, training_pool(rows, x.fold).filter(F.col("label").isNotNull()), features)
+        out = out.unionByName(roc_auc(p.select("label", "score", F.lit(x.fold).alias("fold")), ["fold"]).select("fold", F.col("auc").alias("train_auc")))
     return out
 
 
@@ -140,7 +154,9 @@ def permutation_importance(model, rows: DataFrame, features, repeats: int, key:
     pick = F.coalesce(*[F.when(F.col("feature") == f, F.col(f)) for f in feats])
     pairs = pairs.withColumns({"_v": pick, "_s": F.xxhash64("_h", "feature", "rep", F.lit(seed))})
     k = ["feature", "rep"]
-    coarse = lambda c: F.shiftright(c, 56)
+    most = max(1, rows.count() * len(feats) * repeats // RANGE_ROWS)
+    bits = min(24, max(8, most.bit_length()))  # hash ranges grow with the rows, so a range keeps its size
+    coarse = lambda c: F.shiftright(c, 64 - bits)
     a = with_position(pairs.drop("_v", "_s"), k, ("_h", "_id"), coarse("_h"), "_p")
     b = with_position(pairs.select(*k, "_s", "_id", "_v"), k, ("_s", "_id"), coarse("_s"), "_p").select(*k, "_p", "_v")
     mixed = a.join(b, [*k, "_p"]).withColumns({f: F.when(F.col("feature") == f, F.col("_v")).otherwise(F.col(f)) for f in feats})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.blocks import chunk_of, stage
-from ..functions.columns import full
+from ..functions.columns import full, since
 from ..operators import folds as fo, labels as lb, metrics as mt, models as ml, structure as st, walk as wk
 from . import inputs as inp
 from .q_labels import LABEL, labelled
@@ -15,12 +15,27 @@ from .registry import query
 
 BASE = ("confidence", "px_z", "vol_z", "ofi_z")
 RAW = ("ret_1", "ret_2", "ret_4", "vol_4", "vol_6", "vol_change", "skew_6", "asym_6")
-FOLDS = (1, 2, 3)
-POOL = 60
+POOL = 500
+EMBARGO_HOURS = 4
+WEEK = 7 * 24
+TREES = 300
+GRID_TREES = 50  # trees and rounds of the studies that fit a model per setting and fold; their functions default to the published 300, 100 and 200
+ROUNDS = 40
 
 
 def rows(spark, folder):
-    return stage(labelled(spark, folder))
+    """Valid rows with labels that know nothing of later folds: each fold's epsilon comes from earlier rows, a forward move that
+    ends in the next fold counts as unknown, and rows within the embargo before the next fold are marked late."""
+    hour = F.floor(F.pmod(since(inp.WEEK0), F.lit(WEEK * 3_600_000_000)) / 3_600_000_000)
+    v = inp.valid_rows(spark, folder).filter("fold >= 0").withColumns({
+        "late": hour >= WEEK - EMBARGO_HOURS, **{f"fwd_{h}": F.when(hour + h < WEEK, F.col(f"fwd_{h}")) for h in inp.HORIZONS}})
+    v = stage(v)
+    return stage(lb.frozen_epsilon(v, "fwd_2", folds_of(v), min_pool=50)[0]) if folds_of(v) else lb.persistence(
+        v.withColumns({"epsilon": F.lit(None).cast("double"), "bootstrap": F.lit(True)}), "fwd_2", F.col("epsilon"))
+
+
+def folds_of(r):
+    return [x[0] for x in r.select("fold").distinct().orderBy("fold").collect()]
 
 
 def lr(n):
@@ -35,29 +50,31 @@ def _fold_auc(p):
 SELECT fold, n, r AS pos_rate, NOT r BETWEEN 0.4 AND 0.6 AS balanced, CASE WHEN r BETWEEN 0.4 AND 0.6 THEN 1 ELSE 0.5 / r END AS w_pos,
  CASE WHEN r BETWEEN 0.4 AND 0.6 THEN 1 ELSE 0.5 / (1 - r) END AS w_neg FROM (SELECT fold, count(*) AS n, avg(label) AS r FROM lab WHERE label IS NOT NULL GROUP BY 1)""")
 def class_weight_rule(spark, folder):
-    return ml.class_weights(rows(spark, folder))
+    return ml.class_weights(labelled(spark, folder))
 
 
 @query("lr_walk_forward", "fold:l n_pos:l n_neg:l auc:d")
 def lr_walk_forward(spark, folder):
-    p, _ = ml.walk(rows(spark, folder), BASE, lr, FOLDS, POOL)
+    r = rows(spark, folder)
+    p, _ = ml.walk(r, BASE, lr, folds_of(r), POOL)
     return _fold_auc(p)
 
 
 @query("rf_walk_forward", "fold:l auc:d train_auc:d")
 def rf_walk_forward(spark, folder):
     r = rows(spark, folder)
-    p, fits = ml.walk(r, BASE, lambda n: ml.forest(20, maxDepth=5), FOLDS, POOL)
+    p, fits = ml.walk(r, BASE, lambda n: ml.forest(TREES, **ml.RF_BASE), folds_of(r), POOL, lo=0.5, hi=0.5)
     return _fold_auc(p).join(ml.train_auc(r, BASE, fits), "fold")
 
 
-@query("rf_grid", "setting:l auc:d train_auc:d gap:d")
+@query("rf_grid", "setting auc:d train_auc:d gap:d")
 def rf_grid(spark, folder):
     r = rows(spark, folder)
     out = None
-    for i, kw in enumerate(ml.RF_GRID):
-        p, fits = ml.walk(r, BASE, lambda n: ml.forest(10, **kw), FOLDS[-1:], POOL)
-        a = _fold_auc(p).join(ml.train_auc(r, BASE, fits), "fold").withColumn("setting", F.lit(i))
+    for name, kw in ml.RF_GRID.items():
+        p, fits = ml.walk(r, BASE, lambda n: ml.forest(GRID_TREES, **kw), folds_of(r), POOL, lo=0.5, hi=0.5)
+        a = _fold_auc(p).join(ml.train_auc(r, BASE, fits), "fold").groupBy(F.lit(name).alias("setting")).agg(
+            F.avg("auc").alias("auc"), F.avg("train_auc").alias("train_auc"))
         out = a if out is None else out.unionByName(a)
     return out.withColumn("gap", F.col("train_auc") - F.col("auc"))
 
@@ -65,14 +82,17 @@ def rf_grid(spark, folder):
 @query("gbt_fit", "part n:l auc:d")
 def gbt_fit(spark, folder):
     d = stage(fo.chronological_split(rows(spark, folder), "2024-01-22 00:00:00", "'4' HOUR"))
-    m, _, _ = ml.fit_pool(d.filter("part = 'train'"), BASE, lambda n: ml.boosted(20))
+    m, _, _ = ml.fit_pool(d.filter("part = 'train'"), BASE, lambda n: ml.boosted(ROUNDS))
+    if m is None:
+        return spark.createDataFrame([], "part string, n long, auc double")
     a = mt.roc_auc(ml.predict(m, d.filter("label IS NOT NULL"), BASE), ["part"])
     return a.withColumn("n", F.col("n_pos") + F.col("n_neg"))
 
 
 @query("xgb_walk_forward", "fold:l auc:d")
 def xgb_walk_forward(spark, folder):
-    p, _ = ml.walk(rows(spark, folder), BASE, lambda n: ml.xgb_like(10), FOLDS[-2:], POOL)
+    r = rows(spark, folder)
+    p, _ = ml.walk(r, BASE, lambda n: ml.xgb_like(ROUNDS), folds_of(r), POOL)
     return _fold_auc(p)
 
 
@@ -81,8 +101,10 @@ def model_choice(spark, folder):
     """Keeps the model with the better holdout AUC."""
     d = stage(fo.chronological_split(rows(spark, folder), "2024-01-22 00:00:00", "'4' HOUR"))
     out = None
-    for name, make in (("logistic", lr), ("boosted", lambda n: ml.boosted(10))):
+    for name, make in (("logistic", lr), ("boosted", lambda n: ml.boosted(ROUNDS))):
         m, _, _ = ml.fit_pool(d.filter("part = 'train'"), BASE, make)
+        if m is None:
+            return spark.createDataFrame([], "model string, auc double, chosen boolean")
         a = mt.roc_auc(ml.predict(m, d.filter("part = 'test' AND label IS NOT NULL"), BASE).withColumn("model", F.lit(name)), ["model"])
         out = a if out is None else out.unionByName(a)
     w = Window.partitionBy(F.lit(0))  # one row per model
@@ -95,13 +117,16 @@ def gate_score(spark, folder):
     r = rows(spark, folder)
     m, _, _ = ml.fit_pool(r, BASE, lr)
     last = r.groupBy("series_id").agg(F.max_by(F.struct("ts", "is_trending", *BASE), "pos").alias("x")).select("series_id", "x.*")
+    if m is None:
+        return last.withColumn("score", F.lit(None).cast("double"))
     return ml.predict(m, last, BASE).withColumn("score", F.when(F.col("is_trending"), F.col("score")))
 
 
 @query("feature_ablation", "variant n_features:l auc:d delta:d")
 def feature_ablation(spark, folder):
     variants = {"all": BASE} | {f"without {f}": tuple(x for x in BASE if x != f) for f in BASE}
-    a = ml.compare(variants, rows(spark, folder), lr, FOLDS[-1:], POOL)
+    r = rows(spark, folder)
+    a = ml.compare(variants, r, lr, folds_of(r), POOL)
     full_auc = a.groupBy(F.lit(1).alias("_k")).agg(F.max(F.when(F.col("variant") == "all", F.col("auc"))).alias("_all"))
     return a.withColumn("_k", F.lit(1)).join(full_auc, "_k").withColumn("delta", F.col("_all") - F.col("auc"))
 
@@ -109,18 +134,21 @@ def feature_ablation(spark, folder):
 @query("family_test", "variant n_features:l auc:d")
 def family_test(spark, folder):
     fam = {"base": (), "returns": ("ret_1", "ret_2", "ret_4"), "volatility": ("vol_4", "vol_6"), "shape": ("skew_6", "asym_6")}
-    return ml.compare({k: (*BASE, *v) for k, v in fam.items()}, rows(spark, folder), lr, FOLDS[-1:], POOL)
+    r = rows(spark, folder)
+    return ml.compare({k: (*BASE, *v) for k, v in fam.items()}, r, lr, folds_of(r), POOL)
 
 
 @query("raw_vs_derived", "variant n_features:l auc:d")
 def raw_vs_derived(spark, folder):
-    return ml.compare({"derived": BASE, "raw": RAW, "both": (*BASE, *RAW)}, rows(spark, folder), lr, FOLDS[-1:], POOL)
+    r = rows(spark, folder)
+    return ml.compare({"derived": BASE, "raw": RAW, "both": (*BASE, *RAW)}, r, lr, folds_of(r), POOL)
 
 
 @query("feature_importance_rank", "fold:l feature importance:d rnk:l")
 def feature_importance_rank(spark, folder):
     feats = (*BASE, *RAW)
-    _, fits = ml.walk(rows(spark, folder), feats, lambda n: ml.forest(15, maxDepth=5), FOLDS[-2:], POOL)
+    r = rows(spark, folder)
+    _, fits = ml.walk(r, feats, lambda n: ml.forest(GRID_TREES, **ml.RF_BASE), folds_of(r), POOL, lo=0.5, hi=0.5)
     t = spark.createDataFrame(ml.importances(fits, feats), "fold long, feature string, importance double")
     return t.withColumn("rnk", F.rank().over(Window.partitionBy("fold").orderBy(F.desc("importance"))))
 
@@ -128,14 +156,17 @@ def feature_importance_rank(spark, folder):
 @query("permutation_importance", "feature n_repeats:l mean_loss:d std_loss:d")
 def permutation_importance(spark, folder):
     r = rows(spark, folder)
-    _, fits = ml.walk(r, BASE, lr, FOLDS[-1:], POOL)
-    last = stage(r.filter((F.col("fold") == FOLDS[-1]) & F.col("is_trending") & F.col("label").isNotNull()))
+    _, fits = ml.walk(r, BASE, lr, folds_of(r), POOL)
+    if not fits:
+        return spark.createDataFrame([], "feature string, n_repeats long, mean_loss double, std_loss double")
+    last = stage(r.filter((F.col("fold") == fits[-1].fold) & F.col("is_trending") & F.col("label").isNotNull()))
     return ml.permutation_importance(fits[-1].model, last, BASE, 20, F.concat_ws("|", "series_id", "pos"))
 
 
 @query("coef_summary", "feature n_folds:l mean_coef:d std_coef:d")
 def coef_summary(spark, folder):
-    _, fits = ml.walk(rows(spark, folder), BASE, lr, FOLDS, POOL)
+    r = rows(spark, folder)
+    _, fits = ml.walk(r, BASE, lr, folds_of(r), POOL)
     t = spark.createDataFrame(ml.coefficients(fits, BASE), "fold long, feature string, coef double")
     return t.groupBy("feature").agg(F.count("coef").alias("n_folds"), F.avg("coef").alias("mean_coef"), F.stddev_samp("coef").alias("std_coef"))
 
@@ -184,8 +215,8 @@ def k_selection(spark, folder):
     """Volatility multiple by inner AUC: the larger AUC, the smaller k on ties."""
     v = _split(inp.valid_rows(spark, folder, lambda d, w: d.withColumn("past_vol", full("ret_1", w, 5, F.stddev_samp)), before=5).filter("fold < 2"))
     got = [(k, _inner_auc(lb.adaptive(v, "fwd_2", "past_vol", k), lr, BASE)) for k in (0.25, 0.5, 0.75, 1.0)]
-    best = max((a, -k) for k, a in got if a is not None)
-    return spark.createDataFrame([(k, a, (a, -k) == best) for k, a in got], "k double, auc double, chosen boolean")
+    best = max(((a, -k) for k, a in got if a is not None), default=None)
+    return spark.createDataFrame([(k, a, a is not None and (a, -k) == best) for k, a in got], "k double, auc double, chosen boolean")
 
 
 @query("threshold_validation", "cut:d n_rows:l auc:d keep:b")
