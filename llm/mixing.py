@@ -119,10 +119,10 @@ def mixed_documents(docs: DataFrame, cycle=CYCLE, schedule=SCHEDULE, most: int =
     have nothing to take. n_chars, if there is such a column, follows the text."""
     key = F.xxhash64("text")
     mixed = mix(docs.withColumn("_text", key), cycle, schedule, most, extra=("_text",))
-    taken = stage(copies(mixed, schedule).select(F.col("doc_id").alias("_id"), "_text", "size", "words", "position"))
+    taken = stage(copies(mixed, schedule).select(F.col("doc_id").alias("_id"), "_text", F.col("size").alias("_size"), F.col("words").alias("_words"), F.col("position").alias("_position")))
     rows = docs.withColumn("_k", key).join(small_side(taken), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_text")))
-    text = F.when(F.col("words") < F.col("size"), first_words(F.col("text"), F.col("words").cast("int"))).otherwise(F.col("text"))
+    text = F.when(F.col("_words") < F.col("_size"), first_words(F.col("text"), F.col("_words").cast("int"))).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return in_training_order(rows.select(*docs.columns, "position")).drop("position")
+    return in_training_order(rows.select(*docs.columns, "_position"), "_position").drop("_position")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 UNITS_KEPT = 600_000
 PAIRS_KEPT = 1_000_000
@@ -320,7 +320,7 @@ def longest_prefix(deltas: bytes, budget: int) -> int:
 
 def truncate(counted: DataFrame, budget: int) -> DataFrame:
     """Adds keep_chars: how much of each text fits the budget. Reads the stored counts, encodes nothing."""
-    schema = counted.schema.add("keep_chars", "long")
+    schema = T.StructType([*counted.schema.fields, T.StructField("keep_chars", T.LongType())])
 
     def run(batches):
         for batch in batches:
