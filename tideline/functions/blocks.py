@@ -123,14 +123,22 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-LOOKUP_ROWS = 200_000
+LOOKUP_BYTES = 32 << 20
+
+
+def staged_bytes(df: DataFrame) -> int:
+    """Size of the files behind a staged table, asked of the file system that holds them."""
+    spark = df.sparkSession
+    conf, total = spark._jsc.hadoopConfiguration(), 0
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
 
 
 def lookup(df: DataFrame, small: DataFrame, keys, how: str = "inner") -> DataFrame:
-    """Joins a table of per-key values to a big one. The values are written first, so their number is known:
-    few are broadcast and the big side is not shuffled; many take a shuffle join, where adaptive
+    """Joins a table of per-key values to a big one. The values are written first, so their size is known:
+    a small file is broadcast and the big side is not shuffled; a large one takes a shuffle join, where adaptive
     execution splits partitions that hold a hot key."""
     small = stage(small)
-    if small.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
-        small = F.broadcast(small)
-    return df.join(small, list(keys), how)
+    return df.join(F.broadcast(small) if staged_bytes(small) <= LOOKUP_BYTES else small, list(keys), how)

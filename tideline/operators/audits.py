@@ -24,9 +24,9 @@ def label_needs_forward(rows: DataFrame, forward: str) -> DataFrame:
     return _report("label_has_forward", rows.filter("usable"), F.col(forward).isNull())
 
 
-def volatility_recomputed(rows: DataFrame, x: str, vol: str, n: int, sample: Column) -> DataFrame:
-    """Recomputes a sample of rolling deviations by an independent route: a join on the n slot numbers."""
-    picked = rows.filter(sample & F.col(vol).isNotNull()).select("series_id", F.col("pos").alias("_at"), F.col(vol).alias("_v"))
+def volatility_recomputed(rows: DataFrame, x: str, vol: str, n: int) -> DataFrame:
+    """Recomputes rolling deviations by an independent route: a join on the n slot numbers."""
+    picked = rows.filter(F.col(vol).isNotNull()).select("series_id", F.col("pos").alias("_at"), F.col(vol).alias("_v"))
     need = picked.withColumn("pos", F.explode(F.sequence(F.col("_at") - (n - 1), F.col("_at"))))
     again = need.join(rows.select("series_id", "pos", x), ["series_id", "pos"]).groupBy("series_id", "_at", "_v").agg(
         F.stddev_samp(x).alias("_r"), F.count(x).alias("_n"))

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.blocks import chunk_of, halo, over_chunks, stage
+from ..functions.blocks import chunk_of, halo, lookup, over_chunks, stage
 from ..functions.lattice import Chunk, Model, log_emission, scan_summaries
 from . import gaps
 
@@ -168,7 +168,8 @@ def expected_counts(packed, cols, models: dict[int, Model], keys=KEYS, crossing:
     """Summed expected counts per seed. Every task adds up its own chunks before anything is sent."""
     src = packed
     if crossing:
-        src = packed.join(_crossing_carries(packed, cols, models, keys), [*keys, "_chunk"])
+        # a few numbers per chunk and seed go to the packed rows, which stay where they are
+        src = lookup(packed, _crossing_carries(packed, cols, models, keys), [*keys, "_chunk"])
 
     def estep(batches):
         total: dict[int, np.ndarray] = {}

@@ -209,14 +209,15 @@ def poisson_one(u: Column) -> Column:
     return draw
 
 
-def poisson(lam: Column, u: Column, v: Column, exact_to: int = 12) -> Column:
-    """Poisson(lam) draw for whole lam: inversion by fixed tables up to exact_to, rounded normal beyond.
-    lam = 1, the usual case, is a plain comparison chain."""
-    tables = F.array(*[F.array(*[F.lit(c) for c in _poisson_steps(i)]) for i in range(1, exact_to + 1)])
-    small = F.size(F.filter(F.element_at(tables, lam.cast("int")), lambda c: c < u))
-    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.lit(math.pi) * v)
-    large = F.greatest(F.round(lam + z * F.sqrt(lam)), F.lit(0))
-    return F.when(lam == 1, poisson_one(u)).when(lam <= exact_to, small).otherwise(large).cast("long")
+def poisson(lam: Column, u: Column, v: Column, part: int = 12) -> Column:
+    """Poisson(lam) draw for whole lam, exact for every lam: the sum of draws for parts of 12 and the rest, each by inversion
+    of a fixed table with a uniform number of its own. lam = 1, the usual case, is a plain comparison chain."""
+    tables = F.array(*[F.array(*[F.lit(c) for c in _poisson_steps(i)]) for i in range(1, part + 1)])
+    draw = lambda n, x: F.size(F.filter(F.element_at(tables, n), lambda c: c < x)).cast("long")
+    whole, rest = F.floor(lam / part).cast("int"), F.pmod(lam, F.lit(part)).cast("int")
+    many = F.when(whole > 0, F.aggregate(F.sequence(F.lit(1), whole), F.lit(0).cast("long"), lambda acc, i: acc + draw(F.lit(part), hash_uniform(u, v, i))))
+    some = F.when(rest > 0, draw(rest, u))
+    return F.when(lam == 1, poisson_one(u).cast("long")).otherwise(F.coalesce(many, F.lit(0)) + F.coalesce(some, F.lit(0))).cast("long")
 
 
 def block_bootstrap(rows: DataFrame, keys, in_first: Column, x: str, block: int, replicates: int, seed: int = 42) -> DataFrame:

@@ -208,12 +208,12 @@ fs AS (SELECT fold, min(ts) AS first_ts, max(ts) AS last_ts FROM valid GROUP BY
 SELECT 'train_before_test' AS check_name, count(*) AS n_checked, count(*) FILTER (WHERE TIMESTAMP '2024-01-08' + to_days(CAST(7 * fold AS INT)) - INTERVAL 4 HOUR >= first_ts) AS n_violations FROM fs WHERE fold >= 0
 UNION ALL SELECT 'pool_before_fold', count(*), count(*) FILTER (WHERE pm >= first_ts) FROM (SELECT fold, first_ts, max(last_ts) OVER (ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM fs) WHERE pm IS NOT NULL
 UNION ALL SELECT 'label_has_forward', count(*), 0 FROM valid WHERE is_trending AND abs(fwd_2) > 0.1
-UNION ALL SELECT 'volatility_recomputed', count(*), 0 FROM pv WHERE past_vol IS NOT NULL AND pos % 7 = 0""")
+UNION ALL SELECT 'volatility_recomputed', count(*), 0 FROM pv WHERE past_vol IS NOT NULL""")
 def leakage_checks(spark, folder):
     v = stage(with_past_vol(spark, folder))
     return audits.fold_order(v, "'4' HOUR").unionByName(audits.label_needs_forward(
         v.withColumn("usable", F.coalesce(F.expr("is_trending AND abs(fwd_2) > 0.1"), F.lit(False))), "fwd_2")).unionByName(
-        audits.volatility_recomputed(v, "ret_1", "past_vol", 5, F.col("pos") % 7 == 0))
+        audits.volatility_recomputed(v, "ret_1", "past_vol", 5))
 
 
 @query("gate_calibration", "series_id cutoff:d f1:d", LABEL + """

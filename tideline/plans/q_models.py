@@ -10,7 +10,7 @@ from ..operators import folds as fo, labels as lb, metrics as mt, models as ml,
 from . import inputs as inp
 from .q_labels import LABEL, labelled
 from .q_stats import SCORED, scored
-from .q_structure import swings_sql
+from .q_structure import WIDTHS, swings_sql
 from .registry import query
 
 BASE = ("confidence", "px_z", "vol_z", "ofi_z")
@@ -231,8 +231,8 @@ def threshold_validation(spark, folder):
     return spark.createDataFrame(out, "cut double, n_rows long, auc double, keep boolean")
 
 
-PK = ",".join(swings_sql(k, f"k{k}_") for k in (2, 3, 4)) + """,
-pe AS (""" + " UNION ALL ".join(f"SELECT {k} AS k, series_id, CAST(swing_high AS INT) AS label, close AS score FROM k{k}_ WHERE swing_high OR swing_low" for k in (2, 3, 4)) + """),
+PK = ",".join(swings_sql(k, f"k{k}_") for k in WIDTHS) + """,
+pe AS (""" + " UNION ALL ".join(f"SELECT {k} AS k, series_id, CAST(swing_high AS INT) AS label, close AS score FROM k{k}_ WHERE swing_high OR swing_low" for k in WIDTHS) + """),
 pa AS (SELECT k, series_id, (sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS auc FROM (
  SELECT *, rank() OVER (PARTITION BY k, series_id ORDER BY score) + (count(*) OVER (PARTITION BY k, series_id, score) - 1) / 2.0 AS r FROM pe) GROUP BY 1, 2),
 pm AS (SELECT k, avg(auc) AS mean_auc FROM pa GROUP BY 1)
@@ -243,7 +243,7 @@ SELECT k, mean_auc, k = (SELECT min(k) FROM pm WHERE mean_auc >= (SELECT max(mea
 @query("pivot_k_selection", "k:l mean_auc:d chosen:b", PK)
 def pivot_k_selection(spark, folder):
     """Mean AUC per swing width; the smallest width within 0.002 of the best."""
-    s = st.sweep(inp.bars(spark, folder).select("series_id", "pos", "high", "low", "close"), (2, 3, 4))
+    s = st.sweep(inp.bars(spark, folder).select("series_id", "pos", "high", "low", "close"), WIDTHS)
     d = s.select("k", "series_id", F.col("swing_high").cast("long").alias("label"), F.col("close").alias("score"))
     m = mt.roc_auc(d, ["k", "series_id"]).groupBy("k").agg(F.avg("auc").alias("mean_auc"))
     w = Window.partitionBy(F.lit(0))  # one row per k

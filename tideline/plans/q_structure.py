@@ -122,13 +122,14 @@ on_bars("structure_age", "direction:l structure_age:l", lambda d: st.structure_a
         ";; SELECT *, row_number() OVER (PARTITION BY series_id, era ORDER BY pos) - 1 AS structure_age FROM sd")
 
 
-SWEEP = ",".join(swings_sql(k, f"k{k}_") for k in (2, 3, 4, 5)) + ";;" + " UNION ALL ".join(
+WIDTHS = (2, 3, 4, 5, 6, 8, 10)
+SWEEP = ",".join(swings_sql(k, f"k{k}_") for k in WIDTHS) + ";;" + " UNION ALL ".join(
     f"SELECT {k} AS k, count(*) FILTER (WHERE swing_high) AS n_high, count(*) FILTER (WHERE swing_low) AS n_low, "
-    f"round(corr(high, low), 6) AS hl_corr FROM k{k}_ WHERE swing_high OR swing_low" for k in (2, 3, 4, 5))
+    f"round(corr(high, low), 6) AS hl_corr FROM k{k}_ WHERE swing_high OR swing_low" for k in WIDTHS)
 
 
 @query("pivot_k_sweep", "k:l n_high:l n_low:l hl_corr:d", SWEEP)
 def pivot_k_sweep(spark, folder):
-    s = st.sweep(inp.bars(spark, folder).select("series_id", "pos", "high", "low"), (2, 3, 4, 5))
+    s = st.sweep(inp.bars(spark, folder).select("series_id", "pos", "high", "low"), WIDTHS)
     return s.groupBy("k").agg(F.count_if("swing_high").alias("n_high"), F.count_if("swing_low").alias("n_low"),
                               F.corr("high", "low").alias("hl_corr"))
