@@ -29,7 +29,7 @@ from .common import small_side, stage
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 BANDS, BAND_WIDTH = 6, 3
 BLOCK = 64  # members of a group that are opened together
 QUERIES = 512  # queries of a block in one task
@@ -89,7 +89,7 @@ def profile(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def commonness(profiled: DataFrame) -> np.ndarray:
-    """Level of each sketch cell: 0 up to the usual count, then two levels per doubling. Sketches are summed in a tree, so
+    """Level of each sketch cell: 0 up to the usual count, then eight levels per doubling. Sketches are summed in a tree, so
     the driver gets a few of fixed size."""
     read = lambda raw: np.frombuffer(zlib.decompress(raw), np.int32).astype(np.int64)
     rows = profiled.filter("sketch IS NOT NULL").select("sketch")
@@ -107,7 +107,7 @@ def commonness(profiled: DataFrame) -> np.ndarray:
         rows = stage(rows.repartition(many).mapInArrow(add, "sketch binary"))
     total = sum((read(r[0]) for r in rows.collect()), np.zeros(1 << SKETCH_BITS, np.int64))
     usual = max(1.0, float(np.median(total[total > 0]))) if (total > 0).any() else 1.0
-    return np.clip(np.floor(2 * np.log2(np.maximum(total, 1) / usual)), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(8 * np.log2(np.maximum(total, 1) / usual)), 0, 255).astype(np.uint8)
 
 
 def in_order(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
