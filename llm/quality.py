@@ -31,8 +31,9 @@ _DIGIT[48:58] = True
 class Settings:
     sample: int = 8192  # labelled rows that take part in the fit, at most about
     rank: int = 48
-    neighbours: int = 25
-    sharpness: float = 8.0
+    neighbours: int = 9
+    sharpness: float = 30.0
+    event_weight: float = 2.0
     prior_weight: float = 0.02
 
 
@@ -83,10 +84,11 @@ class Model:
     settings: Settings
 
     def weights(self, counts: np.ndarray) -> np.ndarray:
-        """Pairs and events each take half of a row's length, so that the few events are heard."""
+        """Pairs and events are scaled to a fixed length each, so that the few events are heard."""
         out = np.sqrt(counts) * self.idf
         for part in (slice(0, PAIRS), slice(PAIRS, None)):
             out[:, part] /= np.maximum(np.linalg.norm(out[:, part], axis=1, keepdims=True), 1e-9)
+        out[:, PAIRS:] *= self.settings.event_weight
         return out
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
