@@ -60,7 +60,7 @@ def mix(docs: DataFrame, cycle=CYCLE, schedule=SCHEDULE, most: int = MOST_REPEAT
     Running sums are cut by the hash, so a source that holds a third of all rows spreads over many tasks."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = stage(docs.select("doc_id", "source", n_words().alias("size"), key.alias("_key"), *extra)
-                 .withColumn("_part", F.substring("_key", 1, 4)))
+                 .withColumn("_part", F.substring("_key", 1, 3)))  # at most 4,096 parts of a source
     aims = stage(targets(rows.select("source", "size"), cycle, most))
     parts = rows.groupBy("source", "_part").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
