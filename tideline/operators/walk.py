@@ -8,6 +8,11 @@ from ..functions.blocks import stage
 from ..functions.lattice import Model
 from ..sources import stores
 from . import gaps, hmm, scaling as sc, states as ss
+from .models import training_pool
+
+
+DECODED = ("series_id string, pos long, state long, regime string, trend_sign long, confidence double, gain double, "
+           "model_id string, fold int")
 
 
 def moment_model(rows: DataFrame, cols, base: Model) -> Model:
@@ -24,7 +29,8 @@ def moment_model(rows: DataFrame, cols, base: Model) -> Model:
 
 def walk_forward(rows: DataFrame, cols, k: int, folds: list[int], model_id: str, seeds=(1, 2), max_iter: int = 5,
                  min_train: int = 500, min_test: int = 5, trend_cols=(), vol_cols=()) -> tuple[DataFrame, list[dict]]:
-    """For each fold: slice, scale on the training rows, fit, name the states, decode the fold.
+    """For each fold: slice, scale on the training rows, fit, name the states, decode the fold. Rows marked late (within the
+    embargo before the fold) don't train.
 
     ``rows`` must be staged. Decoded rows go to one table partitioned by fold; a rerun of a fold rewrites
     only its partition. Returns the decoded table and one record per fold (skipped ones included)."""
@@ -36,7 +42,7 @@ def walk_forward(rows: DataFrame, cols, k: int, folds: list[int], model_id: str,
         if n_train < min_train or n_test < min_test:
             facts.append({"fold": f, "status": "skipped", "n_train": n_train, "n_test": n_test})
             continue
-        train, test = rows.filter(F.col("fold") < f), rows.filter(F.col("fold") == f)
+        train, test = training_pool(rows, f), rows.filter(F.col("fold") == f)
         scaler = sc.scaler_fit(train, cols)
         model, log = hmm.fit(stage(sc.scaler_apply(train.select("series_id", "pos", *cols), scaler, cols)), cols, k, seeds, max_iter)
         scaled = sc.scaler_apply(test.select("series_id", "pos", "ts", *cols), scaler, cols)
@@ -50,6 +56,8 @@ def walk_forward(rows: DataFrame, cols, k: int, folds: list[int], model_id: str,
         best = next(e for e in log if e["best"])
         facts.append({"fold": f, "status": "ok", "n_train": n_train, "n_test": n_test, "train_ll": best["ll"], "best_seed": best["seed"],
                       "n_converged": sum(e["converged"] for e in log), "n_failed": sum(e["error"] is not None for e in log)})
+    if not any(x["status"] == "ok" for x in facts):
+        return spark.createDataFrame([], DECODED), facts
     return spark.read.parquet(path), facts
 
 

@@ -18,6 +18,8 @@ from . import inputs as inp
 from .registry import query
 
 COLS = ("px_z", "ofi_z")
+SEEDS = (1, 2, 3, 4, 5)
+LOGGED_ITERATIONS = 25  # of the fits made only for their log
 START = (0.3, 0.4, 0.3)
 TRANS = ((0.8, 0.15, 0.05), (0.1, 0.8, 0.1), (0.05, 0.15, 0.8))
 MEAN = ((-0.9, -0.3), (0.0, 0.0), (0.9, 0.3))
@@ -202,14 +204,14 @@ def current_state(spark, folder):
 
 @query("hmm_fit", "model_id state:l start:d m0:d m1:d v0:d v1:d")
 def hmm_fit(spark, folder):
-    m, _ = hmm.fit(stage(_valid(spark, folder)), COLS, 3, seeds=(1,), max_iter=8)
+    m, _ = hmm.fit(stage(_valid(spark, folder)), COLS, 3, seeds=SEEDS, max_iter=100)
     t = hmm.model_table(spark, "hourly_3", m)
     return t.withColumns({"m0": F.element_at("mean", 1), "m1": F.element_at("mean", 2), "v0": F.element_at("var", 1), "v1": F.element_at("var", 2)})
 
 
 @query("hmm_restarts", "seed:l ll:d n_iter:l converged:b best:b")
 def hmm_restarts(spark, folder):
-    _, log = hmm.fit(stage(_valid(spark, folder)), COLS, 3, seeds=(1, 2, 3, 4, 5), max_iter=5)
+    _, log = hmm.fit(stage(_valid(spark, folder)), COLS, 3, seeds=SEEDS, max_iter=100)
     return hmm.log_table(spark, log)
 
 
@@ -219,7 +221,7 @@ def restart_log(spark, folder):
     v = stage(_valid(spark, folder))
     path = stores.table_path(spark, "restart-log")
     for k in (2, 3):
-        _, log = hmm.fit(v, COLS, k, seeds=(1, 2), max_iter=3)
+        _, log = hmm.fit(v, COLS, k, seeds=SEEDS, max_iter=LOGGED_ITERATIONS)
         hmm.log_table(spark, log).withColumn("model_id", F.lit(f"hourly_{k}")).write.mode("append").partitionBy("model_id").parquet(path)
     return spark.read.parquet(path)
 

@@ -21,6 +21,7 @@ WEEK = 7 * 24
 TREES = 300
 GRID_TREES = 50  # trees and rounds of the studies that fit a model per setting and fold; their functions default to the published 300, 100 and 200
 ROUNDS = 40
+WALK_ITERATIONS = 15
 
 
 def rows(spark, folder):
@@ -253,8 +254,8 @@ def pivot_k_selection(spark, folder):
 
 @query("walk_forward", "model_id fold:l n_rows:l n_runs:l ll_per_row:d mean_confidence:d aligned_mean:d mean_minutes:d")
 def walk_forward(spark, folder):
-    v = stage(inp.valid_rows(spark, folder))
-    d, _ = wk.walk_forward(v, ("ret_1", "px_z", "vol_6"), 3, [0, 1, 2, 3], "hourly_3", seeds=(1, 2), max_iter=3,
+    v = rows(spark, folder)
+    d, _ = wk.walk_forward(v, ("ret_1", "px_z", "vol_6"), 3, folds_of(v), "hourly_3", seeds=(1, 2, 3, 4, 5), max_iter=WALK_ITERATIONS,
                            min_train=500, trend_cols=("ret_1", "px_z"), vol_cols=("vol_6",))
     return wk.fold_report(d, v.select("series_id", "pos", "ts", "fwd_2"), inp.MINUTES)
 

@@ -449,13 +449,13 @@ def kruskal_wallis(spark, folder):
 
 @query("bootstrap_auc_ci", "fold:l n_replicates:l mean_auc:d lo:d hi:d")
 def bootstrap_auc_ci(spark, folder):
-    return st.bootstrap_auc(scored(spark, folder), ["fold"], 50)
+    return st.bootstrap_auc(scored(spark, folder), ["fold"], 200)
 
 
 @query("block_bootstrap_ci", "series_id n_replicates:l mean_diff:d lo:d hi:d excludes_zero:b")
 def block_bootstrap_ci(spark, folder):
     up = F.when(F.col("trend_sign") == 1, True).when(F.col("trend_sign") == -1, False)
-    return st.block_bootstrap(inp.valid_rows(spark, folder), K, up, "fwd_2", 24, 500)
+    return st.block_bootstrap(inp.valid_rows(spark, folder), K, up, "fwd_2", 24, 2_000)
 
 
 def _effect_sql(first, where="true"):
