@@ -33,6 +33,7 @@ SKETCH_BITS = 20
 BANDS, BAND_WIDTH = 6, 3
 BLOCK = 64  # members of a group that are opened together
 QUERIES = 512  # queries of a block in one task
+PAIRS_KEPT = 1_000_000  # pairs a task remembers, so as not to make them again
 _TURNS = mix(np.arange(1, 2 * BANDS * BAND_WIDTH + 1, dtype=np.uint64)).reshape(2, -1)
 
 
@@ -59,33 +60,55 @@ def bands(tokens: np.ndarray) -> list[int]:
     return mix((low * _TURNS[0, :BAND_WIDTH] | np.uint64(1)).sum(axis=1, dtype=np.uint64) + mix(low[:, 0])).view(np.int64).tolist()
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit per cell, about as many cells as tokens: whether an odd number of tokens falls there. Tokens of two sets' difference
+    alone change bits, so the number of unequal bits is at most the size of the difference."""
+    cells = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Lower bound of the size of the difference of two sets; the longer parity is folded to the shorter."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    long, short = max(len(a), len(b)) * 8, min(len(a), len(b)) * 8
+    if len(a) < len(b):
+        x, y = y, x
+    while long > short:
+        long //= 2
+        x = (x >> long) ^ (x & ((1 << long) - 1))
+    return (x ^ y).bit_count()
+
+
 def profile(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, text_key, n, sid, bands of every row; and per task one row that has only a sketch: how many sets have a token, by the
+    """doc_id, text_key, n, sid, bands, parity of every row (bands and parity once per set and batch); and per task one row that has only a sketch: how many sets have a token, by the
     first bits of the token."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
-            sizes, sids, lows, seen = [], [], [], set()
+            sizes, sids, lows, odds, seen = [], [], [], [], set()
             for tokens in shingle_sets(batch.column(1), rule.words):
                 sid = set_id(tokens) if len(tokens) else None
                 sizes.append(len(tokens))
                 sids.append(sid)
                 if sid is None or sid in seen:
                     lows.append(None)
+                    odds.append(None)
                     continue
                 lows.append(bands(tokens))
+                odds.append(parity(tokens))
                 seen.add(sid)
                 np.add.at(counts, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             yield _table([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(sids, pa.int64()), pa.array(lows, pa.list_(pa.int64())),
-                          pa.nulls(len(sizes), pa.binary())])
+                          pa.array(odds, pa.binary()), pa.nulls(len(sizes), pa.binary())])
         yield _table([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())),
-                      pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())])
+                      pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())])
 
     def _table(columns):
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "sid", "bands", "sketch"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "sid", "bands", "parity", "sketch"])
 
-    return stage(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n int, sid long, bands array<long>, sketch binary"))
+    return stage(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n int, sid long, bands array<long>, parity binary, sketch binary"))
 
 
 def commonness(profiled: DataFrame) -> np.ndarray:
@@ -175,10 +198,17 @@ def open_groups(docs: DataFrame, places: DataFrame, rule: Rule) -> DataFrame:
 
 
 def leaders(sets: DataFrame, rule: Rule) -> DataFrame:
-    """places for the first round: a band's smallest set is the member, the others of the band the queries."""
-    banded = sets.select("sid", "n", "doc_id", F.posexplode("bands").alias("band", "low"))
-    lead = banded.groupBy("band", "low").agg(F.min("sid").alias("grp"), F.count(F.lit(1)).alias("many"), F.min_by("n", "sid").alias("m"),
-                                             F.min_by("doc_id", "sid").alias("lead_doc")).filter("many > 1")
+    """places for the first round: the most central set of a band is the member, the others of the band the queries.
+
+    Central is the set whose bands are shared by most sets in all: in a family of edited copies that is the text they come
+    from, which links with copies that do not link with each other."""
+    banded = stage(sets.select("sid", "n", "doc_id", F.posexplode("bands").alias("band", "low")))
+    shared = banded.groupBy("band", "low").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    banded = stage(banded.join(shared, ["band", "low"]))
+    central = banded.groupBy("sid").agg(F.sum("many").alias("weight"))
+    banded = stage(banded.join(central, "sid"))
+    rank = F.struct(F.col("weight"), F.col("sid"))
+    lead = banded.groupBy("band", "low").agg(F.max_by("sid", rank).alias("grp"), F.max_by("n", rank).alias("m"), F.max_by("doc_id", rank).alias("lead_doc"))
     pairs = stage(banded.join(lead, ["band", "low"]).filter("sid <> grp AND 100 * least(n, m) >= %d * greatest(n, m)" % rule.percent)
                   .groupBy("grp", "sid").agg(F.min("doc_id").alias("doc_id"), F.min("lead_doc").alias("lead_doc")))
     parts = pairs.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"), F.min("lead_doc").alias("doc_id"))
@@ -253,7 +283,7 @@ def group_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
                         yield np.stack([np.minimum(other, g[i]), np.maximum(other, g[i])])
 
     def run(batches):
-        held = None
+        held, made = None, set()
         for batch in batches_with_end(batches):
             columns = None if batch is None else tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if held is not None and columns is not None:
@@ -267,12 +297,31 @@ def group_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
                 continue
             found = list(pairs_of(done))
             if found:
-                both = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                fresh = set(zip(*np.concatenate(found, axis=1).tolist())) - made
+                if len(made) > PAIRS_KEPT:
+                    made = set()
+                made |= fresh
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in fresh], pa.int64()), pa.array([y for _, y in fresh], pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def possible(pairs: DataFrame, grouped: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs whose parities allow a link. A group of several sets has no parity, so its pairs stay."""
+    alone = stage(grouped.filter("parity IS NOT NULL").select("grp", "n", "parity"))
+    side = lambda c: alone.select(F.col("grp").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "n_a", "p_a", "n_b", "p_b")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, p, m, q in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                keep.append(p is None or q is None or bool(rule.linked((n + m - least_difference(p, q)) / 2, n, m)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def batches_with_end(batches):
     for batch in batches:
         if batch.num_rows:
@@ -309,19 +358,20 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     seen = profile(docs, rule)
     level = commonness(seen)
     rows = seen.filter("sketch IS NULL")
-    sets = stage(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bands").alias("bands")))
+    sets = stage(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bands").alias("bands"), F.max("parity").alias("parity")))
 
     first = open_groups(docs, leaders(sets, rule), rule)
     groups = stage(connected_components(first))
-    ids = sets.select("sid", "doc_id")
+    ids = sets.select("sid", "doc_id", "n", "parity")
     grouped = ids.join(small_side(groups.withColumnRenamed("node", "sid")), "sid", "left").select(
-        "sid", "doc_id", F.coalesce("component", "sid").alias("grp"), F.col("component").isNotNull().alias("several"))
+        "sid", "doc_id", "n", F.coalesce("component", "sid").alias("grp"), F.when(F.col("component").isNull(), F.col("parity")).alias("parity"))
     grouped = stage(grouped)
 
     # every row of a document in a group of several learns its group, copies included
     member = rows.filter("sid IS NOT NULL").select("doc_id", "sid").join(
         small_side(groups.select(F.col("node").alias("sid"), F.col("component").alias("grp"))), "sid").distinct()
     pairs = stage(group_pairs(matrix(docs, member, level, rule), rule))
+    pairs = stage(possible(pairs, grouped, rule))
     second = open_groups(docs, blocks(pairs, grouped, rule), rule)
     of = lambda c: grouped.select(F.col("sid").alias(c), F.col("grp").alias(f"g_{c}"))
     joined = connected_components(second.join(of("a"), "a").join(of("b"), "b").select(F.col("g_a").alias("a"), F.col("g_b").alias("b")))
