@@ -108,7 +108,7 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster. Only a local session may go without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tideline-")
         spark.conf.set("spark.checkpoint.dir", folder)

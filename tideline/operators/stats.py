@@ -56,6 +56,10 @@ def state_stats(rows: DataFrame, runs: DataFrame, keys=("series_id",)) -> DataFr
     x, n = F.col("duration_minutes"), F.col("n")
     r = value_summary(runs, k, "duration_minutes", {"median_minutes": 0.5}, {
         "n_runs": F.sum("n"), "mean_minutes": F.sum(x * n) / F.sum("n"), "max_minutes": F.max(x)}).drop("n_all")
+    # every bar but a segment's last has a step to the next bar; the step stays if no run begins there
+    last = runs.groupBy(*keys, "seg_start").agg(F.max_by("state", "run_start").alias("state")).groupBy(*k).agg(F.count(F.lit(1)).alias("_ends"))
+    stay = rows.groupBy(*k).agg(F.count_if(~F.col("new_run")).alias("_stays")).join(last, k, "left")
+    b = b.join(stay, k).withColumn("stay_prob", safe_div(F.col("_stays").cast("double"), F.col("n_bars") - F.coalesce("_ends", F.lit(0)))).drop("_stays", "_ends")
     return b.join(r, k, "left")
 
 

@@ -40,12 +40,13 @@ def run_stats(spark, folder):
     return st.run_stats(r, m, gaps.transitions(r))
 
 
-@query("state_stats", "series_id state:l n_bars:l pct_bars:d n_runs:l mean_minutes:d median_minutes:d max_minutes:d", """
+@query("state_stats", "series_id state:l n_bars:l pct_bars:d n_runs:l mean_minutes:d median_minutes:d max_minutes:d stay_prob:d", """
+sp AS (SELECT series_id, prev_state AS state, avg(CASE WHEN state = prev_state THEN 1.0 ELSE 0.0 END) AS stay_prob FROM valid WHERE NOT new_segment GROUP BY 1, 2),
 b AS (SELECT series_id, state, count(*) AS n_bars FROM valid GROUP BY 1, 2),
 r AS (SELECT series_id, state, count(*) AS n_runs, avg(duration_minutes) AS mean_minutes, median(duration_minutes) AS median_minutes, max(duration_minutes) AS max_minutes FROM runs GROUP BY 1, 2)
 ;;
-SELECT b.*, 100.0 * n_bars / sum(n_bars) OVER (PARTITION BY b.series_id) AS pct_bars, n_runs, mean_minutes, median_minutes, max_minutes
-FROM b JOIN r ON r.series_id = b.series_id AND r.state = b.state""")
+SELECT b.*, 100.0 * n_bars / sum(n_bars) OVER (PARTITION BY b.series_id) AS pct_bars, n_runs, mean_minutes, median_minutes, max_minutes, stay_prob
+FROM b JOIN r ON r.series_id = b.series_id AND r.state = b.state LEFT JOIN sp ON sp.series_id = b.series_id AND sp.state = b.state""")
 def state_stats(spark, folder):
     m = stage(inp.marked(spark, folder))
     return st.state_stats(m, gaps.state_runs(m, inp.MINUTES))
@@ -343,20 +344,28 @@ def fold_delta(spark, folder):
     return st.fold_delta(a, b, ["fold"], "auc")
 
 
-@query("verdict_rule", "fold:l d_auc:d rejected:b", SCORED.replace(";;", ",") + """
+@query("verdict_rule", "fold:l d_auc:d train_gap:d rejected:b", SCORED.replace(";;", ",") + """
+tr AS (SELECT fold, (sum(rb) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS tb
+ FROM (SELECT a.fold, s.label, rank() OVER (PARTITION BY a.fold ORDER BY s.score_b) + (count(*) OVER (PARTITION BY a.fold, s.score_b) - 1) / 2.0 AS rb FROM au a JOIN sl s ON s.fold < a.fold) GROUP BY 1),
 lo AS (SELECT fold, avg(-CASE WHEN label = 1 THEN ln(greatest(score, 1e-15)) ELSE ln(1 - score) END) AS la, avg(-CASE WHEN label = 1 THEN ln(greatest(score_b, 1e-15)) ELSE ln(greatest(1 - score_b, 1e-15)) END) AS lb,
  avg((score - label) ** 2) AS ba, avg((score_b - label) ** 2) AS bb FROM sl GROUP BY 1)
 ;;
-SELECT fold, auc_b - auc AS d_auc, abs(auc_b - auc) < 0.003 OR (lb > la AND bb > ba) AS rejected FROM au JOIN lo USING (fold)""")
+SELECT fold, auc_b - auc AS d_auc, tb - auc_b AS train_gap, abs(auc_b - auc) < 0.003 OR (lb > la AND bb > ba) OR coalesce(tb - auc_b > 0.10, false) AS rejected
+FROM au JOIN lo USING (fold) LEFT JOIN tr USING (fold)""")
 def verdict_rule(spark, folder):
-    """Model b against a: rejected when the gain is negligible or both losses are worse."""
-    s = stage(scored(spark, folder))
+    """Model b against a: rejected when the gain is negligible, both losses are worse, or its AUC on the rows before the fold is
+    more than 0.10 above the fold's."""
+    s = stage(scored(spark, folder).filter("label IS NOT NULL"))
+    last = s.agg(F.max("fold")).first()[0]
+    pools = s.withColumn("at", F.explode(F.sequence(F.col("fold") + 1, F.lit(last) + 1))).filter(F.col("at") <= last)
+    train = mt.roc_auc(pools.select(F.col("at").alias("fold"), "label", F.col("score_b").alias("score")), ["fold"]).select("fold", F.col("auc").alias("_train"))
     sb = s.withColumn("score", F.col("score_b"))
     side = lambda d, t: mt.roc_auc(d, ["fold"]).join(mt.losses(d, ["fold"]), "fold").select(
         "fold", *[F.col(c).alias(f"{c}_{t}") for c in ("auc", "log_loss", "brier")])
-    j = side(s, "a").join(side(sb, "b"), "fold").withColumn("d_auc", F.col("auc_b") - F.col("auc_a"))
+    j = side(s, "a").join(side(sb, "b"), "fold").join(train, "fold", "left").withColumns(
+        {"d_auc": F.col("auc_b") - F.col("auc_a"), "train_gap": F.col("_train") - F.col("auc_b")})
     worse = (F.col("log_loss_b") > F.col("log_loss_a")) & (F.col("brier_b") > F.col("brier_a"))
-    return j.withColumn("rejected", (F.abs("d_auc") < 0.003) | worse)
+    return j.withColumn("rejected", (F.abs("d_auc") < 0.003) | worse | F.coalesce(F.col("train_gap") > 0.10, F.lit(False)))
 
 
 @query("class_balance", "fold:l n:l n_pos:l pos_pct:d pool_pos_pct:d", SCORED + """
