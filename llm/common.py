@@ -8,7 +8,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tideline.functions.blocks import stage, work_dir  # noqa: F401
+from tideline.functions.blocks import stage, staged_bytes  # noqa: F401
 from tideline.session import ship as _ship_base
 
 BROADCAST_BYTES = 48 << 20  # a staged side above this size is joined by a shuffle
@@ -31,17 +31,6 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select(*(columns or "*"))
 
 
-def staged_bytes(df: DataFrame) -> int:
-    """Size of the files behind a staged table, asked of the file system that holds them."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    total = 0
-    for name in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
-
-
 def small_side(staged: DataFrame) -> DataFrame:
     """A staged table, marked for broadcast if its files are below BROADCAST_BYTES; else it is joined by a shuffle,
     where adaptive execution splits hot keys. Either way the result is the same."""
@@ -50,8 +39,3 @@ def small_side(staged: DataFrame) -> DataFrame:
 
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
-
-
-def in_order(df: DataFrame, extra) -> list[str]:
-    """Columns of df that do not clash with the names an operator adds."""
-    return [c for c in df.columns if c not in set(extra)]

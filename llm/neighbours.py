@@ -143,7 +143,7 @@ def search(table: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     if not len(sample):
         sample = rows.limit(1).toPandas()
     coder = spark.sparkContext.broadcast(learn(_matrix(sample.vector, d), k, settings))
-    blocks, query_blocks = -(-many // settings.block_rows), -(-many // settings.query_rows)
+    blocks = -(-many // settings.block_rows)
     asked = rows.filter(is_query(F.col("id")))
     query_blocks = max(1, -(-asked.count() // settings.query_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
