@@ -157,3 +157,30 @@ def test_ema_goes_on_after_a_long_silence(spark):
     got = ema(spark.createDataFrame(rows, "series_id string, pos long, close double"), (8,), size=50).toPandas().sort_values("pos").ema_8.to_numpy()
     dense = pd.Series([r[2] for r in rows], index=pos).reindex(range(pos[-1] + 1)).ffill().ewm(span=8, adjust=False, min_periods=8).mean()
     assert np.allclose(got, dense.to_numpy()[pos], rtol=1e-12, equal_nan=True)
+
+
+def test_training_pool_ends_before_the_embargo(spark):
+    from tideline.operators.models import training_pool
+
+    rows = spark.createDataFrame([(0, False), (0, True), (1, False), (1, True), (2, False), (3, False)], "fold int, late boolean")
+    assert sorted(map(tuple, training_pool(rows, 2).collect())) == [(0, False), (0, True), (1, False)]
+
+
+def test_later_folds_change_no_earlier_label(spark):
+    from tideline.operators.labels import frozen_epsilon
+
+    def labels(scale):
+        rows = [(f, i, True, 1 if i % 2 else -1, (i % 7 - 3) * 0.01 * (scale if f == 2 else 1)) for f in range(3) for i in range(60)]
+        d = spark.createDataFrame(rows, "fold int, pos int, is_trending boolean, trend_sign int, fwd_2 double")
+        return {(r.fold, r.pos): (r.epsilon, r.label) for r in frozen_epsilon(d, "fwd_2", [0, 1, 2], 20)[0].collect()}
+
+    a, b = labels(1.0), labels(50.0)
+    assert all(a[k] == b[k] for k in a if k[0] < 2) and {a[k][0] for k in a if k[0] == 2} == {b[k][0] for k in b if k[0] == 2}
+
+
+def test_poisson_is_exact_for_large_counts(spark):
+    from tideline.operators import stats
+
+    u = spark.range(4000).select(stats.poisson(F.lit(40).cast("long"), stats.hash_uniform("id"), stats.hash_uniform("id", F.lit(1))).alias("n"))
+    mean, var = u.agg(F.avg("n"), F.var_samp("n")).first()
+    assert abs(mean - 40) < 0.5 and abs(var - 40) < 4
