@@ -1,7 +1,7 @@
 """Token ids and token counts, both exact, without running a tokenizer over every text from end to end.
 
-A text splits into units that the tokenizer treats on their own, and a worker remembers the answer for each unit
-it has met (a bounded memory, emptied when full). Texts repeat their words, so few units reach the tokenizer.
+A text splits into units that the tokenizer treats on their own, and a task remembers the answer for each unit
+it has met (a bounded memory, emptied when full and at the task's end). Texts repeat their words, so few units reach the tokenizer.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-UNITS_KEPT = 600_000
-PAIRS_KEPT = 1_000_000
+UNITS_KEPT = 250_000
+PAIRS_KEPT = 400_000
 UNIT_LONGEST = 200  # longer units are not remembered
 _loaded: dict[tuple, object] = {}
 
@@ -40,6 +40,10 @@ class WordTokenizer:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
 
+    def forget(self) -> None:
+        """A worker lives on for other stages, which need its memory."""
+        self.known = {"": b""}
+
     def _each(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
@@ -88,7 +92,7 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > UNITS_KEPT:
-            self.known = {"": b""}
+            self.forget()
         known, out = self.known, []
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set()
@@ -139,6 +143,10 @@ class PieceCounter:
         self.inside: dict[int, tuple | None] = {}
         self.known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """A worker lives on for other stages, which need its memory."""
+        self.known, self.pairs, self.inside = {}, {}, {}
+
     def _encode(self, units: list[str]) -> list[list[int]]:
         """The library puts one space mark before a text; other units are set behind a character that joins nothing."""
         got = self.library.encode([u[1:] if u[0] == "▁" else self.BREAK + u for u in units], num_threads=1)
@@ -281,6 +289,7 @@ def token_pieces(docs: DataFrame, path: str, most: int, end_id: int = 0) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(v, pa.int64()) for v in rows[2:])],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tokenizer.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -300,6 +309,7 @@ def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
                     [batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)),
                      pa.array([int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in deltas], pa.int64()),
                      pa.array(deltas, pa.binary())], ["doc_id", "n_bytes", "n_tokens", "prefix_deltas"])
+        counter.forget()
 
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(
