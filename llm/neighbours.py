@@ -52,7 +52,7 @@ def learn(sample: np.ndarray, k: int, settings: Settings) -> Coder:
     bits = BYTE * max(1, min(settings.most_bits, d) // BYTE)
     random = np.random.default_rng(7)
     centre = unit.mean(axis=0)
-    axes = np.linalg.svd(unit - centre, full_matrices=True)[2].T if len(unit) > 1 else np.eye(d)
+    axes = np.linalg.eigh((unit - centre).T @ (unit - centre))[1][:, ::-1]  # a small square matrix, however large the sample
     if d < bits:
         axes = np.hstack([axes, random.normal(size=(d, bits - d))])
     axes = axes[:, :bits]
