@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-UNITS_KEPT = 250_000
-PAIRS_KEPT = 400_000
+UNITS_KEPT = 600_000
+PAIRS_KEPT = 1_000_000
 UNIT_LONGEST = 200  # longer units are not remembered
 _loaded: dict[tuple, object] = {}
 
@@ -145,7 +145,7 @@ class PieceCounter:
 
     def forget(self) -> None:
         """A worker lives on for other stages, which need its memory."""
-        self.known, self.pairs, self.inside = {}, {}, {}
+        self.known = {}
 
     def _encode(self, units: list[str]) -> list[list[int]]:
         """The library puts one space mark before a text; other units are set behind a character that joins nothing."""
