@@ -19,7 +19,6 @@ from .registry import query
 
 COLS = ("px_z", "ofi_z")
 SEEDS = (1, 2, 3, 4, 5)
-LOGGED_ITERATIONS = 25  # of the fits made only for their log
 START = (0.3, 0.4, 0.3)
 TRANS = ((0.8, 0.15, 0.05), (0.1, 0.8, 0.1), (0.05, 0.15, 0.8))
 MEAN = ((-0.9, -0.3), (0.0, 0.0), (0.9, 0.3))
@@ -221,7 +220,7 @@ def restart_log(spark, folder):
     v = stage(_valid(spark, folder))
     path = stores.table_path(spark, "restart-log")
     for k in (2, 3):
-        _, log = hmm.fit(v, COLS, k, seeds=SEEDS, max_iter=LOGGED_ITERATIONS)
+        _, log = hmm.fit(v, COLS, k, seeds=SEEDS, max_iter=100)
         hmm.log_table(spark, log).withColumn("model_id", F.lit(f"hourly_{k}")).write.mode("append").partitionBy("model_id").parquet(path)
     return spark.read.parquet(path)
 

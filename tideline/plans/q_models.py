@@ -19,9 +19,7 @@ POOL = 500
 EMBARGO_HOURS = 4
 WEEK = 7 * 24
 TREES = 300
-GRID_TREES = 50  # trees and rounds of the studies that fit a model per setting and fold; their functions default to the published 300, 100 and 200
-ROUNDS = 40
-WALK_ITERATIONS = 15
+WALK_ITERATIONS = 100
 
 
 def rows(spark, folder):
@@ -73,7 +71,7 @@ def rf_grid(spark, folder):
     r = rows(spark, folder)
     out = None
     for name, kw in ml.RF_GRID.items():
-        p, fits = ml.walk(r, BASE, lambda n: ml.forest(GRID_TREES, **kw), folds_of(r), POOL, lo=0.5, hi=0.5)
+        p, fits = ml.walk(r, BASE, lambda n: ml.forest(TREES, **kw), folds_of(r), POOL, lo=0.5, hi=0.5)
         a = _fold_auc(p).join(ml.train_auc(r, BASE, fits), "fold").groupBy(F.lit(name).alias("setting")).agg(
             F.avg("auc").alias("auc"), F.avg("train_auc").alias("train_auc"))
         out = a if out is None else out.unionByName(a)
@@ -83,7 +81,7 @@ def rf_grid(spark, folder):
 @query("gbt_fit", "part n:l auc:d")
 def gbt_fit(spark, folder):
     d = stage(fo.chronological_split(rows(spark, folder), "2024-01-22 00:00:00", "'4' HOUR"))
-    m, _, _ = ml.fit_pool(d.filter("part = 'train'"), BASE, lambda n: ml.boosted(ROUNDS))
+    m, _, _ = ml.fit_pool(d.filter("part = 'train'"), BASE, lambda n: ml.boosted())
     if m is None:
         return spark.createDataFrame([], "part string, n long, auc double")
     a = mt.roc_auc(ml.predict(m, d.filter("label IS NOT NULL"), BASE), ["part"])
@@ -93,7 +91,7 @@ def gbt_fit(spark, folder):
 @query("xgb_walk_forward", "fold:l auc:d")
 def xgb_walk_forward(spark, folder):
     r = rows(spark, folder)
-    p, _ = ml.walk(r, BASE, lambda n: ml.xgb_like(ROUNDS), folds_of(r), POOL)
+    p, _ = ml.walk(r, BASE, lambda n: ml.xgb_like(), folds_of(r), POOL)
     return _fold_auc(p)
 
 
@@ -102,7 +100,7 @@ def model_choice(spark, folder):
     """Keeps the model with the better holdout AUC."""
     d = stage(fo.chronological_split(rows(spark, folder), "2024-01-22 00:00:00", "'4' HOUR"))
     out = None
-    for name, make in (("logistic", lr), ("boosted", lambda n: ml.boosted(ROUNDS))):
+    for name, make in (("logistic", lr), ("boosted", lambda n: ml.boosted())):
         m, _, _ = ml.fit_pool(d.filter("part = 'train'"), BASE, make)
         if m is None:
             return spark.createDataFrame([], "model string, auc double, chosen boolean")
@@ -149,7 +147,7 @@ def raw_vs_derived(spark, folder):
 def feature_importance_rank(spark, folder):
     feats = (*BASE, *RAW)
     r = rows(spark, folder)
-    _, fits = ml.walk(r, feats, lambda n: ml.forest(GRID_TREES, **ml.RF_BASE), folds_of(r), POOL, lo=0.5, hi=0.5)
+    _, fits = ml.walk(r, feats, lambda n: ml.forest(TREES, **ml.RF_BASE), folds_of(r), POOL, lo=0.5, hi=0.5)
     t = spark.createDataFrame(ml.importances(fits, feats), "fold long, feature string, importance double")
     return t.withColumn("rnk", F.rank().over(Window.partitionBy("fold").orderBy(F.desc("importance"))))
 

@@ -458,7 +458,7 @@ def kruskal_wallis(spark, folder):
 
 @query("bootstrap_auc_ci", "fold:l n_replicates:l mean_auc:d lo:d hi:d")
 def bootstrap_auc_ci(spark, folder):
-    return st.bootstrap_auc(scored(spark, folder), ["fold"], 200)
+    return st.bootstrap_auc(scored(spark, folder), ["fold"], 2_000)
 
 
 @query("block_bootstrap_ci", "series_id n_replicates:l mean_diff:d lo:d hi:d excludes_zero:b")
