@@ -55,3 +55,26 @@ def test_fits_and_replicates_are_full(spark, monkeypatch):
         with pytest.raises(Stop):
             run(spark, "")
     assert [seen[0][1]["max_iter"], seen[1][1]["max_iter"], seen[2][0][2]] == [100, 100, 2_000]
+
+
+@pytest.mark.parametrize("name, last", [("k_selection", 20), ("threshold_validation", 10)])
+def test_calibration_reads_later_folds(spark, monkeypatch, name, last):
+    seen = []
+    monkeypatch.setattr(inputs, "valid_rows", lambda *_, **__: spark.range(30).selectExpr("id AS fold"))
+    monkeypatch.setattr(q_models, "_split", stopping(seen))
+    with pytest.raises(Stop):
+        getattr(q_models, name)(spark, "")
+    assert {r.fold for r in seen[0][0][0].collect()} == set(range(last + 1))
+
+
+def test_anchors_follow_the_folds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q_hmm, "_valid", lambda s, d: spark.range(-1, 7).selectExpr("id AS fold"))
+    monkeypatch.setattr(q_hmm, "stage", lambda d: d)
+    monkeypatch.setattr(q_hmm.walk, "moment_model", lambda rows, cols, base: sorted(r.fold for r in rows.collect()))
+    monkeypatch.setattr(hmm, "decode", stopping(seen))
+    with pytest.raises(Stop):
+        q_hmm.anchor_decode(spark, "")
+    v, _, models = seen[0][0]
+    assert {r.fold: r.anchor for r in v.collect()} == {f: f // 2 * 2 for f in range(7)}
+    assert models == {a: list(range(-1, a)) for a in (0, 2, 4, 6)}

@@ -19,6 +19,7 @@ from .registry import query
 
 COLS = ("px_z", "ofi_z")
 SEEDS = (1, 2, 3, 4, 5)
+ANCHOR_EVERY = 2  # folds
 START = (0.3, 0.4, 0.3)
 TRANS = ((0.8, 0.15, 0.05), (0.1, 0.8, 0.1), (0.05, 0.15, 0.8))
 MEAN = ((-0.9, -0.3), (0.0, 0.0), (0.9, 0.3))
@@ -231,8 +232,9 @@ def anchor_decode(spark, folder):
 
     An anchor's model has moments of the threshold states on rows before it."""
     rows = stage(_valid(spark, folder))
-    v = rows.filter("fold >= 0").withColumn("anchor", F.expr("CASE WHEN fold < 2 THEN 0L ELSE 2L END"))
-    models = {a: walk.moment_model(rows.filter(F.col("fold") < a), COLS, MODEL) for a in (0, 2)}
+    v = rows.filter("fold >= 0").withColumn("anchor", (F.col("fold") - F.pmod("fold", F.lit(ANCHOR_EVERY))).cast("long"))
+    anchors = [x[0] for x in v.select("anchor").distinct().orderBy("anchor").collect()]
+    models = {a: walk.moment_model(rows.filter(F.col("fold") < a), COLS, MODEL) for a in anchors}
     d = hmm.decode(v, COLS, models, keys=("series_id", "anchor"))
     return _post(d, "cpost", "a").join(v.select("series_id", "pos", "ts"), ["series_id", "pos"])
 

@@ -20,6 +20,7 @@ EMBARGO_HOURS = 4
 WEEK = 7 * 24
 TREES = 300
 WALK_ITERATIONS = 100
+K_FOLDS, THRESHOLD_FOLDS = 20, 10  # last calibration folds of the published studies; of those, the folds that exist are read
 
 
 def rows(spark, folder):
@@ -212,7 +213,7 @@ def _split(d):
 @query("k_selection", "k:d auc:d chosen:b")
 def k_selection(spark, folder):
     """Volatility multiple by inner AUC: the larger AUC, the smaller k on ties."""
-    v = _split(inp.valid_rows(spark, folder, lambda d, w: d.withColumn("past_vol", full("ret_1", w, 5, F.stddev_samp)), before=5).filter("fold < 2"))
+    v = _split(inp.valid_rows(spark, folder, lambda d, w: d.withColumn("past_vol", full("ret_1", w, 5, F.stddev_samp)), before=5).filter(F.col("fold") <= K_FOLDS))
     got = [(k, _inner_auc(lb.adaptive(v, "fwd_2", "past_vol", k), lr, BASE)) for k in (0.25, 0.5, 0.75, 1.0)]
     best = max(((a, -k) for k, a in got if a is not None), default=None)
     return spark.createDataFrame([(k, a, a is not None and (a, -k) == best) for k, a in got], "k double, auc double, chosen boolean")
@@ -221,7 +222,7 @@ def k_selection(spark, folder):
 @query("threshold_validation", "cut:d n_rows:l auc:d keep:b")
 def threshold_validation(spark, folder):
     """Inner AUC per trend threshold on early folds; a threshold is kept when it beats a coin by 0.01."""
-    v = _split(inp.valid_rows(spark, folder).filter("fold < 2"))
+    v = _split(inp.valid_rows(spark, folder).filter(F.col("fold") <= THRESHOLD_FOLDS))
     out = []
     for c in (0.15, 0.3, 0.5, 1.0):
         d = v.filter(F.abs("px_z") > c).withColumn("label", (F.signum("fwd_2") == F.signum("px_z")).cast("long"))
