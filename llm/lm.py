@@ -1,9 +1,12 @@
 """Cross-entropy difference of two matched n-gram language models.
 
-Target and background model have the same form and share one vocabulary: words, lower-cased, hashed to VOCABULARY cells, and
-pairs of neighbouring words hashed to PAIRS cells. p(w | v) = (c(v, w) + m p(w)) / (c(v) + m) with p(w) = (c(w) + 1) / (N + V). The
-counts are taken over all documents; their tables have a fixed size, so a model is a bounded broadcast while the
-counting is distributed: each task adds up its own tables, which are summed segment by segment.
+Target and background model have the same form and share one vocabulary, the V distinct words (lower-cased) of all documents.
+p(w | v) = (c(v, w) + m p(w)) / (c(v) + m) with p(w) = (c(w) + 1) / (N + V). All counts are exact: words, contexts and pairs are
+counted by 62 bits of hash (two different ones count as one with odds of 2^-62), in tables that grow with the documents.
+
+No table is gathered in one place. Documents are read in blocks of BLOCK words; a block sends each of its distinct keys once, with
+its own counts, to the key's bucket (a range of the hashes), so a frequent word weighs no more than a rare one. The
+bucket adds the counts up and sends back the totals, and the block's texts are scored where the answers meet.
 """
 
 from __future__ import annotations
@@ -13,96 +16,236 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stage
 from .shingles import mix, pieces, text_buffer, word_hashes
 
-VOCABULARY, PAIRS, SEGMENT = 1 << 16, 1 << 20, 1 << 15
+BLOCK = 3 << 19  # words
+BUCKET_BYTES = 16 << 20  # of text, for each bucket
 BACKOFF = 20.0
-_START = 0  # cell of the text's start, shared with the words that hash there
+_START = np.uint64(0)  # before the first word
+_KIND, _PAIR, _WORD = ~np.uint64(3), np.uint64(0), np.uint64(1)
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
+_COLUMNS = ["block", "bucket", "ids", "keys", "background", "target"]
+_ROW = "block long, bucket int, ids array<long>, keys binary, background binary, target binary"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Bytes of like rank together, deflated. Hashes (uint64) are sorted, so their steps are kept."""
+    x = np.diff(x, prepend=np.uint64(0)) if x.dtype == np.uint64 else np.ascontiguousarray(x)
+    return zlib.compress(x.view(np.uint8).reshape(x.size, x.itemsize).T.tobytes(), 1)
+
 
+def _unpacked(raw: bytes, kind) -> np.ndarray:
+    size, raw = np.dtype(kind).itemsize, zlib.decompress(raw)
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if kind is np.uint64 else x
 
-def cells(column):
-    """Of each text: the cells of its words, and the cells of its pairs (the first with the text's start)."""
-    data, offsets = text_buffer(column)
-    for first, last in pieces(offsets):
-        words, at = word_hashes(data, offsets[first:last + 1])
-        own = (words & np.uint64(VOCABULARY - 1)).astype(np.int64)
-        before = np.concatenate([[_START], own[:-1]]) if len(own) else own
-        before[at[:-1][at[:-1] < at[1:]]] = _START
-        pair = (mix((before * VOCABULARY + own).astype(np.uint64)) & np.uint64(PAIRS - 1)).astype(np.int64)
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-            yield own[a:b], before[a:b], pair[a:b]
+
+def _rows(rows) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], _COLUMNS)
 
 
 @dataclass(frozen=True)
-class Model:
-    words: np.ndarray  # times a word occurs
-    contexts: np.ndarray  # times a word (or the start) precedes another
-    pairs: np.ndarray
+class _Block:
+    words: np.ndarray  # hashes of the distinct words
+    at: np.ndarray  # of each word, its place among them
+    sizes: np.ndarray  # words of each text
+
+    def keys(self):
+        """All distinct keys, sorted; for each pair that of its word, its context and its own place in them; the pair of each word."""
+        own = self.words[self.at]
+        before = np.concatenate([[_START], own[:-1]])[:len(own)]
+        first = np.cumsum(self.sizes) - self.sizes
+        before[first[self.sizes > 0]] = _START
+        pairs, one, which = np.unique(mix(before * _TIMES + own) & _KIND | _PAIR, return_index=True, return_inverse=True)
+        word, context = own[one] & _KIND | _WORD, before[one] & _KIND | _WORD
+        every = np.concatenate([pairs, np.unique(np.concatenate([self.words & _KIND | _WORD, context]))])
+        every.sort()
+        return every, np.searchsorted(every, word), np.searchsorted(every, context), np.searchsorted(every, pairs), which
+
+    def counts(self, keys, of, chosen):
+        """Times of every key, and as a context (two rows), in all texts and in the chosen ones."""
+        word, context, pair, which = of
+        for texts in (None, np.repeat(chosen, self.sizes)):
+            n = np.bincount(which if texts is None else which[texts], minlength=len(pair))
+            yield np.array([np.bincount(word, n, len(keys)) + np.bincount(pair, n, len(keys)), np.bincount(context, n, len(keys))]).astype(np.int64)
+
+
+def _blocks(docs: DataFrame, bits: int, flag: str | None, texts: bool) -> DataFrame:
+    """One row for each block and bucket with the keys it asks for and its counts (zero without flag), and with texts a
+    row (bucket -1) with the block's ids and words. docs: doc_id, text and, if given, flag."""
+
+    def send(block, ids, hashes, sizes, chosen):
+        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        held = _Block(words, at, np.array(sizes, np.int64))
+        keys, *of = held.keys()
+        none = np.zeros((2, len(keys)), np.int64)
+        background, target = held.counts(keys, of, np.array(chosen, bool)) if flag else (none, none)
+        edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
+        if texts:
+            yield _rows([(block, -1, ids, _packed(words), _packed(at.astype(np.int32)), _packed(held.sizes))])
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            if a < b:
+                yield _rows([(block, k, None, _packed(keys[a:b]), _packed(background[:, a:b]), _packed(target[:, a:b]))])
+
+    def run(batches):
+        n, ids, hashes, sizes, chosen, held = TaskContext.get().partitionId() << 32, [], [], [], [], 0
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(1))
+            mine, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for first, last in pieces(offsets):
+                words, at = word_hashes(data, offsets[first:last + 1])
+                ids += mine[first:last]
+                hashes.append(words)
+                sizes += np.diff(at).tolist()
+                chosen += flags[first:last]
+                held += len(words)
+                if held >= BLOCK:
+                    yield from send(n, ids, hashes, sizes, chosen)
+                    n, ids, hashes, sizes, chosen, held = n + 1, [], [], [], [], 0
+        if ids:
+            yield from send(n, ids, hashes, sizes, chosen)
+
+    chosen = F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)
+    doc_id = F.col("doc_id").cast("long") if texts else F.lit(None).cast("long")
+    return docs.select(doc_id.alias("doc_id"), "text", chosen.alias("chosen")).mapInArrow(run, _ROW)
+
+
+def _bits(docs: DataFrame) -> int:
+    """Buckets of about BUCKET_BYTES of text, as a power of two."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(3, (size // BUCKET_BYTES).bit_length())
+
+
+def _added(rows: DataFrame, bits: int, table: bool) -> DataFrame:
+    """Adds up the counts of each bucket. Rows of a block get the totals of their keys; a row without a block has the bucket's
+    numbers of distinct keys, and background and target counts, of pairs, words and contexts, and with table its keys and totals."""
+
+    def answer(bucket, asked):
+        of = [_unpacked(x[1], np.uint64) for x in asked]
+        keys, which = np.unique(np.concatenate(of), return_inverse=True)
+        totals = []
+        for i in (2, 3):
+            n = np.concatenate([_unpacked(x[i], np.int64).reshape(2, -1) for x in asked], axis=1)
+            totals.append(np.array([np.bincount(which, x, len(keys)) for x in n]).astype(np.int64))  # exact below 2^53
+        word = keys & ~_KIND == _WORD
+        parts = [(t[0][~word], t[0][word], t[1]) for t in totals]
+        sums = [int(np.count_nonzero(x)) for x in parts[0]] + [int(x.sum()) for t in parts for x in t]
+        held = [_packed(x) for x in (keys, *totals)] if table else [None] * 3
+        yield _rows([(None, bucket, sums, *held)])
+        end = 0
+        for (block, *_), mine in zip(asked, of):
+            start, end = end, end + len(mine)
+            if block is not None and not table:
+                yield _rows([(block, bucket, None, None, *(_packed(t[:, which[start:end]]) for t in totals))])
+
+    def run(batches):
+        now, asked = None, []
+        for batch in batches:
+            for block, bucket, ids, keys, background, target in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket < 0:
+                    yield _rows([(block, bucket, ids, keys, background, target)])
+                    continue
+                if bucket != now and asked:
+                    yield from answer(now, asked)
+                    asked = []
+                now = bucket
+                asked.append((block, keys, background, target))
+        if asked:
+            yield from answer(now, asked)
+
+    where = F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket"))
+    return stage(rows.repartition(1 << bits, where).sortWithinPartitions("bucket").mapInArrow(run, _ROW))
+
+
+def _sums(added: DataFrame) -> np.ndarray:
+    """Distinct keys, background and target counts (rows) of pairs, words and contexts."""
+    got = added.filter("block IS NULL").agg(*[F.sum(F.col("ids")[i]).alias(f"s{i}") for i in range(9)]).first()
+    return np.array([x or 0 for x in got], np.int64).reshape(3, 3)
+
+
+def _scored(added: DataFrame, bits: int, sums: np.ndarray) -> DataFrame:
+    distinct, totals = int(sums[0, 1]), [int(sums[1, 1]), int(sums[2, 1])]
+
+    def score(ids, held, answers):
+        keys, word, context, pair, which = held.keys()
+        text, losses = np.repeat(np.arange(len(ids)), held.sizes), []
+        for i, total in enumerate(totals):
+            n, contexts = np.concatenate([_unpacked(x[i], np.int64).reshape(2, -1) for x in answers] or [np.zeros((2, 0), np.int64)], axis=1)
+            alone = (n[word] + 1.0) / max(total + distinct, 1)
+            loss = -np.log((n[pair] + BACKOFF * alone) / (contexts[context] + BACKOFF))
+            losses.append(np.bincount(text, loss[which], len(ids)))
+        some = held.sizes > 0
+        background, target = (np.divide(x, held.sizes, where=some, out=np.zeros(len(ids))) for x in losses)
+        columns = [pa.array(x, pa.float64(), mask=~some) for x in (target, background, target - background)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held.sizes, pa.int64()), *columns],
+                                          ["doc_id", "n_words", "target_loss", "background_loss", "difference"])
+
+    def run(batches):
+        ids, held, answers = None, None, []
+        for batch in batches:
+            for _, bucket, mine, keys, background, target in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket >= 0:
+                    answers.append((background, target))
+                    continue
+                if held is not None:
+                    yield score(ids, held, answers)
+                ids, answers = mine, []
+                held = _Block(_unpacked(keys, np.uint64), _unpacked(background, np.int32), _unpacked(target, np.int64))
+        if held is not None:
+            yield score(ids, held, answers)
 
-    def loss(self, own, before, pair) -> np.ndarray:
-        """Natural logarithm loss of each word."""
-        alone = (self.words[own] + 1.0) / (self.words.sum() + VOCABULARY)
-        return -np.log((self.pairs[pair] + BACKOFF * alone) / (self.contexts[before] + BACKOFF))
+    met = added.filter("block IS NOT NULL").repartition(1 << bits, "block").sortWithinPartitions("block", "bucket")
+    return met.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, difference double")
+
+
+@dataclass(frozen=True)
+class Counts:
+    distinct: int  # in the background
+    total: int
+
+    def sum(self) -> int:
+        return self.total
+
+
+@dataclass(frozen=True)
+class Model:
+    words: Counts  # times a word occurs
+    contexts: Counts  # times a word (or the start) precedes another
+    pairs: Counts
+    table: DataFrame  # keys and counts of each bucket, of both models
+    bits: int
 
 
 def fit(docs: DataFrame, target: str) -> tuple[Model, Model]:
     """Target and background model. target names a boolean column; the background is all documents, the target rows of it.
 
     Null flags count as false, null texts as empty. Without target rows the target model is uniform."""
-    parts = (2 * VOCABULARY + PAIRS) // SEGMENT
-
-    def count(batches):
-        tables = np.zeros((2, 2 * VOCABULARY + PAIRS), np.int64)
-        for batch in batches:
-            for (own, before, pair), chosen in zip(cells(batch.column(0)), batch.column(1).to_pylist()):
-                for t in (0, 1)[:2 if chosen else 1]:
-                    np.add.at(tables[t], own, 1)
-                    np.add.at(tables[t], VOCABULARY + before, 1)
-                    np.add.at(tables[t], 2 * VOCABULARY + pair, 1)
-        yield packed([(t, s, tables[t, s * SEGMENT:(s + 1) * SEGMENT]) for t in (0, 1) for s in range(parts)])
-
-    def packed(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
-                                           pa.array([zlib.compress(r[2].astype("<i8").tobytes(), 1) for r in rows], pa.binary())], ["which", "segment", "counts"])
-
-    def add(batches):
-        totals = {}
-        for batch in batches:
-            for which, segment, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                totals[which, segment] = totals.get((which, segment), 0) + np.frombuffer(zlib.decompress(raw), "<i8")
-        if totals:
-            yield packed([(*k, v) for k, v in sorted(totals.items())])
-
-    schema = "which int, segment int, counts binary"
-    chosen = F.coalesce(F.col(target), F.lit(False))
-    counted = docs.select("text", chosen.alias("chosen")).mapInArrow(count, schema)
-    tables = np.zeros((2, parts, SEGMENT), np.int64)
-    for which, segment, raw in stage(counted.repartition("which", "segment").mapInArrow(add, schema)).collect():  # a fixed number of rows
-        tables[which, segment] += np.frombuffer(zlib.decompress(raw), "<i8")
-    both = tables.reshape(2, -1).astype(np.float64)
-    background, aim = (Model(x[:VOCABULARY], x[VOCABULARY:2 * VOCABULARY], x[2 * VOCABULARY:]) for x in both)
+    bits = _bits(docs)
+    table = _added(_blocks(docs, bits, target, False), bits, True)
+    sums = _sums(table)
+    background, aim = (Model(*(Counts(int(sums[0, k]), int(row[k])) for k in (1, 2, 0)), table, bits) for row in sums[1:])
     return aim, background
 
 
 def score(docs: DataFrame, aim: Model, background: Model) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (means per word) and difference (target less background: the lower, the more
-    like the target). Texts without words get null losses. Repeated rows score alike; other columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast((aim, background))
-
-    def run(batches):
-        models = shared.value
-        for batch in batches:
-            n, losses = [], ([], [])
-            for own, before, pair in cells(batch.column(1)):
-                n.append(len(own))
-                for out, model in zip(losses, models):
-                    out.append(float(model.loss(own, before, pair).mean()) if len(own) else None)
-            gap = [None if a is None else a - b for a, b in zip(*losses)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (*losses, gap))],
-                                             ["doc_id", "n_words", "target_loss", "background_loss", "difference"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_words long, target_loss double, background_loss double, difference double")
+    like the target) by the two models of one fit. Texts without words get null losses. Repeated rows score alike; other columns
+    are ignored."""
+    if aim.table is not background.table:
+        raise ValueError("the two models are of different fits")
+    bits = background.bits
+    asked = _blocks(docs, bits, None, True)
+    added = _added(asked.unionByName(background.table), bits, False)
+    return _scored(added, bits, _sums(added))
+
+
+def difference(docs: DataFrame, target: str) -> DataFrame:
+    """score(docs, *fit(docs, target)) in one pass: what a block asks for is also what it adds to the counts."""
+    bits = _bits(docs)
+    added = _added(_blocks(docs, bits, target, True), bits, False)
+    return _scored(added, bits, _sums(added))

@@ -173,4 +173,4 @@ def cross_entropy_difference(spark, folder):
     docs = documents(spark, folder, "doc_id", "text")
     good = spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("_id"), F.lit(True).alias("good")).distinct()
     flagged = docs.join(small_side(stage(good)), F.col("doc_id") == F.col("_id"), "left")
-    return lm.score(docs, *lm.fit(flagged, "good"))
+    return lm.difference(flagged, "good")

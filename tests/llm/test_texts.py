@@ -2,6 +2,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -186,6 +187,38 @@ def test_lm_counts(odd, nothing):
     assert lm.score(nothing, aim, background).count() == 0 and background.words.sum() == 0
 
 
+@pytest.mark.parametrize("block", [lm.BLOCK, 500])
+def test_lm_scores_equal_exact_counts(shipped, odd, monkeypatch, block):
+    monkeypatch.setattr(lm, "BLOCK", block)
+    pick = random.Random(4)
+    made = [(100 + i, " ".join(f"w{int(pick.paretovariate(0.1)) % 10**6}" for _ in range(pick.randrange(300)))) for i in range(400)]
+    docs = odd.select("doc_id", "text").union(shipped.createDataFrame(made, "doc_id long, text string")).repartition(3)
+    docs = docs.withColumn("good", F.when(F.col("doc_id") % 3 == 0, True))
+    rows = [(i, re.findall(mixing.WORD, t.translate({c: c + 32 for c in range(65, 91)}))) for i, t in texts(docs)]
+    models = []
+    for chosen in ([w for i, w in rows if i is not None and i % 3 == 0], [w for _, w in rows]):
+        words, contexts, pairs = Counter(), Counter(), Counter()
+        for w in chosen:
+            words.update(w)
+            contexts.update([None, *w[:-1]][:len(w)])
+            pairs.update(zip([None, *w], w))
+        models.append((words, contexts, pairs))
+    v = len(models[1][0])
+    assert v > 15_000
+
+    def loss(model, w):
+        words, contexts, pairs = model
+        n = sum(words.values()) + v
+        return sum(-np.log((pairs[a, b] + 20 * (words[b] + 1) / n) / (contexts[a] + 20)) for a, b in zip([None, *w], w)) / len(w)
+
+    want = sorted(((i, len(w), *([loss(m, w) for m in models] if w else (None, None))) for i, w in rows), key=str)
+    for scored in (lm.difference(docs, "good"), lm.score(docs, *lm.fit(docs, "good"))):
+        got = sorted(((r.doc_id, r.n_words, r.target_loss, r.background_loss) for r in scored.collect()), key=str)
+        assert len(got) == len(want)
+        for a, b in zip(got, want):
+            assert a[:2] == b[:2] and (a[2:] == b[2:] or np.allclose(a[2:], b[2:], rtol=1e-9))
+
+
 def test_quality(shipped, odd, nothing):
     pick = random.Random(2)
     good = [" ".join(pick.choice(["plain", "words", "of", "prose", "and", "rest"]) for _ in range(60)) + "." for _ in range(120)]
