@@ -8,8 +8,11 @@ over what other addresses of the page get. Otherwise the page is allowed.
 
 from __future__ import annotations
 
+import html as entities
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import small_side, stage
@@ -59,22 +62,66 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+_TARGET = re.compile(r"(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?")
+_PAGE = re.compile(r"(?s)(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?")
+
+
+def _without_dots(path: str) -> str:
+    out, steps = [], path.split("/")
+    for i, step in enumerate(steps):
+        if step == ".." and len(out) > 1:
+            out.pop()
+        if step not in (".", ".."):
+            out.append(step)
+        elif i == len(steps) - 1:
+            out.append("")
+    return "/".join(out)
+
+
+def resolve(base: str, to: str) -> str | None:
+    """The target of a reference on a page at base (a url with ://), by RFC 3986 and without the fragment. Null for a target without a
+    host of its own whose scheme is not the page's (mailto:, data:)."""
+    scheme, host, path, query = _TARGET.match(to).groups()
+    at, site, place, asked = _PAGE.match(base).groups()
+    if host is None:
+        if scheme and scheme.lower() != at.lower():
+            return None
+        scheme, host = at, site
+        if not path:
+            path, query = place, asked if query is None else query
+        elif not path.startswith("/"):
+            path = (place[:place.rfind("/") + 1] or "/") + path
+    return f"{scheme or at}://{host}{_without_dots(path)}{query or ''}"
+
+
 def declared_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) addresses from <link rel=canonical href> and <meta http-equiv=refresh content=...url=> tags.
-    Targets may be absolute or start with / or //; others are left out."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    """(source, target) addresses from <link rel=canonical href> and <meta http-equiv=refresh content=...url=> tags. Targets have their
+    entities decoded and are resolved against the first <base href>, if there is one, and the page's url. An url with dot
+    segments is linked to the one without."""
+    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), F.lit(0))
     # text search is far cheaper than the pattern, and most pages declare nothing
     says = F.coalesce(F.col(html).rlike(r"(?i)canonical|http-equiv"), F.lit(False))
-    tag = pages.filter(says).select(F.col(url).alias("source"), F.explode(tags).alias("tag"))
+    pages = pages.filter(F.contains(F.col(url), F.lit("://")))
+    href_of = lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    bases = F.filter(F.transform("tags", lambda t: F.when(t.rlike(r"(?is)^<base\b"), href_of(t))), lambda h: h != "")
+    tag = pages.filter(says).select(F.col(url).alias("source"), tags.alias("tags")).select("source", F.get(bases, F.lit(0)).alias("base"), F.explode("tags").alias("tag"))
     canonical = F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b")
     refresh = F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")
-    href = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     after = F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    found = tag.select("source", F.when(canonical, href).when(refresh, after).alias("to")).filter("to <> ''")
-    site = F.regexp_extract("source", r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.substring_index("source", "://", 1)
-    to = F.when(F.startswith("to", F.lit("//")), F.concat(scheme, F.lit(":"), "to")).when(F.startswith("to", F.lit("/")), F.concat(site, "to")).otherwise(F.col("to"))
-    return found.select(address(F.col("source")).alias("source"), address(to).alias("target")).filter("source IS NOT NULL AND target IS NOT NULL")
+    found = tag.select("source", "base", F.when(canonical, href_of(F.col("tag"))).when(refresh, after).alias("to")).filter("to <> ''")
+    nothing = F.lit(None).cast("string")
+    dotted = pages.filter(F.col(url).rlike(r"/\.\.?(?:[/?#]|$)")).select(F.col(url).alias("source"), nothing.alias("base"), nothing.alias("to"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for source, base, to in zip(*(c.to_pylist() for c in batch.columns)):
+                at = base and resolve(source, entities.unescape(base)) or source
+                out.append(resolve(source, source) if to is None else resolve(at, entities.unescape(to)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["source", "target"])
+
+    links = found.unionByName(dotted).mapInArrow(run, "source string, target string")
+    return links.select(address(F.col("source")).alias("source"), address(F.col("target")).alias("target")).filter("source IS NOT NULL AND target IS NOT NULL")
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:

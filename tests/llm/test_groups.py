@@ -120,3 +120,18 @@ def test_urls(shipped):
     more = shipped.createDataFrame([("http://xorg.net/", "http://d.net/p"), (None, "x")], "source string, target string")
     assert {r.page_id: r.verdict for r in urls.judge(pages, redirects=more).collect()}[11] == "block"
     assert urls.judge(pages.limit(0)).count() == 0
+
+
+def test_every_form_of_target(shipped):
+    page = "http://Q.net/a/b/c?x=1#f"
+    forms = {"p2.html": "/a/b/p2.html", "./p": "/a/b/p", "../x": "/a/x", "../../../x": "/x", "?id=3": "/a/b/c?id=3", "/r/./s/../t": "/r/t", "..": "/a/",
+             "/u?a=1&amp;b=2": "/u?a=1&b=2", "//q.net/v//w": "/v//w", "HTTP://Q.NET/y": "/y", "http:z": "/a/b/z", "go?to=http://else.net/": "/a/b/go?to=http://else.net/"}
+    rows = [(i, page, f'<link rel="canonical" href="{to}">') for i, to in enumerate(forms)]
+    rows += [(50, page, '<meta http-equiv="refresh" content="0; url=n1">'), (51, page, '<base href="/k/"><link href="n2" rel="canonical">'),
+             (52, page, '<link rel="canonical" href="mailto:me@q.net">'), (53, "http://q.net", '<link rel="canonical" href="top">'), (54, "http://q.net/l/../m?n", "")]
+    pages = shipped.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.source, r.target) for r in urls.declared_links(pages).collect()}
+    at = "http://q.net"
+    assert got == {(at + "/a/b/c?x=1", at + to) for to in [*forms.values(), "/a/b/n1", "/k/n2"]} | {(at, at + "/top"), (at + "/l/../m?n", at + "/m?n")}
+    alias = shipped.createDataFrame([(1, "http://c.com/fr2/a", '<link rel="canonical" href="../de/1?x=1&amp;b=2">'), (2, "http://c.com/de/1?x=1&b=2", "")], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urls.judge(alias).collect()} == {1: "block", 2: "block"}
