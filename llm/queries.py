@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, jaccard, lm, mixing, neighbours, packing, quality, secrets, tokens, urls
+from . import fingerprints, jaccard, lm, merkle, mixing, neighbours, packing, quality, secrets, tokens, urls, whitening
 from .common import documents, ship, small_side, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,55 @@ def cross_entropy_difference(spark, folder):
     good = spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("_id"), F.lit(True).alias("good")).distinct()
     flagged = docs.join(small_side(stage(good)), F.col("doc_id") == F.col("_id"), "left")
     return lm.difference(flagged, "good")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_MANIFEST = f"""
+WITH RECURSIVE raw AS (SELECT row_number() OVER () AS r, doc_id, source, {_LEAF.format(text='text')} AS leaf,
+    {_LEAF.format(text=f"translate(text, '{_UPPER}', '{_LOWER}')")} AS tampered,
+    list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, 1 + length(CAST(doc_id AS VARCHAR))),
+      lambda i: [CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) AS crc FROM documents),
+d AS (SELECT *, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM raw),
+up(tree, level, pos, n, digest) AS (SELECT tree, 0, pos, n, leaf FROM d UNION ALL
+  SELECT tree, level + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY tree, level, pos // 16),
+sub AS (SELECT tree, digest FROM up WHERE n = 1),
+over_(level, pos, n, digest) AS (SELECT 0, tree, (SELECT count(*) FROM sub), digest FROM sub UNION ALL
+  SELECT level + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM over_ WHERE n > 1 GROUP BY level, pos // 16),
+top AS (SELECT digest FROM over_ WHERE n = 1),
+way AS (SELECT r, u.level AS step, u.pos, u.digest, u.pos = d.pos // CAST(pow(16, u.level) AS BIGINT) AS own
+    FROM d JOIN up u ON u.tree = d.tree AND u.n > 1 AND u.pos // 16 = d.pos // CAST(pow(16, u.level + 1) AS BIGINT)
+  UNION ALL SELECT r, 1000 + o.level, o.pos, o.digest, o.pos = d.tree // CAST(pow(16, o.level) AS BIGINT)
+    FROM d JOIN over_ o ON o.n > 1 AND o.pos // 16 = d.tree // CAST(pow(16, o.level + 1) AS BIGINT)),
+steps AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY step) AS k, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos < mine), '') AS l,
+    coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos > mine), '') AS r_ FROM (SELECT *, max(pos) FILTER (own) OVER (PARTITION BY r, step) AS mine FROM way) GROUP BY r, step),
+folded(r, k, digest) AS (SELECT r, CAST(0 AS BIGINT), CASE WHEN crc IS NOT NULL AND xor(crc, CAST(4294967295 AS BIGINT)) % 5 = 0 THEN tampered ELSE leaf END FROM d UNION ALL
+  SELECT folded.r, folded.k + 1, sha256(l || digest || r_) FROM folded JOIN steps ON steps.r = folded.r AND steps.k = folded.k + 1),
+last AS (SELECT r, arg_max(digest, k) AS folded_root FROM folded GROUP BY r),
+proof AS (SELECT r, sha256(string_agg(digest, '' ORDER BY step, pos)) AS p FROM way WHERE NOT own GROUP BY r)
+SELECT doc_id, leaf, sub.digest AS subroot, top.digest AS root, coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root = top.digest AS verified
+FROM d JOIN sub USING (tree) CROSS JOIN top JOIN last USING (r) LEFT JOIN proof USING (r)"""
+
+
+@query("op12_merkle_manifest", _MANIFEST)
+def merkle_manifest(spark, folder):
+    """Every fifth document, by the checksum of its id, is tampered with: its text loses its capitals."""
+    docs = documents(spark, folder)
+    of = lambda text: merkle.digest(merkle.encoded(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text))
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    tampered = F.when(hit, of(F.translate("text", _UPPER, _LOWER)))
+    made = merkle.manifest(docs, of(F.col("text")), carry={"tampered": tampered})
+    out = made.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op11_bit_sliced_whitening")
+def bit_sliced_whitening(spark, folder):
+    """deviation is exact; beyond the range of a long it is null."""
+    made = whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return made.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
