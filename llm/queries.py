@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, jaccard, lm, merkle, mixing, neighbours, packing, quality, secrets, tokens, urls, whitening
+from . import fingerprints, jaccard, lm, merkle, mixing, neighbours, packing, quality, repeats, secrets, tokens, urls, whitening
 from .common import documents, ship, small_side, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,3 +226,8 @@ def bit_sliced_whitening(spark, folder):
     """deviation is exact; beyond the range of a long it is null."""
     made = whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
     return made.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+@query("op13_two_stage_suffix_dedup")
+def two_stage_suffix_dedup(spark, folder):
+    return repeats.digested(repeats.removed_repeats(documents(spark, folder, "doc_id", "text")))
