@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tideline.functions.blocks import work_dir
 
-from .common import stage
+from .common import small_side, stage
 from .shingles import mix, powers
 from .suffixes import common_prefixes, layout, suffix_array, words_of
 
@@ -356,8 +356,9 @@ def removed_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     order = [F.col("doc_id").asc_nulls_last(), "place", "start"]
     seen = stage(found.filter("anchor IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("anchor", "content").orderBy(*order))))
     firsts = seen.filter("n = 1")
-    several = firsts.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"), (F.count(F.lit(1)) > 1).alias("several"))
-    wanted = firsts.join(several.filter("several"), "anchor").withColumn("part", F.pmod(F.shiftright("content", 8), F.col("parts")).cast("int"))
+    several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    several = small_side(stage(several.select("anchor", F.ceil(F.col("many") / GROUP).cast("int").alias("parts"))))
+    wanted = firsts.join(several, "anchor").withColumn("part", F.pmod(F.shiftright("content", 8), F.col("parts")).cast("int"))
     again = stage(compared(cut(blocks, wanted, width), width))
     crossed = again.filter("anchor IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("anchor", "string").orderBy(*order)))
 
