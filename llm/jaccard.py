@@ -348,12 +348,8 @@ def blocks(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return asking.unionByName(members)
 
 
-def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, component_id, text_key (a hash of the text) of every row. component_id: the smallest doc_id that links reach, itself included.
-
-    Texts without words (null, empty, blank) have the empty set, link with nothing and are their own component. A text with
-    fewer words than a shingle has one shingle, its whole sequence. Repeated rows and equal sets are linked. A null doc_id gets
-    the component of its set, null if no other id is in it. Other columns are ignored; an empty table gives no rows."""
+def components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The columns of join() and component, a set's id that all rows of a component share; null for texts without words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = profile(docs, rule)
     level = commonness(seen)
@@ -377,22 +373,32 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     joined = connected_components(second.join(of("a"), "a").join(of("b"), "b").select(F.col("g_a").alias("a"), F.col("g_b").alias("b")))
     whole = grouped.join(small_side(stage(joined).withColumnRenamed("node", "grp")), "grp", "left").select("sid", "doc_id", F.coalesce("component", "grp").alias("grp"))
     lowest = stage(whole.groupBy("grp").agg(F.min("doc_id").alias("component_id")))
-    answer = stage(whole.join(small_side(lowest), "grp").select("sid", "component_id"))
+    answer = stage(whole.join(small_side(lowest), "grp").select("sid", "grp", "component_id"))
     return rows.join(small_side(answer), "sid", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key")
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "text_key", F.col("grp").alias("component"))
+
+
+def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_key (a hash of the text) of every row. component_id: the smallest doc_id that links reach, itself included.
+
+    Texts without words (null, empty, blank) have the empty set, link with nothing and are their own component. A text with
+    fewer words than a shingle has one shingle, its whole sequence. Repeated rows and equal sets are linked. A null doc_id gets
+    the component of its set, null if no other id is in it. Other columns are ignored; an empty table gives no rows."""
+    return components(docs, rule).drop("component")
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest doc_id (of several texts with that id, the one
-    with the smallest hash), once. Documents without words all stay. Rows without doc_id stay if no row of their component
-    has one, once for each text. Columns are those of docs."""
-    rows = join(docs, rule)
-    low = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    text = F.when(F.col("doc_id").isNull(), F.col("text_key"))  # unknown ids: by text
-    low = low.groupBy("doc_id", "text_key").agg(F.min("n_shingles").alias("n"), (F.count(F.lit(1)) > 1).alias("_often"))
-    keys = stage(low.groupBy(F.col("doc_id").alias("_id"), F.col("n") == 0, text).agg(F.min(F.struct("text_key", "_often")).alias("_low"))
-                 .select("_id", F.col("_low.text_key").alias("_k"), F.col("_low._often").alias("_often")))
-    kept = docs.withColumn("_key", F.xxhash64("text")).join(small_side(keys), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
-    once = kept.filter("NOT _often").select(*docs.columns)
-    again = kept.filter("_often").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
-    return once.unionByName(again)
+    """The rows of docs that stay: of each component the row with the smallest doc_id (null after all others; of several texts with that id, the
+    one with the smallest hash), once. A doc_id that repeats over texts of different components stays with each of them. Documents
+    without words all stay, repeated ones too. Columns are those of docs, whatever they are called; an empty table stays empty."""
+    rows = components(docs, rule)
+    known = rows.filter("component IS NOT NULL").groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    low = known.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "n")).alias("low"))
+    keys = low.select("low.doc_id", "low.text_key", (F.col("low.n") > 1).alias("often"))
+    wordless = rows.filter("component IS NULL").select("doc_id", "text_key", F.lit(False).alias("often")).distinct()
+    keys = small_side(stage(keys.unionByName(wordless))).alias("k")
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    kept = held.join(keys, F.col("id").eqNullSafe(F.col("k.doc_id")) & (F.col("key") == F.col("k.text_key")))
+    once = kept.filter("NOT often").select("row.*")
+    return once.unionByName(kept.filter("often").dropDuplicates(["id", "key"]).select("row.*"))

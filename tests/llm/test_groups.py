@@ -135,3 +135,16 @@ def test_every_form_of_target(shipped):
     assert got == {(at + "/a/b/c?x=1", at + to) for to in [*forms.values(), "/a/b/n1", "/k/n2"]} | {(at, at + "/top"), (at + "/l/../m?n", at + "/m?n")}
     alias = shipped.createDataFrame([(1, "http://c.com/fr2/a", '<link rel="canonical" href="../de/1?x=1&amp;b=2">'), (2, "http://c.com/de/1?x=1&b=2", "")], "page_id long, url string, html string")
     assert {r.page_id: r.verdict for r in urls.judge(alias).collect()} == {1: "block", 2: "block"}
+
+
+def test_keep_one_loses_no_component(shipped):
+    """One doc_id over texts of two components, clashing column names, repeated rows, rows without words."""
+    words = lambda p: " ".join(f"{p}{i}" for i in range(80))
+    near = words("a").replace("a79", "other")
+    rows = [(5, words("a")), (7, near), (5, words("b")), (9, words("b")), (9, words("c")), (9, words("c")), (None, words("d")), (None, words("d")), (None, near),
+            (4, None), (4, None), (4, " ")]
+    df = shipped.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, id string, key string, often string").repartition(4)
+    kept = jaccard.keep_one(df, jaccard.Rule(words=5, percent=80))
+    assert kept.columns == df.columns
+    want = [(5, words("a")), (5, words("b")), (9, words("c")), (None, words("d")), (4, None), (4, None), (4, " ")]
+    assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str) == sorted(want, key=str)
