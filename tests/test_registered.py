@@ -43,7 +43,7 @@ def test_studies_fit_full_models(spark, monkeypatch, name, kind, want):
 
 def test_fits_and_replicates_are_full(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(q_models, "rows", lambda s, d: None)
+    monkeypatch.setattr(q_models, "fold_rows", lambda s, d: (None, 60))
     monkeypatch.setattr(q_models, "folds_of", lambda r: [0])
     monkeypatch.setattr(wk, "walk_forward", stopping(seen))
     monkeypatch.setattr(q_hmm, "_valid", lambda s, d: None)
@@ -78,3 +78,14 @@ def test_anchors_follow_the_folds(spark, monkeypatch):
     v, _, models = seen[0][0]
     assert {r.fold: r.anchor for r in v.collect()} == {f: f // 2 * 2 for f in range(7)}
     assert models == {a: list(range(-1, a)) for a in (0, 2, 4, 6)}
+
+
+@pytest.mark.parametrize("name", ["hmm_fit", "hmm_restarts", "restart_log", "walk_forward", "lr_walk_forward", "gbt_fit", "gate_score", "walk_restart_log", "stage_a_decode"])
+def test_fits_return_on_few_rows(spark, name):
+    """Too few rows give no model: an empty table, or log rows that say why."""
+    from tideline.plans import CATALOG
+
+    got = CATALOG[name](spark, "/root/testdata/sf0.001").collect()
+    if name == "restart_log":
+        assert {r.error for r in got} == {"0 rows for 2 states", "0 rows for 3 states"}
+    assert all(r.ll is None and not r.best for r in got if name in ("hmm_restarts", "restart_log"))

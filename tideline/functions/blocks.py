@@ -115,11 +115,12 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors,
-    and keeps column pruning and pushdown for whatever reads it next."""
+    and keeps column pruning and pushdown for whatever reads it next. ``by`` lays the files out by a column with few
+    values, so that a filter on it reads only what it needs."""
     path = os.path.join(work_dir(df.sparkSession), "tideline", uuid.uuid4().hex)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

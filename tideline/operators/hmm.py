@@ -5,13 +5,15 @@ sequence length exact: summarise each chunk, scan the summaries per key, fill ea
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.blocks import chunk_of, halo, lookup, over_chunks, stage
 from ..functions.lattice import Chunk, Model, log_emission, scan_summaries
-from . import gaps
+from . import gaps, seeding as sd
 
 KEYS = ("series_id",)
 CHUNK = 65_536
@@ -26,10 +28,10 @@ def _flat(vs):
     return [np.asarray(v, float).ravel().tolist() for v in vs]
 
 
-def prepare(rows: DataFrame, cols, keys=KEYS, size: int | None = None) -> DataFrame:
-    """Keys, slot, segment-start flag, features and the chunk number."""
+def prepare(rows: DataFrame, cols, keys=KEYS, size: int | None = None, extra=()) -> DataFrame:
+    """Keys, slot, segment-start flag, features, extra columns and the chunk number."""
     d = over_chunks(rows, keys, lambda r, w: r.withColumn("new_segment", gaps.new_segment(w)), before=1)
-    return d.select(*keys, "pos", "new_segment", *[F.col(c).cast("double").alias(c) for c in cols],
+    return d.select(*keys, "pos", "new_segment", *[F.col(c).cast("double").alias(c) for c in cols], *extra,
                     chunk_of("pos", size or CHUNK).alias("_chunk"))
 
 
@@ -134,61 +136,48 @@ def decode_windows(rows: DataFrame, cols, model: Model, width: int, size: int |
     return halo(d, width, size=size).groupBy("series_id", "_chunk").applyInPandas(one, schema)
 
 
-def pack(rows: DataFrame, cols, keys=KEYS, size: int | None = None) -> DataFrame:
+def pack(rows: DataFrame, cols, keys=KEYS, size: int | None = None, extra=()) -> DataFrame:
     """One record per chunk with its rows as arrays, written once; EM then re-reads it without a shuffle."""
-    d = prepare(rows, cols, keys, size)
-    g = d.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "new_segment", *cols))).alias("r"))
-    return stage(g.select(*keys, "_chunk", *[F.col(f"r.{c}").alias(c) for c in ("new_segment", *cols)]))
-
+    d = prepare(rows, cols, keys, size, extra)
+    names = ("pos", "new_segment", *cols, *extra)
+    g = d.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("r"))
+    return stage(g.select(*keys, "_chunk", *[F.col(f"r.{c}").alias(c) for c in names]))
 
-def _chunks_of(pdf, cols):
-    for rec in pdf.itertuples(index=False):
-        x = np.column_stack([np.asarray(getattr(rec, c), float) for c in cols])
-        yield rec, x, np.asarray(rec.new_segment, bool)
 
-
-def _crossing_carries(packed, cols, models, keys):
-    """Entering vectors per (chunk, seed), needed only when a segment crosses chunks."""
-    schema = T.StructType([T.StructField("seed", T.LongType()), *_fields(packed, keys), T.StructField("_chunk", T.LongType()),
+def _crossing_carries(packed, cols, models, jobs, keys):
+    """Entering vectors per (chunk, fit), needed only when a segment crosses chunks."""
+    schema = T.StructType([T.StructField("job", T.LongType()), *_fields(packed, keys), T.StructField("_chunk", T.LongType()),
                            T.StructField("p", _A), T.StructField("l", _A), T.StructField("b", _A)])
 
     def summ(batches):
         for pdf in batches:
             out = []
-            for chunk, (rec, x, reset) in zip(pdf["_chunk"], _chunks_of(pdf, cols)):
-                for seed, m in models.items():
-                    out.append([seed, *[getattr(rec, k) for k in keys], chunk, *_flat(Chunk(x, reset, m).summary())])
+            for chunk, (rec, x, reset) in zip(pdf["_chunk"], sd.chunks_of(pdf, cols)):
+                for i, xs, rs, _ in sd.seen(rec, x, reset, jobs):
+                    out.append([i, *[getattr(rec, k) for k in keys], chunk, *_flat(Chunk(xs, rs, models[i]).summary())])
             yield pd.DataFrame(out, columns=[f.name for f in schema])
 
-    carry = _carries(packed.mapInPandas(summ, schema), ["seed", *keys])
-    return carry.groupBy(*keys, "_chunk").agg(F.collect_list(F.struct("seed", "a_in", "b_out")).alias("carry"))
+    carry = _carries(packed.mapInPandas(summ, schema), ["job", *keys])
+    return carry.groupBy(*keys, "_chunk").agg(F.collect_list(F.struct("job", "a_in", "b_out")).alias("carry"))
 
 
-def expected_counts(packed, cols, models: dict[int, Model], keys=KEYS, crossing: bool = False) -> dict[int, np.ndarray]:
-    """Summed expected counts per seed. Every task adds up its own chunks before anything is sent."""
-    src = packed
+def expected_counts(packed, cols, models: dict[int, Model], keys=KEYS, crossing: bool = False, jobs: dict[int, sd.Job] | None = None) -> dict[int, np.ndarray]:
+    """Summed expected counts per fit, all fits in one pass. Every task adds up its own chunks before anything is sent."""
+    src, jobs = packed, jobs or {i: sd.Job(i) for i in models}
     if crossing:
-        # a few numbers per chunk and seed go to the packed rows, which stay where they are
-        src = lookup(packed, _crossing_carries(packed, cols, models, keys), [*keys, "_chunk"])
+        # a few numbers per chunk and fit go to the packed rows, which stay where they are
+        src = lookup(packed, _crossing_carries(packed, cols, models, jobs, keys), [*keys, "_chunk"], "left")
+    known: dict = {}
 
-    def estep(batches):
-        total: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for rec, x, reset in _chunks_of(pdf, cols):
-                known = {c["seed"]: (c["a_in"], c["b_out"]) for c in rec.carry} if crossing else {}
-                for seed, m in models.items():
-                    flat = np.full(m.k, 1 / m.k)
-                    a_in, b_out = known.get(seed, (flat, flat))
-                    s = Chunk(x, reset, m).counts(x, a_in, b_out)
-                    total[seed] = total[seed] + s if seed in total else s
-        yield pd.DataFrame([{"seed": s, "stat": v.tolist()} for s, v in total.items()], columns=["seed", "stat"])
-
-    parts = src.mapInPandas(estep, "seed long, stat array<double>")
-    sums = parts.select("seed", F.posexplode("stat").alias("i", "v")).groupBy("seed", "i").agg(F.sum("v").alias("v"))
-    out: dict[int, dict] = {}
-    for r in sums.collect():  # seeds x (k, k*k, k*F) numbers
-        out.setdefault(r["seed"], {})[r["i"]] = r["v"]
-    return {s: np.array([v[i] for i in range(len(v))]) for s, v in out.items()}
+    def each(i, rec, x, reset, pos):
+        m = models[i]
+        if crossing and known.get("rec") is not rec:
+            known["rec"], known["carry"] = rec, {c["job"]: (c["a_in"], c["b_out"]) for c in (rec.carry if rec.carry is not None else ())}
+        flat = np.full(m.k, 1 / m.k)
+        a_in, b_out = known["carry"].get(i, (flat, flat)) if crossing else (flat, flat)
+        return Chunk(x, reset, m).counts(x, a_in, b_out)
+
+    return sd.summed(src, cols, jobs, each)
 
 
 def update(stat: np.ndarray, old: Model, var_floor: float = 1e-2) -> tuple[float, Model]:
@@ -206,52 +195,82 @@ def update(stat: np.ndarray, old: Model, var_floor: float = 1e-2) -> tuple[float
                             mean, np.maximum(var, 1e-10))
 
 
+def sticky(means: np.ndarray, var: np.ndarray, stay: float = 0.8) -> Model:
+    """Given means, one variance per feature for all states, even starts and transitions that stay with odds `stay`."""
+    k = len(means)
+    trans = np.full((k, k), (1 - stay) / max(k - 1, 1))
+    np.fill_diagonal(trans, stay if k > 1 else 1.0)
+    return Model(np.full(k, 1 / k), trans, np.asarray(means, float), np.tile(np.maximum(var, 1e-3), (k, 1)))
+
+
 def first_guess(rows: DataFrame, cols, k: int, seed: int, keys=KEYS) -> Model:
-    """k rows drawn by hash as means, overall variances, sticky transitions."""
+    """k rows drawn by hash as means: the plain start that k-means improves on."""
     picks = rows.select(*keys, "pos", *cols).orderBy(F.xxhash64(F.lit(seed), *keys, "pos")).limit(k).collect()
     v = rows.agg(*[F.var_pop(c).alias(c) for c in cols]).collect()[0]
-    var = np.array([max(v[c], 1e-3) for c in cols], float)
-    stay = 0.8
-    trans = np.full((k, k), (1 - stay) / max(k - 1, 1))
-    np.fill_diagonal(trans, stay if k > 1 else 1.0)
-    return Model(np.full(k, 1 / k), trans, np.array([[r[c] for c in cols] for r in picks], float), np.tile(var, (k, 1)))
+    return sticky(np.array([[r[c] for c in cols] for r in picks], float), np.array([v[c] or 0.0 for c in cols], float))
 
 
-def fit(rows: DataFrame, cols, k: int, seeds=(1, 2, 3, 4, 5), max_iter: int = 100, tol: float = 1e-2, keys=KEYS,
-        size: int | None = None) -> tuple[Model, list[dict]]:
-    """Expectation-maximisation with several starts in the same jobs; the best training likelihood wins.
+def first_models(packed: DataFrame, cols, k: int, jobs: dict[int, sd.Job], keys=KEYS) -> tuple[dict[int, Model], dict[int, int]]:
+    """A start by k-means for every job that sees k rows at least, and the rows that each job sees."""
+    spread = sd.moments(packed, cols, jobs)
+    enough = {i: j for i, j in jobs.items() if i in spread and spread[i][0] >= k}
+    rows = {i: spread[i][0] if i in spread else 0 for i in jobs}
+    if not enough:
+        return {}, rows
+    centres = sd.lloyd(packed, cols, enough, sd.starts(packed, cols, k, enough, keys), {i: float(spread[i][2].mean()) for i in enough})
+    return {i: sticky(centres[i], spread[i][2]) for i in enough}, rows
 
-    ``rows`` should be staged. Returns the model and one log entry per seed."""
-    cols = list(cols)
-    packed = pack(rows, cols, keys, size)
+
+def fit_many(packed: DataFrame, cols, k: int, jobs: dict[int, sd.Job], max_iter: int = 100, tol: float = 1e-2, keys=KEYS) -> tuple[dict[int, Model], dict[int, dict]]:
+    """Expectation-maximisation of many fits over the same packed rows, each with its own view of them.
+
+    One job per iteration serves all fits that have not converged, so the number of jobs does not grow with the number of folds or
+    restarts. Returns models and log entries by fit; a fit that sees fewer rows than states has an entry, but no model."""
+    began, cols = time.monotonic(), list(cols)
     crossing = packed.filter(~F.element_at("new_segment", 1)).limit(1).count() > 0
-    models = {s: first_guess(rows, cols, k, s, keys) for s in seeds}
-    log = {s: {"seed": s, "ll": None, "n_iter": 0, "converged": False, "error": None} for s in seeds}
-    active = list(seeds)
+    models, rows = first_models(packed, cols, k, jobs, keys)
+    log = {i: {"seed": j.seed, "ll": None, "n_iter": 0, "converged": False, "error": None if i in models else f"{rows[i]} rows for {k} states",
+               "n_rows": rows[i], "warnings": 0, "seconds": 0.0} for i, j in jobs.items()}
+    active = [i for i in jobs if i in models]
     for it in range(max_iter + 1):
-        stats = expected_counts(packed, cols, {s: models[s] for s in active}, keys, crossing)
+        if not active:
+            break
+        stats = expected_counts(packed, cols, {i: models[i] for i in active}, keys, crossing, {i: jobs[i] for i in active})
         still = []
-        for s in active:
-            ll, new = update(stats[s], models[s])
-            entry = log[s]
+        for i in active:
+            ll, new = update(stats[i], models[i])
+            entry = log[i]
+            entry["seconds"] = time.monotonic() - began
             if not np.isfinite(ll):
                 entry["error"] = "likelihood is not finite"
                 continue
             gain = None if entry["ll"] is None else ll - entry["ll"]
+            entry["warnings"] += gain is not None and gain < 0  # the likelihood fell
             entry["ll"] = ll
             if gain is not None and gain < tol:
                 entry["converged"] = True
             elif it < max_iter:
-                models[s], entry["n_iter"] = new, it + 1
-                still.append(s)
+                models[i], entry["n_iter"] = new, it + 1
+                still.append(i)
         active = still
-        if not active:
-            break
-    good = [s for s in seeds if log[s]["error"] is None]
-    if not good:
-        raise RuntimeError("no restart gave a finite likelihood")
-    best = max(good, key=lambda s: log[s]["ll"])
-    return models[best], [log[s] | {"best": s == best} for s in seeds]
+    return models, log
+
+
+def fit(rows: DataFrame, cols, k: int, seeds=(1, 2, 3, 4, 5), max_iter: int = 100, tol: float = 1e-2, keys=KEYS,
+        size: int | None = None) -> tuple[Model | None, list[dict]]:
+    """Several starts in the same jobs; the best training likelihood wins.
+
+    ``rows`` should be staged. Returns the model and one log entry per seed; no model if rows are fewer than states or no start
+    gave a finite likelihood (the entries' error says so)."""
+    cols = list(cols)
+    models, log = fit_many(pack(rows, cols, keys, size), cols, k, {s: sd.Job(s) for s in seeds}, max_iter, tol, keys)
+    best = best_of(log)
+    return models.get(best), [log[s] | {"best": s == best} for s in seeds]
+
+
+def best_of(log: dict[int, dict]) -> int | None:
+    good = [i for i, e in log.items() if e["error"] is None and e["ll"] is not None]
+    return max(good, key=lambda i: log[i]["ll"], default=None)
 
 
 LOG_SCHEMA = "seed long, ll double, n_iter long, converged boolean, error string, best boolean"
@@ -262,7 +281,10 @@ def log_table(spark: SparkSession, log: list[dict]) -> DataFrame:
     return spark.createDataFrame([(e["seed"], e["ll"], e["n_iter"], e["converged"], e["error"], e["best"]) for e in log], LOG_SCHEMA)
 
 
-def model_table(spark: SparkSession, model_id: str, m: Model) -> DataFrame:
+def model_table(spark: SparkSession, model_id: str, m: Model | None) -> DataFrame:
+    """A row per state; none without a model."""
+    if m is None:
+        return spark.createDataFrame([], MODEL_SCHEMA)
     return spark.createDataFrame([(model_id, s, float(m.start[s]), m.trans[s].tolist(), m.mean[s].tolist(), m.var[s].tolist())
                                   for s in range(m.k)], MODEL_SCHEMA)
 

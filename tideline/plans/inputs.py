@@ -26,6 +26,18 @@ def bar_table(spark: SparkSession, folder: str) -> DataFrame:
     return stage(bars(spark, folder))
 
 
+WIDTHS = (5, 15, 30, 60)
+TICKS = 2.0
+
+
+def walk_minutes(spark: SparkSession, folder: str) -> int:
+    """Bar width of the walks: the finest that still has TICKS events per bar and series on average, so that a longer or denser event table
+    gives more bars and not only fuller ones. The widest if none has."""
+    r = table(spark, folder, "events").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_type").alias("keys"), (F.max("ts") - F.min("ts")).alias("span")).first()
+    span = r["span"].total_seconds() / 60 if r["span"] else 0.0
+    return next((m for m in WIDTHS if r["n"] >= TICKS * r["keys"] * span / m > 0), WIDTHS[-1])
+
+
 def with_features(d, w):
     return ft.add_base(d, w).withColumn("px_z", ft.rolling_zscore("avg_price", w, ft.SPAN))
 

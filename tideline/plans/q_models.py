@@ -6,14 +6,16 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.blocks import chunk_of, stage
 from ..functions.columns import full, since
-from ..operators import folds as fo, labels as lb, metrics as mt, models as ml, structure as st, walk as wk
+from ..operators import features as ft, folds as fo, labels as lb, metrics as mt, models as ml, structure as st, walk as wk
 from . import inputs as inp
 from .q_labels import LABEL, labelled
 from .q_stats import SCORED, scored
 from .q_structure import WIDTHS, swings_sql
 from .registry import query
 
-BASE = ("confidence", "px_z", "vol_z", "ofi_z")
+BASE = ("confidence", "stay_prob", "log1p_duration", "margin")
+MODEL_COLS, TREND_COLS, VOL_COLS = (*ft.BASE_FEATURES, "px_z"), ("ret_1", "ret_2", "px_z"), ("vol_4", "vol_6")
+STATES, SEEDS = 4, (1, 2, 3, 4, 5)
 RAW = ("ret_1", "ret_2", "ret_4", "vol_4", "vol_6", "vol_change", "skew_6", "asym_6")
 POOL = 500
 EMBARGO_HOURS = 4
@@ -23,19 +25,42 @@ WALK_ITERATIONS = 100
 K_FOLDS, THRESHOLD_FOLDS = 20, 10  # last calibration folds of the published studies; of those, the folds that exist are read
 
 
+_STAGE_A: dict[tuple[str, str], object] = {}  # the labelled table of a folder, by application: fitted once, read by all studies
+
+
+def fold_rows(spark, folder):
+    """Valid rows of bars as fine as the event table fills; those before the first fold train only (fold -1). A forward move that ends in the
+    next fold counts as unknown, and rows within the embargo before the next fold are marked late. Returns rows and bar width."""
+    m = inp.walk_minutes(spark, folder)
+    minute = F.floor(F.pmod(since(inp.WEEK0), F.lit(WEEK * 3_600_000_000)) / 60_000_000)
+    v = inp.valid_rows(spark, folder, minutes=m).withColumns({"late": minute >= (WEEK - EMBARGO_HOURS) * 60, "fold": F.greatest("fold", F.lit(-1)).cast("int")})
+    return stage(v.withColumns({f"fwd_{h}": F.when(minute + h * m < WEEK * 60, F.col(f"fwd_{h}")) for h in inp.HORIZONS})), m
+
+
+def stage_a(v):
+    """Of every fold a model fitted on the past and its causal reading of the fold; models, views, facts and restart log beside it."""
+    models, views, facts, log = wk.fit_folds(v, MODEL_COLS, STATES, folds_of(v), SEEDS, WALK_ITERATIONS, POOL)
+    return wk.decode_folds(v, MODEL_COLS, models, views, TREND_COLS, VOL_COLS), facts, log
+
+
 def rows(spark, folder):
-    """Valid rows with labels that know nothing of later folds: each fold's epsilon comes from earlier rows, a forward move that
-    ends in the next fold counts as unknown, and rows within the embargo before the next fold are marked late."""
-    hour = F.floor(F.pmod(since(inp.WEEK0), F.lit(WEEK * 3_600_000_000)) / 3_600_000_000)
-    v = inp.valid_rows(spark, folder).filter("fold >= 0").withColumns({
-        "late": hour >= WEEK - EMBARGO_HOURS, **{f"fwd_{h}": F.when(hour + h < WEEK, F.col(f"fwd_{h}")) for h in inp.HORIZONS}})
-    v = stage(v)
-    return stage(lb.frozen_epsilon(v, "fwd_2", folds_of(v), min_pool=50)[0]) if folds_of(v) else lb.persistence(
-        v.withColumns({"epsilon": F.lit(None).cast("double"), "bootstrap": F.lit(True)}), "fwd_2", F.col("epsilon"))
+    """Rows of all folds that have a model, with the columns that its causal reading gives and labels that know nothing of later folds: each
+    fold's epsilon comes from earlier rows. Written by fold, so that a pool reads only its folds."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STAGE_A:
+        v, _ = fold_rows(spark, folder)
+        decoded, _, _ = stage_a(v)
+        new = [c for c in decoded.columns if c not in ("series_id", "fold", "pos")]
+        v = stage(v.drop(*new).join(decoded, ["series_id", "fold", "pos"]))
+        folds = folds_of(v)
+        labelled_ = lb.frozen_epsilon(v, "fwd_2", folds, min_pool=50)[0] if folds else lb.persistence(
+            v.withColumns({"epsilon": F.lit(None).cast("double"), "bootstrap": F.lit(True)}), "fwd_2", F.col("epsilon"))
+        _STAGE_A[key] = stage(labelled_, "fold")
+    return _STAGE_A[key]
 
 
 def folds_of(r):
-    return [x[0] for x in r.select("fold").distinct().orderBy("fold").collect()]
+    return [x[0] for x in r.filter("fold >= 0").select("fold").distinct().orderBy("fold").collect()]
 
 
 def lr(n):
@@ -253,8 +278,25 @@ def pivot_k_selection(spark, folder):
 
 @query("walk_forward", "model_id fold:l n_rows:l n_runs:l ll_per_row:d mean_confidence:d aligned_mean:d mean_minutes:d")
 def walk_forward(spark, folder):
-    v = rows(spark, folder)
-    d, _ = wk.walk_forward(v, ("ret_1", "px_z", "vol_6"), 3, folds_of(v), "hourly_3", seeds=(1, 2, 3, 4, 5), max_iter=WALK_ITERATIONS,
+    v, minutes = fold_rows(spark, folder)
+    d, _ = wk.walk_forward(v, ("ret_1", "px_z", "vol_6"), 3, folds_of(v), "hourly_3", seeds=SEEDS, max_iter=WALK_ITERATIONS,
                            min_train=500, trend_cols=("ret_1", "px_z"), vol_cols=("vol_6",))
-    return wk.fold_report(d, v.select("series_id", "pos", "ts", "fwd_2"), inp.MINUTES)
+    return wk.fold_report(d, v.select("series_id", "pos", "ts", "fwd_2"), minutes)
+
+
+@query("stage_a_decode", "series_id fold:l ts:t state:l confidence:d margin:d stay_prob:d duration:l log1p_duration:d left_censored:b trend_score:d trend_sign:l is_trending:b regime")
+def stage_a_decode(spark, folder):
+    v, _ = fold_rows(spark, folder)
+    return stage_a(v)[0].join(v.select("series_id", "pos", "ts"), ["series_id", "pos"])
+
+
+WALK_LOG = "fold long, seed long, n_rows long, ll double, n_iter long, converged boolean, error string, warnings long, seconds double, best boolean"
+
 
+@query("walk_restart_log", "fold:l seed:l n_rows:l ll:d n_iter:l converged:b error warnings:l best:b")
+def walk_restart_log(spark, folder):
+    """A row per fold and restart of the walk's fits. Seconds are in the operator's log, not here: they differ between runs."""
+    v, _ = fold_rows(spark, folder)
+    _, _, _, log = wk.fit_folds(v, MODEL_COLS, STATES, folds_of(v), SEEDS, WALK_ITERATIONS, POOL)
+    names = [c.split()[0] for c in WALK_LOG.split(", ")]
+    return spark.createDataFrame([tuple(int(e[c]) if c == "warnings" else e[c] for c in names) for e in log], WALK_LOG)
