@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.blocks import lookup, running
 from ..functions.columns import safe_div
+from ..functions.distributions import signed_rank_two_sided, t_two_sided
 from ..functions.ordered import cumulate, percentiles, ranked, value_summary
 from .metrics import auc_of
 
@@ -255,16 +256,18 @@ def state_kurtosis(rows: DataFrame, keys, cols) -> DataFrame:
 
 
 def paired_tests(deltas: DataFrame, delta: str, order: str) -> DataFrame:
-    """Paired t, signed-rank sum, wins and half means of per-fold differences (fold-sized input)."""
+    """Paired t and signed-rank sum with two-sided p-values, wins and half means of per-fold differences (fold-sized input)."""
     d = deltas.filter(F.col(delta).isNotNull())
     nz = d.filter(F.col(delta) != 0).withColumn("_abs", F.abs(delta)).withColumn("_all", F.lit(0))
     r = ranked(nz, ["_all"], "_abs", {"n": F.count(F.lit(1)), "up": F.count_if(F.col(delta) > 0)})
     rank = F.col("n_before") + (F.col("n") + 1) / 2
-    w = r.agg(F.sum(rank * F.col("up")).alias("w_plus"), F.sum(rank * (F.col("n") - F.col("up"))).alias("w_minus"), F.lit(1).alias("_k"))
+    ranks = F.flatten(F.collect_list(F.array_repeat(rank, F.col("n").cast("int"))))  # one per fold
+    w = r.agg(ranks.alias("_ranks"), F.sum(rank * F.col("up")).alias("w_plus"), F.sum(rank * (F.col("n") - F.col("up"))).alias("w_minus"), F.lit(1).alias("_k"))
     half = d.agg(F.median(order).alias("_h"), F.lit(1).alias("_k"))
     x = F.col(delta)
     g = d.withColumn("_k", F.lit(1)).join(half, "_k").groupBy("_k").agg(
         F.count(x).alias("n"), F.count_if(x > 0).alias("wins"), F.avg(x).alias("mean"),
         safe_div(F.avg(x), F.stddev_samp(x) / F.sqrt(F.count(x))).alias("t_stat"),
         F.avg(F.when(F.col(order) <= F.col("_h"), x)).alias("first_half"), F.avg(F.when(F.col(order) > F.col("_h"), x)).alias("second_half"))
-    return g.join(w, "_k").drop("_k")
+    plus = F.coalesce(F.col("w_plus"), F.lit(0)).cast("double")
+    return g.join(w, "_k").withColumns({"t_p": t_two_sided(F.col("t_stat"), F.col("n") - 1), "w_p": signed_rank_two_sided(F.col("_ranks").cast("array<double>"), plus)}).drop("_k", "_ranks")

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.blocks import lookup, stage
 from ..functions.columns import periods, safe_div, three_way
+from ..functions import distributions as ds
 from ..operators import gaps, metrics as mt, resample as rs, stats as st
 from ..sources.tables import table
 from . import inputs as inp
@@ -441,19 +442,21 @@ def null_counts(spark, folder):
     return st.null_counts(inp.featured(spark, folder), FEATS)
 
 
-@query("kruskal_wallis", "series_id horizon n:l n_groups:l h_stat:d", """
+@query("kruskal_wallis", "series_id horizon n:l n_groups:l h_stat:d p_value:d", """
 lg AS (SELECT * FROM (SELECT series_id, state, unnest(['h1', 'h2', 'h4']) AS horizon, unnest([fwd_1, fwd_2, fwd_4]) AS r FROM valid) WHERE r IS NOT NULL),
 ok AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY series_id, horizon, state) AS g FROM lg) WHERE g > 10),
 rk AS (SELECT *, rank() OVER (PARTITION BY series_id, horizon ORDER BY r) + (count(*) OVER (PARTITION BY series_id, horizon, r) - 1) / 2.0 AS rk,
  count(*) OVER (PARTITION BY series_id, horizon, r) AS tie FROM ok),
 s AS (SELECT series_id, horizon, sum(rs * rs / m) AS s, count(*) AS n_groups FROM (SELECT series_id, horizon, state, sum(rk) AS rs, count(*) AS m FROM rk GROUP BY 1, 2, 3) GROUP BY 1, 2),
-t AS (SELECT series_id, horizon, count(*) AS n, sum(CAST(tie AS DOUBLE) * tie - 1) AS t FROM rk GROUP BY 1, 2)
+t AS (SELECT series_id, horizon, count(*) AS n, sum(CAST(tie AS DOUBLE) * tie - 1) AS t FROM rk GROUP BY 1, 2),
+kw AS (SELECT series_id, horizon, n, n_groups, (12.0 / (n * (n + 1.0)) * s - 3 * (n + 1)) / (1 - t / (CAST(n AS DOUBLE) * n * n - n)) AS h_stat, (n_groups - 1) / 2.0 AS a FROM s JOIN t USING (series_id, horizon) WHERE n_groups >= 2)
 ;;
-SELECT series_id, horizon, n, n_groups, (12.0 / (n * (n + 1.0)) * s - 3 * (n + 1)) / (1 - t / (CAST(n AS DOUBLE) * n * n - n)) AS h_stat FROM s JOIN t USING (series_id, horizon) WHERE n_groups >= 2""")
+SELECT series_id, horizon, n, n_groups, h_stat, CASE WHEN h_stat <= 0 THEN 1.0 ELSE greatest(0, 1 - exp(-h_stat / 2 + a * ln(h_stat / 2) - lgamma(a)) * list_reduce(list_prepend(struct_pack(t := CAST(1 / a AS DOUBLE), s := CAST(1 / a AS DOUBLE)),
+  list_transform(range(1, 300), lambda i: struct_pack(t := CAST(i AS DOUBLE), s := CAST(0 AS DOUBLE)))), lambda x, y: struct_pack(t := x.t * h_stat / 2 / (a + y.t), s := x.s + x.t * h_stat / 2 / (a + y.t))).s) END AS p_value FROM kw""")
 def kruskal_wallis(spark, folder):
     v = inp.valid_rows(spark, folder)
     d = stage(st.unpivot(v, ["series_id", "state"], H, "horizon", "f"))
-    return mt.kruskal(d, ["series_id", "horizon"], "state", "f")
+    return mt.kruskal(d, ["series_id", "horizon"], "state", "f").withColumn("p_value", ds.chi2_tail(F.greatest("h_stat", F.lit(0.0)), F.col("n_groups") - 1))
 
 
 @query("bootstrap_auc_ci", "fold:l n_replicates:l mean_auc:d lo:d hi:d")
@@ -514,11 +517,20 @@ def contemporaneous_stats(spark, folder):
                                               st.share(F.col("b") > 0).alias("back_pos"), st.share(F.col("f") > 0).alias("fwd_pos"))
 
 
-@query("paired_tests", "n:l wins:l mean:d t_stat:d w_plus:d w_minus:d first_half:d second_half:d", SCORED.replace(";;", ",") + """
+@query("paired_tests", "n:l wins:l mean:d t_stat:d t_p:d w_plus:d w_minus:d w_p:d first_half:d second_half:d", SCORED.replace(";;", ",") + """
 d AS (SELECT fold, auc - auc_b AS d FROM au), m AS (SELECT median(fold) AS h FROM d),
-w AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0)
+w AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r, row_number() OVER (ORDER BY abs(d), fold) AS k FROM d WHERE d <> 0),
+dp(k, w, p) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL
+ SELECT dp.k + 1, dp.w + s.s * CAST(w.r AS DOUBLE), sum(dp.p) / 2 FROM dp JOIN w ON w.k = dp.k + 1 CROSS JOIN (VALUES (0), (1)) s(s) GROUP BY 1, 2),
+sr AS (SELECT CASE WHEN max(k) > 0 THEN least(1, 2 * least(sum(p) FILTER (WHERE k = n AND w <= wp), sum(p) FILTER (WHERE k = n AND w >= wp))) END AS w_p
+ FROM dp, (SELECT count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS wp FROM w)),
+st AS (SELECT count(*) - 1 AS v, abs(avg(d) / (stddev_samp(d) / sqrt(count(*)))) AS t FROM d),
+sa AS (SELECT v, atan(t / sqrt(v)) AS q FROM st),
+tp AS (SELECT CASE WHEN v % 2 = 1 THEN 1 - 2 / pi() * (q + CASE WHEN v > 1 THEN sin(q) * list_sum(list_transform(range(0, (v - 1) // 2), lambda k:
+   pow(cos(q), 2 * k + 1) * coalesce(list_product(list_transform(range(1, k + 1), lambda i: 2.0 * i / (2 * i + 1))), 1))) ELSE 0 END)
+  ELSE 1 - sin(q) * list_sum(list_transform(range(0, v // 2), lambda k: pow(cos(q), 2 * k) * coalesce(list_product(list_transform(range(1, k + 1), lambda i: (2.0 * i - 1) / (2 * i))), 1))) END AS t_p FROM sa WHERE v >= 1)
 ;;
-SELECT count(*) AS n, count(*) FILTER (WHERE d > 0) AS wins, avg(d) AS mean, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t_stat,
+SELECT count(*) AS n, (SELECT t_p FROM tp) AS t_p, (SELECT w_p FROM sr) AS w_p, count(*) FILTER (WHERE d > 0) AS wins, avg(d) AS mean, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t_stat,
  (SELECT sum(r) FILTER (WHERE d > 0) FROM w) AS w_plus, (SELECT sum(r) FILTER (WHERE d < 0) FROM w) AS w_minus,
  avg(d) FILTER (WHERE fold <= h) AS first_half, avg(d) FILTER (WHERE fold > h) AS second_half FROM d, m""")
 def paired_tests(spark, folder):
