@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.blocks import lookup, running
+from ..functions.blocks import lookup, running, stage
 from ..functions.columns import safe_div
 from ..functions.distributions import signed_rank_two_sided, t_two_sided
 from ..functions.ordered import cumulate, percentiles, ranked, value_summary
@@ -176,18 +180,90 @@ def fold_delta(a: DataFrame, b: DataFrame, keys, metric: str) -> DataFrame:
 
 def bootstrap_auc(rows: DataFrame, keys, replicates: int, seed: int = 42) -> DataFrame:
     """Percentile interval of the AUC. Rows are first reduced to counts per distinct score and label; a
-    resample then draws a Poisson count per cell (a sum of n Poisson(1) draws is Poisson(n)), by
-    inverting the distribution on a hash-based uniform so that a retry repeats it."""
-    cells = rows.filter("label IS NOT NULL").groupBy(*keys, "score").agg(
-        F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_q"))
-    rep = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draw = lambda c, tag: F.when(F.col(c) > 0, poisson(F.col(c), hash_uniform("replicate", "score", F.lit(f"{tag}{seed}")),
-                                                       hash_uniform("score", "replicate", F.lit(f"{tag}{seed}")))).otherwise(0)
-    drawn = rep.withColumns({"p": draw("_p", "p"), "q": draw("_q", "q")}).drop("_p", "_q").filter("p + q > 0")
-    k = [*keys, "replicate"]
-    a = auc_of(cumulate(drawn, k, "score", ("p", "q")), k).filter("auc IS NOT NULL")
-    p = value_summary(a, keys, "auc", {"lo": 0.025, "hi": 0.975}, {"mean_auc": F.sum(F.col("auc") * F.col("n")) / F.sum("n")})
-    return p.withColumnRenamed("n_all", "n_replicates")
+    resample then draws a Poisson count per cell (a sum of n Poisson(1) draws is Poisson(n)).
+
+    Distinct scores are ordered once. A task reads its range of them with all replicates at once as vectors: positives, negatives and
+    the pairs won inside the range. Ranges are joined pairwise in order (a later range's positives also win over all earlier negatives), many
+    at a time, so what moves is three vectors a range whatever the number of scores. A cell's draws depend on key, score and seed
+    alone, so neither ranges nor retries change them. Null scores don't count."""
+    keys = list(keys)
+    cells = stage(rows.filter("label IS NOT NULL AND score IS NOT NULL").groupBy(*keys, F.col("score").cast("double").alias("score")).agg(
+        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")))
+    schema = T.StructType([*[cells.schema[k] for k in keys], T.StructField("at", T.LongType()), *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in "pqu"]])
+    names = [f.name for f in schema]
+
+    def ranges(batches):
+        """Sums per key of the task's cells, which come in order."""
+        at, held, state = TaskContext.get().partitionId(), None, None
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, sort=False, dropna=False):
+                if held is not None and not _same(key, held):
+                    yield pd.DataFrame([[*held, at, *map(list, state)]], columns=names)
+                    state = None
+                held = key
+                for i in range(0, len(part), CELLS):
+                    new = _cells_won(key, part.iloc[i:i + CELLS], replicates, seed)
+                    state = new if state is None else _joined(state, new)
+        if held is not None:
+            yield pd.DataFrame([[*held, at, *map(list, state)]], columns=names)
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at", kind="stable")
+        state = None
+        for p, q, u in zip(pdf["p"], pdf["q"], pdf["u"]):
+            new = tuple(np.asarray(v, float) for v in (p, q, u))
+            state = new if state is None else _joined(state, new)
+        out = pdf[[*keys, "at"]].iloc[:1].reset_index(drop=True)
+        for n, v in zip("pqu", state):
+            out[n] = [v.tolist()]
+        return out
+
+    parts = stage(cells.repartitionByRange(*keys, "score").sortWithinPartitions(*keys, "score").mapInPandas(ranges, schema))
+    most = parts.agg(F.max("at")).first()[0] or 0
+    while most:
+        parts = stage(parts.groupBy(*keys, F.floor(F.col("at") / RANGES)).applyInPandas(together, schema).withColumn("at", F.floor(F.col("at") / RANGES).cast("long")))
+        most //= RANGES
+    won = F.filter(F.transform(F.arrays_zip("p", "q", "u"), lambda r: F.when((r["p"] > 0) & (r["q"] > 0), r["u"] / (r["p"] * r["q"]))), lambda v: v.isNotNull())
+    auc = parts.select(*keys, F.array_sort(won).alias("_auc")).filter(F.size("_auc") > 0)
+    n = F.size("_auc")
+
+    def at_share(share):
+        where = (n - 1) * share
+        low = F.element_at("_auc", (F.floor(where) + 1).cast("int"))
+        high = F.element_at("_auc", (F.ceil(where) + 1).cast("int"))
+        return low + (high - low) * (where - F.floor(where))
+
+    mean = F.aggregate("_auc", F.lit(0.0), lambda a, x: a + x) / n
+    return auc.select(*keys, n.cast("long").alias("n_replicates"), mean.alias("mean_auc"), at_share(0.025).alias("lo"), at_share(0.975).alias("hi"))
+
+
+CELLS = 512  # cells drawn at a time: as many rows of `replicates` numbers
+RANGES = 64  # ranges joined by one task
+
+
+def _same(a, b) -> bool:
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+
+def _joined(a, b):
+    """Positives, negatives and pairs won of two ranges, the second with the higher scores."""
+    return a[0] + b[0], a[1] + b[1], a[2] + b[2] + b[0] * a[1]
+
+
+def draws(key, score: float, tag: str, count: int, replicates: int, seed: int) -> np.ndarray:
+    """Poisson(count) for every replicate."""
+    if not count:
+        return np.zeros(replicates)
+    raw = hashlib.blake2b(f"{key}|{score!r}|{tag}|{seed}".encode(), digest_size=16).digest()
+    return np.random.Generator(np.random.Philox(key=np.frombuffer(raw, np.uint64))).poisson(count, replicates).astype(float)
+
+
+def _cells_won(key, part: pd.DataFrame, replicates: int, seed: int):
+    key = tuple(None if v != v else v.item() if hasattr(v, "item") else v for v in key)
+    draw = lambda tag: np.array([draws(key, s, tag, n, replicates, seed) for s, n in zip(part["score"].tolist(), part[tag].tolist())])
+    p, q = draw("p"), draw("q")
+    before = np.cumsum(q, axis=0) - q
+    return p.sum(axis=0), q.sum(axis=0), (p * (before + q / 2)).sum(axis=0)
 
 
 def hash_uniform(*cols) -> Column:
