@@ -50,3 +50,27 @@ def test_draws():
     d = np.concatenate([st.draws(("a",), float(s), "p", 3, 200, 1) for s in range(200)])
     assert abs(d.mean() - 3) < 0.03 and abs(d.var() - 3) < 0.06
     assert (st.draws(("a",), 1.0, "p", 2, 50, 1) == st.draws(("a",), 1.0, "p", 2, 50, 1)).all()
+
+
+@pytest.mark.parametrize("cells,ranges,parts", [(512, 64, 4), (2, 2, 9)])
+def test_pools_equal_plain(spark, monkeypatch, cells, ranges, parts):
+    monkeypatch.setattr(st, "CELLS", cells)
+    monkeypatch.setattr(st, "RANGES", ranges)
+    r = np.random.default_rng(8)
+    rows = [(f, float(r.integers(12)) / 4, int(r.random() < 0.4)) for f in (0, 1, 3, 4) for _ in range(40)] + [(-1, 1.0, 1), (-1, 0.5, 1), (3, None, 1), (1, 2.0, None)]
+    df = spark.createDataFrame(rows, "fold int, score double, label int").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {x.fold: x.auc for x in st.pool_auc(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {}
+    for f in (0, 1, 3, 4):
+        pos = [s for g, s, y in rows if g < f and y == 1 and s is not None]
+        neg = [s for g, s, y in rows if g < f and y == 0 and s is not None]
+        want[f] = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)) if pos and neg else None
+    assert got.pop(0) is None and want.pop(0) is None and got == pytest.approx(want, rel=1e-12)
+    assert st.pool_auc(df.limit(0)).collect() == []

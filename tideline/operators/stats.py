@@ -187,58 +187,106 @@ def bootstrap_auc(rows: DataFrame, keys, replicates: int, seed: int = 42) -> Dat
     at a time, so what moves is three vectors a range whatever the number of scores. A cell's draws depend on key, score and seed
     alone, so neither ranges nor retries change them. Null scores don't count."""
     keys = list(keys)
-    cells = stage(rows.filter("label IS NOT NULL AND score IS NOT NULL").groupBy(*keys, F.col("score").cast("double").alias("score")).agg(
+    cells = score_cells(rows, keys)
+    parts = over_ranges(cells, keys, lambda key, part: _cells_won(key, part, replicates, seed), _joined)
+    won = F.filter(F.transform(F.arrays_zip("p", "q", "u"), lambda r: F.when((r["p"] > 0) & (r["q"] > 0), r["u"] / (r["p"] * r["q"]))), lambda v: v.isNotNull())
+    auc = parts.select(*keys, F.array_sort(won).alias("_auc")).filter(F.size("_auc") > 0)
+    n = F.size("_auc")
+
+    def at_share(share):
+        where = (n - 1) * share
+        low = F.element_at("_auc", (F.floor(where) + 1).cast("int"))
+        high = F.element_at("_auc", (F.ceil(where) + 1).cast("int"))
+        return low + (high - low) * (where - F.floor(where))
+
+    mean = F.aggregate("_auc", F.lit(0.0), lambda a, x: a + x) / n
+    return auc.select(*keys, n.cast("long").alias("n_replicates"), mean.alias("mean_auc"), at_share(0.025).alias("lo"), at_share(0.975).alias("hi"))
+
+
+CELLS = 512  # cells read at a time: as many rows of `replicates` numbers
+RANGES = 64  # ranges joined by one task
+
+
+def score_cells(rows: DataFrame, keys) -> DataFrame:
+    """Positives p and negatives q of every distinct score, written."""
+    return stage(rows.filter("label IS NOT NULL AND score IS NOT NULL").groupBy(*keys, F.col("score").cast("double").alias("score")).agg(
         F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")))
+
+
+def over_ranges(cells: DataFrame, keys, won, joined, order=("score",)) -> DataFrame:
+    """One row per key with vectors p, q, u: won(key, cells in order) gives them for some cells, joined(low, high) for two neighbours.
+
+    Cells are ordered once, by ranges; a task walks its range and gives one row per key. Neighbouring ranges are then joined, RANGES
+    at a time, until one is left."""
     schema = T.StructType([*[cells.schema[k] for k in keys], T.StructField("at", T.LongType()), *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in "pqu"]])
     names = [f.name for f in schema]
+    row = lambda key, at, state: pd.DataFrame([[*key, at, *[np.asarray(v, float).tolist() for v in state]]], columns=names)
 
     def ranges(batches):
-        """Sums per key of the task's cells, which come in order."""
         at, held, state = TaskContext.get().partitionId(), None, None
         for pdf in batches:
-            for key, part in pdf.groupby(keys, sort=False, dropna=False):
+            for key, part in pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]:
                 if held is not None and not _same(key, held):
-                    yield pd.DataFrame([[*held, at, *map(list, state)]], columns=names)
+                    yield row(held, at, state)
                     state = None
                 held = key
                 for i in range(0, len(part), CELLS):
-                    new = _cells_won(key, part.iloc[i:i + CELLS], replicates, seed)
-                    state = new if state is None else _joined(state, new)
-        if held is not None:
-            yield pd.DataFrame([[*held, at, *map(list, state)]], columns=names)
+                    new = won(key, part.iloc[i:i + CELLS])
+                    state = new if state is None else joined(state, new)
+        if state is not None:
+            yield row(held, at, state)
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable")
-        state = None
-        for p, q, u in zip(pdf["p"], pdf["q"], pdf["u"]):
-            new = tuple(np.asarray(v, float) for v in (p, q, u))
-            state = new if state is None else _joined(state, new)
-        out = pdf[[*keys, "at"]].iloc[:1].reset_index(drop=True)
-        for n, v in zip("pqu", state):
-            out[n] = [v.tolist()]
-        return out
-
-    parts = stage(cells.repartitionByRange(*keys, "score").sortWithinPartitions(*keys, "score").mapInPandas(ranges, schema))
+        pdf, state = pdf.sort_values("at", kind="stable"), None
+        for vectors in zip(pdf["p"], pdf["q"], pdf["u"]):
+            new = tuple(np.asarray(v, float) for v in vectors)
+            state = new if state is None else joined(state, new)
+        return row([pdf[k].iloc[0] for k in keys], int(pdf["at"].iloc[0]), state)
+
+    parts = stage(cells.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).mapInPandas(ranges, schema))
     most = parts.agg(F.max("at")).first()[0] or 0
     while most:
         parts = stage(parts.groupBy(*keys, F.floor(F.col("at") / RANGES)).applyInPandas(together, schema).withColumn("at", F.floor(F.col("at") / RANGES).cast("long")))
         most //= RANGES
-    won = F.filter(F.transform(F.arrays_zip("p", "q", "u"), lambda r: F.when((r["p"] > 0) & (r["q"] > 0), r["u"] / (r["p"] * r["q"]))), lambda v: v.isNotNull())
-    auc = parts.select(*keys, F.array_sort(won).alias("_auc")).filter(F.size("_auc") > 0)
-    n = F.size("_auc")
-
-    def at_share(share):
-        where = (n - 1) * share
-        low = F.element_at("_auc", (F.floor(where) + 1).cast("int"))
-        high = F.element_at("_auc", (F.ceil(where) + 1).cast("int"))
-        return low + (high - low) * (where - F.floor(where))
-
-    mean = F.aggregate("_auc", F.lit(0.0), lambda a, x: a + x) / n
-    return auc.select(*keys, n.cast("long").alias("n_replicates"), mean.alias("mean_auc"), at_share(0.025).alias("lo"), at_share(0.975).alias("hi"))
-
-
-CELLS = 512  # cells drawn at a time: as many rows of `replicates` numbers
-RANGES = 64  # ranges joined by one task
+    return parts
+
+
+def pool_auc(rows: DataFrame) -> DataFrame:
+    """fold, auc: of every fold the AUC of all rows of earlier folds, from rows with fold, label and score. Null where a class is missing.
+
+    A pool's won pairs are those of its positives' and negatives' folds, so one matrix of won pairs by (fold of the positive, fold of the negative)
+    serves all pools. It is summed in score order: a cell's positives win over the negatives seen so far, by fold. Rows are read and ordered
+    once, no row is copied into later pools; a range gives folds x folds numbers."""
+    spark = rows.sparkSession
+    cells = score_cells(rows.select(F.col("fold").cast("long").alias("fold"), "label", "score"), ["fold"])
+    folds = np.array([r[0] for r in cells.select("fold").distinct().orderBy("fold").collect()], np.int64)
+    n = len(folds)
+    if not n:
+        return spark.createDataFrame([], "fold long, auc double")
+
+    def won(_, part):
+        f, p, q = np.searchsorted(folds, part["fold"].to_numpy()), part["p"].to_numpy(float), part["q"].to_numpy(float)
+        own, cell = np.eye(n)[f], np.unique(part["score"].to_numpy(), return_inverse=True)[1]
+        at = np.zeros((cell.max() + 1, 2, n))
+        np.add.at(at, (cell, 0), own * p[:, None])
+        np.add.at(at, (cell, 1), own * q[:, None])
+        before = np.cumsum(at[:, 1], axis=0) - at[:, 1]
+        return at[:, 0].sum(axis=0), at[:, 1].sum(axis=0), (at[:, 0].T @ (before + at[:, 1] / 2)).ravel()
+
+    def joined(a, b):
+        return a[0] + b[0], a[1] + b[1], a[2] + b[2] + np.outer(b[0], a[1]).ravel()
+
+    def pools(batches):
+        for pdf in batches:
+            for p, q, u in zip(pdf["p"], pdf["q"], pdf["u"]):
+                p, q, u = np.cumsum(p), np.cumsum(q), np.asarray(u, float).reshape(n, n)
+                pairs = [u[:k, :k].sum() for k in range(1, n)]
+                yield pd.DataFrame({"fold": folds[1:], "auc": [w / (p[k] * q[k]) if p[k] * q[k] > 0 else None for k, w in enumerate(pairs)]})
+
+    # one cell may lie in two blocks of CELLS rows: cells of one score and several folds are rows of one group first
+    grouped = cells.groupBy("score").agg(F.collect_list(F.struct("fold", "p", "q")).alias("c"))  # an entry per fold
+    flat = lambda key, part: won(key, part.explode("c").assign(**{x: lambda d, x=x: d["c"].map(lambda c: c[x]) for x in ("fold", "p", "q")}))
+    return over_ranges(grouped, [], flat, joined).mapInPandas(pools, "fold long, auc double")
 
 
 def _same(a, b) -> bool:

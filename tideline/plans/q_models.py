@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.blocks import chunk_of, stage
 from ..functions.columns import full, since
-from ..operators import features as ft, folds as fo, labels as lb, metrics as mt, models as ml, structure as st, walk as wk
+from ..operators import features as ft, folds as fo, labels as lb, metrics as mt, models as ml, stats, structure as st, walk as wk
 from . import inputs as inp
 from .q_labels import LABEL, labelled
 from .q_stats import SCORED, scored
@@ -208,11 +208,9 @@ SELECT m AS model, avg(t) AS mean_train, avg(o) AS mean_oos, avg(t) - avg(o) AS
 def train_oos_gap(spark, folder):
     """Score quality on each fold's earlier rows against the fold itself, for two scores."""
     s = stage(scored(spark, folder).filter("label IS NOT NULL"))
-    last = s.agg(F.max("fold")).first()[0]
-    pools = s.withColumn("at", F.explode(F.sequence(F.col("fold") + 1, F.lit(last) + 1))).filter(F.col("at") <= last)
     out = None
     for name, c in (("a", "score"), ("b", "score_b")):
-        tr = mt.roc_auc(pools.select(F.col("at").alias("fold"), "label", F.col(c).alias("score")), ["fold"]).select("fold", F.col("auc").alias("train_auc"))
+        tr = stats.pool_auc(s.select("fold", "label", F.col(c).alias("score"))).withColumnRenamed("auc", "train_auc")
         oo = mt.roc_auc(s.select("fold", "label", F.col(c).alias("score")), ["fold"]).select("fold", "auc")
         g = tr.join(oo, "fold").withColumn("model", F.lit(name))
         out = g if out is None else out.unionByName(g)

@@ -357,9 +357,7 @@ def verdict_rule(spark, folder):
     """Model b against a: rejected when the gain is negligible, both losses are worse, or its AUC on the rows before the fold is
     more than 0.10 above the fold's."""
     s = stage(scored(spark, folder).filter("label IS NOT NULL"))
-    last = s.agg(F.max("fold")).first()[0]
-    pools = s.withColumn("at", F.explode(F.sequence(F.col("fold") + 1, F.lit(last) + 1))).filter(F.col("at") <= last)
-    train = mt.roc_auc(pools.select(F.col("at").alias("fold"), "label", F.col("score_b").alias("score")), ["fold"]).select("fold", F.col("auc").alias("_train"))
+    train = st.pool_auc(s.select("fold", "label", F.col("score_b").alias("score"))).withColumnRenamed("auc", "_train")
     sb = s.withColumn("score", F.col("score_b"))
     side = lambda d, t: mt.roc_auc(d, ["fold"]).join(mt.losses(d, ["fold"]), "fold").select(
         "fold", *[F.col(c).alias(f"{c}_{t}") for c in ("auc", "log_loss", "brier")])
