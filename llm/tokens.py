@@ -47,10 +47,10 @@ class WordTokenizer:
     def _each(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _words(self, words: list[str], library) -> tuple[dict[str, bytes], list[str]]:
+    def _words(self, words: list[str], library) -> list[str]:
         """Many words are encoded as one text and told apart by the ends of words; what doesn't come out as
         one end a word is given back."""
-        got, left = {}, []
+        known, left = self.known, []
         parts = [words[at:at + 1000] for at in range(0, len(words), 1000)]
         for part, encoding in zip(parts, library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(encoding.ids, "<u4")
@@ -60,53 +60,69 @@ class WordTokenizer:
                 continue
             raw, last = ids.tobytes(), 0
             for word, stop in zip(part, (stops * 4).tolist()):
-                got[word] = raw[last:stop]
+                known[word] = raw[last:stop]
                 last = stop
-        return got, left
+        return left
 
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
+    def _learn(self, units: list[str]) -> None:
         """Runs of letters and runs of ASCII marks are words of their own, unless an apostrophe or a special string
         is about; each is looked up alone, in lower case if it is ASCII. Other units go to the library whole."""
-        known, plain, words, other, made = self.known, set(), set(), set(), []
-        for u in units:
+        known, plain, words, other, made, rest = self.known, set(), set(), set(), [], []
+        for u in units:  # nearly all are a run of letters with or without marks behind
+            if len(u) > UNIT_LONGEST:
+                other.add(u)
+                continue
+            w = u.rstrip(_MARKS)
+            if not w.isalpha():
+                rest.append(u)
+                continue
+            marks = u[len(w):]
+            if "<|" in marks:
+                other.add(u)
+                continue
+            if w.isascii():
+                w = w.lower()
+                if w not in known:
+                    plain.add(w)
+            elif w not in known:
+                words.add(w)
+            if w != u:
+                if marks and marks not in known:
+                    other.add(marks)
+                made.append((u, w, marks))
+        joined = []
+        for u in rest:
             parts = _PARTS(u)
             if "<|" in u or "".join(parts) != u or not all(p.isalpha() or p.isascii() for p in parts):
                 other.add(u)
                 continue
             parts = [p.lower() if p.isascii() else p for p in parts]
-            made.append((u, parts))
+            joined.append((u, parts))
             for p in parts:
                 if p not in known:
                     (other if not p.isalpha() else plain if p.isascii() else words).add(p)
-        got, left = self._words(list(plain), self.plain)
-        more, left_too = self._words(list(words), self.library)
-        got.update(more)
-        other = [*other, *left, *left_too]
+        other = [*other, *self._words(list(plain), self.plain), *self._words(list(words), self.library)]
         for at in range(0, len(other), 1000):
             part = other[at:at + 1000]
-            got.update(zip(part, self._each(part)))
-        for u, parts in made:
-            got[u] = b"".join([got[p] if p in got else known[p] for p in parts])
-        return got
+            known.update(zip(part, self._each(part)))
+        for u, w, marks in made:
+            known[u] = known[w] + known[marks]
+        for u, parts in joined:
+            known[u] = b"".join([known[p] for p in parts])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > UNITS_KEPT:
             self.forget()
-        known, out = self.known, []
+        known = self.known
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set()
-        for units in split:
-            new.update(u for u in units if u not in known)
+        new = [u for u in set().union(*split) if u not in known]
         if new:
-            learnt = self._learn(list(new))
-            kept = {u: v for u, v in learnt.items() if len(u) <= UNIT_LONGEST}
-            known.update(kept)
-            if len(kept) < len(learnt):
-                look = {**{u: learnt[u] for u in learnt.keys() - kept.keys()}}
-                return [b"".join([known[u] if u in known else look[u] for u in units]) for units in split]
-        for units in split:
-            out.append(b"".join([known[u] for u in units]))
+            self._learn(new)
+        out = [b"".join(map(known.__getitem__, units)) for units in split]
+        for u in new:
+            if len(u) > UNIT_LONGEST:
+                del known[u]
         return out
 
 
@@ -242,6 +258,7 @@ class PieceCounter:
 
 
 _UNITS = re.compile("▁+[^▁\n]*|[^▁\n]+|\n").findall
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # the marks of _PARTS
 _PARTS = re.compile(r"[^\W\d_]+|[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+").findall
 
 
