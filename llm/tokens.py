@@ -6,6 +6,7 @@ it has met (a bounded memory, emptied when full and at the task's end). Texts re
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import zlib
@@ -21,6 +22,14 @@ UNIT_LONGEST = 200  # longer units are not remembered
 _loaded: dict[tuple, object] = {}
 
 
+def release() -> None:
+    """Gives freed memory back to the system, as far as its allocators offer that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class WordTokenizer:
     """Ids of a `tokenizers` file whose pre-tokenizer never crosses white space. Units are what lies between
     spaces and line feeds; special strings hold neither, so they stay whole inside a unit."""
@@ -43,6 +52,7 @@ class WordTokenizer:
     def forget(self) -> None:
         """A worker lives on for other stages, which need its memory."""
         self.known = {"": b""}
+        release()
 
     def _each(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
