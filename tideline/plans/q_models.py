@@ -14,6 +14,7 @@ from .q_structure import WIDTHS, swings_sql
 from .registry import query
 
 BASE = ("confidence", "stay_prob", "log1p_duration", "margin")
+THRESHOLD = ("confidence", "px_z", "vol_z", "ofi_z")  # for choices made on rows with threshold states
 MODEL_COLS, TREND_COLS, VOL_COLS = (*ft.BASE_FEATURES, "px_z"), ("ret_1", "ret_2", "px_z"), ("vol_4", "vol_6")
 STATES, SEEDS = 4, (1, 2, 3, 4, 5)
 RAW = ("ret_1", "ret_2", "ret_4", "vol_4", "vol_6", "vol_change", "skew_6", "asym_6")
@@ -237,7 +238,7 @@ def _split(d):
 def k_selection(spark, folder):
     """Volatility multiple by inner AUC: the larger AUC, the smaller k on ties."""
     v = _split(inp.valid_rows(spark, folder, lambda d, w: d.withColumn("past_vol", full("ret_1", w, 5, F.stddev_samp)), before=5).filter(F.col("fold") <= K_FOLDS))
-    got = [(k, _inner_auc(lb.adaptive(v, "fwd_2", "past_vol", k), lr, BASE)) for k in (0.25, 0.5, 0.75, 1.0)]
+    got = [(k, _inner_auc(lb.adaptive(v, "fwd_2", "past_vol", k), lr, THRESHOLD)) for k in (0.25, 0.5, 0.75, 1.0)]
     best = max(((a, -k) for k, a in got if a is not None), default=None)
     return spark.createDataFrame([(k, a, a is not None and (a, -k) == best) for k, a in got], "k double, auc double, chosen boolean")
 
@@ -249,7 +250,7 @@ def threshold_validation(spark, folder):
     out = []
     for c in (0.15, 0.3, 0.5, 1.0):
         d = v.filter(F.abs("px_z") > c).withColumn("label", (F.signum("fwd_2") == F.signum("px_z")).cast("long"))
-        a = _inner_auc(d, lr, BASE)
+        a = _inner_auc(d, lr, THRESHOLD)
         out.append((c, d.filter("label IS NOT NULL").count(), a, a is not None and a > 0.51))
     return spark.createDataFrame(out, "cut double, n_rows long, auc double, keep boolean")
 
