@@ -99,6 +99,30 @@ def running(df, keys, order=("pos",), chunk: Column | None = None, reverse: bool
     return out.drop("_chunk", *src.values(), *[f"_c_{n}" for n in specs])
 
 
+def running_since(df, keys, reset, order: str = "pos", chunk: Column | None = None, **sums) -> DataFrame:
+    """Running sums (name=column) that start anew at every row where ``reset`` is true; that row's value counts. Nulls add nothing.
+
+    No sum reaches over a reset: a chunk is summarised by its sum behind its last reset, summaries are added up from the last
+    chunk with a reset on, and what is carried into a chunk reaches to its first reset. So a segment's sums carry no rounding of
+    what went before it."""
+    keys = list(keys)
+    chunk = chunk_of(order) if chunk is None else chunk
+    rows = df.withColumn("_chunk", chunk).withColumn("_cut", F.coalesce(col(reset), F.lit(False)).cast("long"))
+    rows = rows.withColumns({f"_v_{n}": F.coalesce(col(c), F.lit(0.0)) for n, c in sums.items()})
+    rows = rows.withColumn("_part", F.sum("_cut").over(Window.partitionBy(*keys, "_chunk").orderBy(order)))
+    parts = rows.groupBy(*keys, "_chunk", "_part").agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in sums])
+    ends = parts.groupBy(*keys, "_chunk").agg(F.max("_part").alias("_cuts"), *[F.max_by(f"_v_{n}", "_part").alias(f"_v_{n}") for n in sums])
+    by = Window.partitionBy(*keys).orderBy("_chunk")
+    ends = ends.withColumn("_run", F.sum((F.col("_cuts") > 0).cast("long")).over(by))
+    since = Window.partitionBy(*keys, "_run").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumns({f"_o_{n}": F.sum(f"_v_{n}").over(since) for n in sums})
+    carry = ends.select(*keys, "_chunk", *[F.lag(f"_o_{n}").over(by).alias(f"_c_{n}") for n in sums])
+    w = Window.partitionBy(*keys, "_chunk", "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    carried = {n: F.when(F.col("_part") == 0, F.coalesce(F.col(f"_c_{n}"), F.lit(0.0))).otherwise(0.0) for n in sums}
+    out = rows.join(carry, [*keys, "_chunk"], "left").withColumns({n: F.sum(f"_v_{n}").over(w) + carried[n] for n in sums})
+    return out.drop("_chunk", "_cut", "_part", *[f"_v_{n}" for n in sums], *[f"_c_{n}" for n in sums])
+
+
 def with_position(df, keys, order, chunk: Column, name: str = "row_pos") -> DataFrame:
     """Dense 0-based row number per key, in order."""
     return running(df, keys, order, chunk, **{name: ("sum", F.lit(1).cast("long"), "before")})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.blocks import lookup
 from ..functions.columns import col, safe_div
+from ..functions.growing import walk_percentiles
 from ..functions.ordered import percentiles
 
 
@@ -46,36 +47,16 @@ def frozen_epsilon(rows: DataFrame, forward: str, folds: list[int], min_pool: in
                    pool: str = "usable", min_own: int = 10):
     """Fold by fold: epsilon from earlier rows, labels frozen, then the fold joins the pool.
 
-    The order of folds is the only sequential part. What passes from one fold to the next is one number
-    per fold, held on the driver; the pool is always the base table under a predicate built from those
-    numbers, so neither lineage nor data grows. pool="usable" takes rows that passed their own fold's
-    epsilon; pool="eligible" takes all trending rows with a forward value. Folds with too small a
-    pool use their own rows and are flagged bootstrap. Returns (labelled rows, list of fold facts)."""
-    mag = F.abs(F.col(forward))
-    eligible = F.col("is_trending") & F.col(forward).isNotNull()
-    facts: list[dict] = []
-    for f in folds:
-        passed = F.lit(False)
-        for e in facts:
-            if e["epsilon"] is not None:
-                ok = mag > e["epsilon"] if pool == "usable" else F.lit(True)
-                passed = passed | ((F.col("fold") == e["fold"]) & ok)
-        source = rows.filter(eligible)
-        size = source.filter(passed).count() if facts else 0
-        boot = size < min_pool
-        own = source.filter(F.col("fold") == f)
-        eps = None
-        if not boot or own.count() > min_own:
-            got = deadband(own if boot else source.filter(passed), forward, p).collect()
-            eps = got[0]["epsilon"] if got else None
-        facts.append({"fold": f, "epsilon": eps, "pool_rows": size, "bootstrap": boot})
-    eps_of = F.lit(None).cast("double")
-    boot_of = F.lit(None).cast("boolean")
-    for e in facts:
-        here = F.col("fold") == e["fold"]
-        eps_of = F.when(here, F.lit(e["epsilon"]).cast("double")).otherwise(eps_of)
-        boot_of = F.when(here, F.lit(e["bootstrap"])).otherwise(boot_of)
-    d = rows.filter(F.col("fold").isin(folds)).withColumns({"epsilon": eps_of, "bootstrap": boot_of})
+    pool="usable" takes rows that passed their own fold's epsilon; pool="eligible" takes all trending rows with a forward value.
+    Folds with too small a pool use their own rows and are flagged bootstrap. One scan counts the distinct moves of
+    all folds, another writes the labels; between them the walk reads only counts (see functions/growing), so scans and jobs do not
+    follow the number of folds. Returns (labelled rows, list of fold facts)."""
+    eligible = rows.filter(F.col("is_trending") & F.col(forward).isNotNull())
+    facts = walk_percentiles(eligible.select(F.col("fold").alias("group"), F.abs(F.col(forward)).alias("x")), list(folds), p, min_pool,
+                             min_own, frozen=pool == "usable")
+    kept = [c for c in rows.columns if c not in ("epsilon", "bootstrap")]
+    told = rows.sparkSession.createDataFrame([(e["fold"], e["epsilon"], e["bootstrap"]) for e in facts], "fold long, epsilon double, bootstrap boolean")
+    d = rows.select(*kept).join(F.broadcast(told), "fold").select(*kept, "epsilon", "bootstrap")  # one row per fold
     return persistence(d, forward, F.col("epsilon")), facts
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.blocks import over_chunks, running, stage
+from ..functions.blocks import over_chunks, running_since, stage
 from ..functions.columns import full, micros, safe_div
 from ..operators import features as ft, gaps, resample as rs, scaling as sc
 from . import inputs as inp
@@ -210,14 +210,10 @@ def causal_volatility(spark, folder):
 @query("relative_log_price", "series_id ts:t rel_price:d", """
 SELECT series_id, ts, sum(CASE WHEN new_segment THEN 0 ELSE ret_1 END) OVER (PARTITION BY series_id, seg_no ORDER BY pos) AS rel_price FROM valid""")
 def relative_log_price(spark, folder):
-    """Running sum of returns inside a segment, its first return set to 0: difference of one series-wide running sum."""
+    """Running sum of returns inside a segment, its first return set to 0."""
     d = stage(inp.valid_rows(spark, folder, lambda d, w: d.withColumn("new_segment", gaps.new_segment(w)), before=1).select(
         "series_id", "pos", "ts", "ret_1", "new_segment"))
-    step = F.when(F.col("new_segment"), 0.0).otherwise(F.col("ret_1"))
-    d = running(d, inp.KEYS, total=("sum", step))
-    d = running(stage(d.select("series_id", "pos", "ts", "new_segment", "total")), inp.KEYS,
-                at_start=("last", F.when(F.col("new_segment"), F.col("total"))))
-    return d.withColumn("rel_price", F.col("total") - F.col("at_start"))
+    return running_since(d, inp.KEYS, "new_segment", rel_price=F.when(F.col("new_segment"), 0.0).otherwise(F.col("ret_1")))
 
 
 def trend(name, columns):
