@@ -4,6 +4,10 @@ Target and background model have the same form and share one vocabulary, the V d
 p(w | v) = (c(v, w) + m p(w)) / (c(v) + m) with p(w) = (c(w) + 1) / (N + V). All counts are exact: words, contexts and pairs are
 counted by 62 bits of hash (two different ones count as one with odds of 2^-62), in tables that grow with the documents.
 
+`difference` scores the documents that the models are made of, each by all others: its own words, contexts and pairs are taken off the
+counts of every model that holds it, so that a loss tells how like the others it is and not whether it was among them. `score` is for
+documents that were not counted.
+
 No table is gathered in one place. Documents are read in blocks of BLOCK words; a block sends each of its distinct keys once, with
 its own counts, to the key's bucket (a range of the hashes), so a frequent word weighs no more than a rare one. The
 bucket adds the counts up and sends back the totals, and the block's texts are scored where the answers meet.
@@ -23,6 +27,7 @@ from .common import stage
 from .shingles import mix, pieces, text_buffer, word_hashes
 
 BLOCK = 3 << 19  # words
+SLICE = 1 << 17  # words scored at a time (a longer text is scored alone)
 BUCKET_BYTES = 16 << 20  # of text, for each bucket
 BACKOFF = 20.0
 _START = np.uint64(0)  # before the first word
@@ -87,7 +92,7 @@ def _blocks(docs: DataFrame, bits: int, flag: str | None, texts: bool) -> DataFr
         background, target = held.counts(keys, of, np.array(chosen, bool)) if flag else (none, none)
         edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
         if texts:
-            yield _rows([(block, -1, ids, _packed(words), _packed(at.astype(np.int32)), _packed(held.sizes))])
+            yield _rows([(block, -1, ids, _packed(words), _packed(at.astype(np.int32)), _packed(np.array([held.sizes, chosen], np.int64)))])
         for k, (a, b) in enumerate(zip(edges, edges[1:])):
             if a < b:
                 yield _rows([(block, k, None, _packed(keys[a:b]), _packed(background[:, a:b]), _packed(target[:, a:b]))])
@@ -168,17 +173,33 @@ def _sums(added: DataFrame) -> np.ndarray:
     return np.array([x or 0 for x in got], np.int64).reshape(3, 3)
 
 
-def _scored(added: DataFrame, bits: int, sums: np.ndarray) -> DataFrame:
+def _own(text: np.ndarray, ids: np.ndarray, among: int) -> np.ndarray:
+    """Of each word, how often its text has the same id (below among)."""
+    _, which, n = np.unique(text * among + ids, return_inverse=True, return_counts=True)
+    return n[which]
+
+
+def _scored(added: DataFrame, bits: int, sums: np.ndarray, apart: bool) -> DataFrame:
+    """With apart, every text is scored by the counts of all others."""
     distinct, totals = int(sums[0, 1]), [int(sums[1, 1]), int(sums[2, 1])]
 
-    def score(ids, held, answers):
+    def score(ids, held, chosen, answers):
         keys, word, context, pair, which = held.keys()
-        text, losses = np.repeat(np.arange(len(ids)), held.sizes), []
-        for i, total in enumerate(totals):
-            n, contexts = np.concatenate([_unpacked(x[i], np.int64).reshape(2, -1) for x in answers] or [np.zeros((2, 0), np.int64)], axis=1)
-            alone = (n[word] + 1.0) / max(total + distinct, 1)
-            loss = -np.log((n[pair] + BACKOFF * alone) / (contexts[context] + BACKOFF))
-            losses.append(np.bincount(text, loss[which], len(ids)))
+        counts = [np.concatenate([_unpacked(x[i], np.int64).reshape(2, -1) for x in answers] or [np.zeros((2, 0), np.int64)], axis=1) for i in (0, 1)]
+        member = np.array([np.ones(len(ids), np.int64), chosen]) * apart  # whose own counts are in the background, in the target
+        starts = np.cumsum(held.sizes) - held.sizes
+        edges = [0, *(np.flatnonzero(np.diff(starts // SLICE)) + 1).tolist(), len(ids)]
+        losses = np.zeros((2, len(ids)))
+        for first, last in zip(edges, edges[1:]):
+            sizes, at = held.sizes[first:last], which[starts[first]:starts[last - 1] + held.sizes[last - 1]]
+            text, words, contexts = np.repeat(np.arange(last - first), sizes), word[at], context[at]
+            own = [_own(text, x, len(keys)) for x in (at, words, contexts)] if apart else [0, 0, 0]
+            for i, ((n, before), total) in enumerate(zip(counts, totals)):
+                mine = member[i, first:last]
+                of, rest = mine[text], np.maximum(total - mine * sizes + distinct, 1)[text]
+                alone = (n[words] - of * own[1] + 1.0) / rest
+                loss = -np.log((n[pair[at]] - of * own[0] + BACKOFF * alone) / (before[contexts] - of * own[2] + BACKOFF))
+                losses[i, first:last] = np.bincount(text, loss, last - first)
         some = held.sizes > 0
         background, target = (np.divide(x, held.sizes, where=some, out=np.zeros(len(ids))) for x in losses)
         columns = [pa.array(x, pa.float64(), mask=~some) for x in (target, background, target - background)]
@@ -186,18 +207,19 @@ def _scored(added: DataFrame, bits: int, sums: np.ndarray) -> DataFrame:
                                           ["doc_id", "n_words", "target_loss", "background_loss", "difference"])
 
     def run(batches):
-        ids, held, answers = None, None, []
+        ids, held, chosen, answers = None, None, None, []
         for batch in batches:
             for _, bucket, mine, keys, background, target in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket >= 0:
                     answers.append((background, target))
                     continue
                 if held is not None:
-                    yield score(ids, held, answers)
+                    yield score(ids, held, chosen, answers)
                 ids, answers = mine, []
-                held = _Block(_unpacked(keys, np.uint64), _unpacked(background, np.int32), _unpacked(target, np.int64))
+                sizes, chosen = _unpacked(target, np.int64).reshape(2, -1)
+                held = _Block(_unpacked(keys, np.uint64), _unpacked(background, np.int32), sizes)
         if held is not None:
-            yield score(ids, held, answers)
+            yield score(ids, held, chosen, answers)
 
     met = added.filter("block IS NOT NULL").repartition(1 << bits, "block").sortWithinPartitions("block", "bucket")
     return met.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, difference double")
@@ -234,18 +256,22 @@ def fit(docs: DataFrame, target: str) -> tuple[Model, Model]:
 
 def score(docs: DataFrame, aim: Model, background: Model) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (means per word) and difference (target less background: the lower, the more
-    like the target) by the two models of one fit. Texts without words get null losses. Repeated rows score alike; other columns
-    are ignored."""
+    like the target) by the two models of one fit, for documents that the fit has not seen (see `difference` for those it has).
+    Texts without words get null losses. Repeated rows score alike; other columns are ignored."""
     if aim.table is not background.table:
         raise ValueError("the two models are of different fits")
     bits = background.bits
     asked = _blocks(docs, bits, None, True)
     added = _added(asked.unionByName(background.table), bits, False)
-    return _scored(added, bits, _sums(added))
+    return _scored(added, bits, _sums(added), apart=False)
 
 
 def difference(docs: DataFrame, target: str) -> DataFrame:
-    """score(docs, *fit(docs, target)) in one pass: what a block asks for is also what it adds to the counts."""
+    """The columns of `score` for the documents that the models are made of, each row scored by the counts of all other rows; the vocabulary
+    stays that of all. One pass: what a block asks for is also what it adds to the counts.
+
+    Null flags count as false. Texts without words get null losses. A row that repeats is seen in its other copies; other columns are
+    ignored. A target row is taken off both models, another one off the background."""
     bits = _bits(docs)
     added = _added(_blocks(docs, bits, target, True), bits, False)
-    return _scored(added, bits, _sums(added))
+    return _scored(added, bits, _sums(added), apart=True)

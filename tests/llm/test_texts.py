@@ -190,6 +190,7 @@ def test_lm_counts(odd, nothing):
 @pytest.mark.parametrize("block", [lm.BLOCK, 500])
 def test_lm_scores_equal_exact_counts(shipped, odd, monkeypatch, block):
     monkeypatch.setattr(lm, "BLOCK", block)
+    monkeypatch.setattr(lm, "SLICE", block // 5)
     pick = random.Random(4)
     made = [(100 + i, " ".join(f"w{int(pick.paretovariate(0.1)) % 10**6}" for _ in range(pick.randrange(300)))) for i in range(400)]
     docs = odd.select("doc_id", "text").union(shipped.createDataFrame(made, "doc_id long, text string")).repartition(3)
@@ -206,19 +207,38 @@ def test_lm_scores_equal_exact_counts(shipped, odd, monkeypatch, block):
     v = len(models[1][0])
     assert v > 15_000
 
-    def loss(model, w):
+    def loss(model, w, less):
         words, contexts, pairs = model
-        n = sum(words.values()) + v
-        return sum(-np.log((pairs[a, b] + 20 * (words[b] + 1) / n) / (contexts[a] + 20)) for a, b in zip([None, *w], w)) / len(w)
-
-    want = sorted(((i, len(w), *([loss(m, w) for m in models] if w else (None, None))) for i, w in rows), key=str)
-    for scored in (lm.difference(docs, "good"), lm.score(docs, *lm.fit(docs, "good"))):
+        own_words, own_contexts, own_pairs = (Counter(x) if less else Counter() for x in (w, [None, *w[:-1]], zip([None, *w], w)))
+        n = sum(words.values()) - sum(own_words.values()) + v
+        return sum(-np.log((pairs[a, b] - own_pairs[a, b] + 20 * (words[b] - own_words[b] + 1) / n) / (contexts[a] - own_contexts[a] + 20))
+                   for a, b in zip([None, *w], w)) / len(w)
+
+    for scored, apart in ((lm.difference(docs, "good"), True), (lm.score(docs, *lm.fit(docs, "good")), False)):
+        held = [(i, w, (apart and i is not None and i % 3 == 0, apart)) for i, w in rows]
+        want = sorted(((i, len(w), *([loss(m, w, x) for m, x in zip(models, less)] if w else (None, None))) for i, w, less in held), key=str)
         got = sorted(((r.doc_id, r.n_words, r.target_loss, r.background_loss) for r in scored.collect()), key=str)
         assert len(got) == len(want)
         for a, b in zip(got, want):
             assert a[:2] == b[:2] and (a[2:] == b[2:] or np.allclose(a[2:], b[2:], rtol=1e-9))
 
 
+def test_lm_tells_kind_not_membership(shipped):
+    """Unlabelled documents of the target's kind score like target documents, and a text that occurs twice is known to the background."""
+    pick = random.Random(9)
+
+    def text(words):
+        return " ".join([pick.choice(words) for _ in range(60)] + [f"own{pick.randrange(10**9)}" for _ in range(20)])
+
+    kinds = [["plain", "prose", "of", "the", "town", "and", "rest"], ["buy", "now", "the", "cheap", "and", "best"]]
+    made = [(i, text(kinds[i % 2]), i % 4 == 0) for i in range(200)]
+    docs = shipped.createDataFrame(made + [(1000, made[2][1], False)], "doc_id long, text string, good boolean")
+    got = {r.doc_id: r for r in lm.difference(docs, "good").collect()}
+    labelled, same, other = (np.mean([got[i].difference for i in range(k, 200, 4)]) for k in (0, 2, 1))
+    assert abs(labelled - same) < 0.1 * (other - same)
+    assert got[2].background_loss == got[1000].background_loss < min(got[i].background_loss for i in range(200) if i != 2) - 1
+
+
 def test_quality(shipped, odd, nothing):
     pick = random.Random(2)
     good = [" ".join(pick.choice(["plain", "words", "of", "prose", "and", "rest"]) for _ in range(60)) + "." for _ in range(120)]
