@@ -94,31 +94,79 @@ def resolve(base: str, to: str) -> str | None:
     return f"{scheme or at}://{host}{_without_dots(path)}{query or ''}"
 
 
+_MARK = re.compile(r"<(?:!--|([A-Za-z][^\s/>]*+))")
+_OTHER = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?+)*+>""")  # the rest of a tag whose attributes do not matter
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*|(?=>))))?(?!\s*=\s*["'])""")
+_TAG_END = re.compile(r"[\s/]*>")
+_CLOSES = {name: re.compile(rf"(?i)</{name}(?=[\s/>])") for name in ("script", "style", "title", "textarea")}
+_REFRESH = re.compile(r"""(?is)\s*(?:[\d.]+(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?|url\s*=\s*)(?:"([^"]*)|'([^']*)|(.*))""")
+
+
+def tags(html: str):
+    """(name, attributes) of the link, meta and base tags outside comments, other tags' attributes and what is plain text by its tag
+    (scripts, styles). Each attribute is read with its own quoting; the first of a name counts. A tag that the text ends in is none."""
+    at = 0
+    while mark := _MARK.search(html, at):
+        at = mark.end()
+        if mark[1] is None:
+            if (end := html.find("-->", at - 2)) < 0:
+                return
+            at = end + 3
+            continue
+        name, held = mark[1].lower(), {}
+        if name not in ("link", "meta", "base"):
+            if not (end := _OTHER.match(html, at)):
+                return
+            at = end.end()
+            if name in _CLOSES:
+                if not (close := _CLOSES[name].search(html, at)):
+                    return
+                at = close.end()
+            continue
+        while not (end := _TAG_END.match(html, at)):
+            if not (one := _ATTRIBUTE.match(html, at)):
+                return
+            held.setdefault(one[1].lower(), entities.unescape(one[2] or one[3] or one[4] or ""))
+            at = one.end()
+        at = end.end()
+        yield name, held
+
+
+def references(html: str) -> tuple[str, list[str]]:
+    """The first base address of a page (empty without one), and what its canonical links and refresh tags refer to."""
+    base, found = "", []
+    for name, held in tags(html):
+        href = held.get("href", "").strip()
+        if name == "base":
+            base = base or href
+        elif name == "link" and "canonical" in held.get("rel", "").lower().rstrip("/").split():
+            found.append(href)
+        elif name == "meta" and held.get("http-equiv", "").strip().lower() == "refresh":
+            to = _REFRESH.match(held.get("content", ""))
+            found.append((to[1] or to[2] or to[3] or "").strip() if to else "")
+    return base, [to for to in found if to]
+
+
 def declared_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(source, target) addresses from <link rel=canonical href> and <meta http-equiv=refresh content=...url=> tags. Targets have their
     entities decoded and are resolved against the first <base href>, if there is one, and the page's url. An url with dot
     segments is linked to the one without."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), F.lit(0))
-    # text search is far cheaper than the pattern, and most pages declare nothing
-    says = F.coalesce(F.col(html).rlike(r"(?i)canonical|http-equiv"), F.lit(False))
-    pages = pages.filter(F.contains(F.col(url), F.lit("://")))
-    href_of = lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    bases = F.filter(F.transform("tags", lambda t: F.when(t.rlike(r"(?is)^<base\b"), href_of(t))), lambda h: h != "")
-    tag = pages.filter(says).select(F.col(url).alias("source"), tags.alias("tags")).select("source", F.get(bases, F.lit(0)).alias("base"), F.explode("tags").alias("tag"))
-    canonical = F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b")
-    refresh = F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")
-    after = F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    found = tag.select("source", "base", F.when(canonical, href_of(F.col("tag"))).when(refresh, after).alias("to")).filter("to <> ''")
-    nothing = F.lit(None).cast("string")
-    dotted = pages.filter(F.col(url).rlike(r"/\.\.?(?:[/?#]|$)")).select(F.col(url).alias("source"), nothing.alias("base"), nothing.alias("to"))
+    at, text = F.col(f"`{url}`"), F.col(f"`{html}`")
+    # text search is far cheaper than reading tags, and most pages declare nothing
+    says = F.coalesce(text.rlike(r"(?i)canonical|http-equiv"), F.lit(False))
+    pages = pages.filter(F.contains(at, F.lit("://")))
+    found = pages.filter(says).select(at.alias("source"), text.alias("html"))
+    dotted = pages.filter(at.rlike(r"/\.\.?(?:[/?#]|$)")).select(at.alias("source"), F.lit(None).cast("string").alias("html"))
 
     def run(batches):
         for batch in batches:
-            out = []
-            for source, base, to in zip(*(c.to_pylist() for c in batch.columns)):
-                at = base and resolve(source, entities.unescape(base)) or source
-                out.append(resolve(source, source) if to is None else resolve(at, entities.unescape(to)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["source", "target"])
+            sources, targets = [], []
+            for source, page in zip(*(c.to_pylist() for c in batch.columns)):
+                base, to = ("", [source]) if page is None else references(page)
+                start = base and resolve(source, base) or source
+                sources += [source] * len(to)
+                targets += [resolve(start, t) for t in to]
+            yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(targets, pa.string())], ["source", "target"])
 
     links = found.unionByName(dotted).mapInArrow(run, "source string, target string")
     return links.select(address(F.col("source")).alias("source"), address(F.col("target")).alias("target")).filter("source IS NOT NULL AND target IS NOT NULL")
@@ -130,14 +178,16 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, url
     Null urls and urls without :// have empty host and path, fit no rule with a path and are allowed. Repeated rows are judged
     alike; columns of the same names are replaced. Addresses are joined by a 64-bit hash (a pair of different ones is taken
     for one with odds of 2^-64)."""
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "_rule", "_node")]
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     links = declared_links(pages, url, html)
     if redirects is not None:
         links = links.unionByName(redirects.select(address(F.col("source")).alias("source"), address(F.col("target")).alias("target")).dropna())
     links = stage(links.distinct())
     node = lambda c: F.xxhash64(c)
-    judged = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    judged = judged.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_node", F.when(F.col("_rule").isNull(), node(address(F.col(url)))))
+    at = F.col(f"`{url}`")
+    judged = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_page"), at.alias("_at"), host_of(at).alias("host"), path_of(at).alias("path"))
+    judged = judged.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    judged = judged.withColumn("_node", F.when(F.col("_rule").isNull(), node(address(F.col("_at")))))
     classes = connected_components(links.select(node("source").alias("a"), node("target").alias("b")))
     ends = links.select(F.col("source").alias("at")).union(links.select(F.col("target").alias("at"))).distinct()
     acts = ends.select(node("at").alias("node"), rule_of(host_of(F.col("at")), path_of(F.col("at")), rules)["action"].alias("action"))
@@ -147,4 +197,4 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, url
     blocked = stage(classes.join(blocked, "component").select(F.col("node").alias("_node"), F.lit(True).alias("_blocked")))
     out = judged.join(small_side(blocked), "_node", "left")
     verdict = F.coalesce(F.col("_rule")["action"], F.when(F.col("_blocked"), "block"), F.lit("allow"))
-    return out.select(*kept, "host", "path", F.col("_rule")["rule"].alias("rule"), verdict.alias("verdict"))
+    return out.select(*[F.col("_page").getField(c).alias(c) for c in kept], "host", "path", F.col("_rule")["rule"].alias("rule"), verdict.alias("verdict"))

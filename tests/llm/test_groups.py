@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm import components, jaccard, neighbours, urls
 
@@ -122,6 +123,34 @@ def test_urls(shipped):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_tags_are_read_attribute_by_attribute(shipped):
+    cases = {"""<link rel="canonical" href="https://x.com/de/it's">""": ["https://x.com/de/it's"], """<LINK HREF='/a"b' REL=canonical/>""": ['/a"b'],
+             '<link data-href="/no" rel="canonical" href="/yes">': ["/yes"], '<link rel="alternate Canonical" href=/yes>': ["/yes"],
+             '<link title="a > b" rel="canonical" href="/yes">': ["/yes"], '<!-- <link rel="canonical" href="/no"> --><p>': [],
+             '<script>"<link rel=canonical href=/no>"</script><link rel=canonical href=/yes>': ["/yes"], '<!--><link rel=canonical href=/yes>': ["/yes"],
+             '<link rel="canonical" href="/first" href="/second">': ["/first"], '<link rel="canonical" href="/never ended>': [], "<link rel=canonical": [],
+             '<linked rel=canonical href=/no>': [], '<link rel="canonical" href="">': [], "<link rel=canonical href=it's-me >": ["it's-me"],
+             '<link rel="not-canonical" href="/no">': [], '<a title="<!--"><link rel="canonical" href="/yes">': ["/yes"], '<link rel="canonical" href="/a?x=1&amp;y=2">': ["/a?x=1&y=2"],
+             '<meta http-equiv=refresh content="0; url=/q r">': ["/q r"], """<meta content="5;URL='/it'" http-equiv="Refresh">""": ["/it"], '<meta http-equiv=refresh content=5>': [],
+             '<meta http-equiv="refresh" content="3, /next">': ["/next"], '<meta http-equiv="refresh" content="url=/n">': ["/n"], "<p title='a>b' x=\"<link rel=canonical href=/no>\"><title><link rel=canonical href=/no></title>": [], '<meta name="refresh" content="0; url=/no">': [], "": []}
+    for html, want in cases.items():
+        assert urls.references(html) == ("", want), html
+    assert urls.references("<base target=x><base href=/one/><base href=/two/><link rel=canonical href=a>") == ("/one/", ["a"])
+    source = "http://x.com/p"
+    pages = shipped.createDataFrame([(source, h) for h in cases if "it's\"" in h], "url string, html string")
+    assert [(r.source, r.target) for r in urls.declared_links(pages).collect()] == [(source, "https://x.com/de/it's")]
+
+
+def test_columns_of_any_name_stay(shipped):
+    rows = [(1, "http://a.net/x", '<link rel="canonical" href="http://e.com/de/1">')]
+    pages = shipped.createDataFrame(rows, "page_id long, url string, html string")
+    clash = ["_node", "_rule", "_blocked", "_page", "_at", "action", "component", "source", "node", "a.b"]
+    pages = pages.select("*", *[F.lit(c).alias(c) for c in clash])
+    got = urls.judge(pages)
+    assert got.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    assert got.collect()[0].asDict() == {**pages.collect()[0].asDict(), "host": "a.net", "path": "/x", "rule": None, "verdict": "block"}
+
+
 def test_every_form_of_target(shipped):
     page = "http://Q.net/a/b/c?x=1#f"
     forms = {"p2.html": "/a/b/p2.html", "./p": "/a/b/p", "../x": "/a/x", "../../../x": "/x", "?id=3": "/a/b/c?id=3", "/r/./s/../t": "/r/t", "..": "/a/",
