@@ -13,17 +13,19 @@ from .q_hmm import COLS, LATTICE, MODEL
 from .q_resample import COARSE
 from .registry import query
 
-SLICES = ("2024-01-11", "2024-01-21", "2100-01-01")
+SLICES = ("2024-01-11", "2024-01-21")
 
 
 def arriving(df, name):
-    """Writes rows as three time slices, one file each, and streams them a file at a time."""
+    """Writes rows as time slices cut at SLICES, one file each, and streams them a file at a time. The first slice reaches back and the last one
+    on without end, so that every row is in exactly one; rows without a time come first."""
     spark, path = df.sparkSession, ssrc.fresh(df.sparkSession, f"{name}-in")
-    df, lo = stage(df), "1900-01-01"
-    for hi in SLICES:
-        df.filter(F.col("ts").between(F.lit(lo).cast("timestamp_ntz"), F.expr(f"TIMESTAMP_NTZ'{hi} 00:00:00' - INTERVAL '1' SECOND"))).coalesce(1).write.mode(
-            "append").parquet(path)
-        lo = hi
+    df = stage(df)
+    later = F.lit(0)
+    for cut in SLICES:
+        later = later + F.coalesce((F.col("ts") >= F.lit(f"{cut} 00:00:00").cast("timestamp_ntz")).cast("int"), F.lit(0))
+    for i in range(len(SLICES) + 1):
+        df.filter(later == i).coalesce(1).write.mode("append").parquet(path)
     return ssrc.file_stream(spark, path, df.schema, 1)
 
 

@@ -20,7 +20,7 @@ def resample(bars: DataFrame, minutes: int, base_minutes: int, delay: str) -> Da
         F.max_by("close", "pos").alias("close"), F.sum("volume").alias("volume"), F.sum("buy_vol").alias("buy_vol"),
         F.sum(F.col("avg_price") * F.col("volume")).alias("_paid"), F.count(F.lit(1)).alias("n_base"))
     return g.filter(F.col("n_base") == n).select(
-        "series_id", F.expr(f"timestampadd(SECOND, cast(unix_seconds(_w.start) as int), {EPOCH})").alias("ts"), "open", "high", "low", "close", "volume",
+        "series_id", F.expr(f"{EPOCH} + make_dt_interval(0, 0, 0, unix_seconds(_w.start))").alias("ts"), "open", "high", "low", "close", "volume",
         F.coalesce(safe_div("_paid", "volume"), F.col("close")).alias("avg_price"), "buy_vol")
 
 
