@@ -1,10 +1,12 @@
 """Operators on single texts, each against a plain version, on odd input too."""
+import hashlib
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,9 +171,9 @@ def test_fingerprints(odd, nothing, monkeypatch):
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         edit = t[:len(t) - len(t) // 2] + after[:len(t) // 2]
-        want.append((None if i == -(10**18) else i, len(t), fingerprints.written(sign(t)), fingerprints.written(sign(edit)),
+        want.append((None if i == -(10**18) else i, len(t), hashlib.sha256(edit.encode()).hexdigest(), fingerprints.written(sign(t)), fingerprints.written(sign(edit)),
                      fingerprints.likeness(sign(t), sign(edit)), fingerprints.likeness(sign(t), sign(after))))
-    got = [(r.doc_id, r.n_chars, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in fingerprints.fingerprint(odd).collect()]
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in fingerprints.fingerprint(odd).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert fingerprints.fingerprint(nothing).count() == 0
 
@@ -269,3 +271,37 @@ def test_shingles():
 
     sets = list(shingles.shingle_sets(pa.array(["a b c d e", "A B c d\te", "a b", "b a", None, " ", "a b c"]), 4))
     assert [len(s) for s in sets] == [2, 2, 1, 1, 0, 0, 1] and (sets[0] == sets[1]).all() and sets[2] != sets[3]
+
+
+def test_quality_votes_equal_a_plain_vote(shipped):
+    """Every score is the plain vote: cosines with all labelled vectors, one by one, the nearest ones weighted by similarity."""
+    pick = random.Random(6)
+    words = ["plain", "prose", "of", "the", "TOWN", "and", "rest!!", "###", "buy", "1999", "it's"]
+    texts_ = [" ".join(pick.choice(words) for _ in range(pick.randrange(1, 40))) for _ in range(300)]
+    docs = shipped.createDataFrame(list(enumerate(texts_)) + [(300, ""), (301, None), (302, texts_[0])], "doc_id long, text string").repartition(5)
+    labels = shipped.createDataFrame([(i, int("###" in t), 0) for i, t in enumerate(texts_)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, quality.training_labels(labels))
+    fitted = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    assert len(model.vectors) == len(fitted) and sorted(model.labels) == sorted(float("###" in texts_[i]) for i in fitted)
+
+    def vector(text):
+        counts = quality.terms(pa.array([text]))[0].astype(float)
+        x = np.sqrt(counts) * model.idf
+        pairs, events = x[:quality.PAIRS], x[quality.PAIRS:]
+        x = np.concatenate([pairs / max(np.linalg.norm(pairs), 1e-9), model.settings.event_weight * events / max(np.linalg.norm(events), 1e-9)])
+        z = x @ model.basis.astype(float)
+        return z / max(np.linalg.norm(z), 1e-9)
+
+    def vote(text):
+        if not text:
+            return model.prior
+        z, s = vector(text), model.settings
+        cosines = sorted(((float(np.dot(z, v)), y) for v, y in zip(model.vectors.astype(float), model.labels)), reverse=True)
+        weights = [(np.exp(s.sharpness * (c - 1)), y) for c, y in cosines[:s.neighbours]]
+        return (sum(w * y for w, y in weights) + s.prior_weight * model.prior) / (sum(w for w, _ in weights) + s.prior_weight)
+
+    got = {r.doc_id: r.quality_score for r in quality.score(docs, model).collect()}
+    for i, t in [*enumerate(texts_), (300, ""), (301, None), (302, texts_[0])]:
+        assert abs(got[i] - vote(t)) < 2e-4, (i, t)
+    held = [i for i in range(300) if i not in fitted]
+    assert np.mean([(got[i] >= 0.5) == ("###" in texts_[i]) for i in held]) > 0.9
