@@ -49,28 +49,32 @@ def token_counts(spark, folder):
 
 _SIZES = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
-s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0 AS w
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0 AS w,
+         [1.5, 1.0, 0.5][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w0, [0.5, 1.0, 1.5][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w1
        FROM d GROUP BY source),
 s1 AS (SELECT *, source_size * 3 / w AS ratio FROM s0),
 s2 AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(source_size * 3) OVER (ORDER BY ratio, source NULLS LAST
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio, source NULLS LAST
          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
 s3 AS (SELECT *, arg_min(level, ratio) FILTER (source_size * 3 > w * level) OVER () AS common FROM s2),
-s AS (SELECT source, source_size, CASE WHEN source_size * 3 <= w * level THEN CAST(source_size * 3 AS DOUBLE) ELSE w * common END AS target FROM s3),
-o AS (SELECT d.*, s.source_size, s.target, CAST(floor(s.target + 0.5) AS BIGINT) AS need,
+s AS (SELECT source, source_size, CAST(w0 AS DOUBLE) AS w0, CAST(w1 AS DOUBLE) AS w1, CASE WHEN source_size * 3 <= w * level THEN CAST(source_size * 3 AS DOUBLE) ELSE w * common END AS target FROM s3),
+o AS (SELECT d.*, s.source_size, s.target, s.w0, s.w1, CAST(floor(s.target + 0.5) AS BIGINT) AS need,
         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (need // source_size) + greatest(0, least(size, need % source_size - before)) END AS BIGINT) AS taken
-FROM o"""
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+t AS (SELECT *, CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (need // source_size) + greatest(0, least(size, need % source_size - before)) END AS BIGINT) AS taken FROM o),
+m AS (SELECT *, CASE WHEN taken > 0 THEN (before + CAST(CASE WHEN need >= source_size THEN size ELSE taken END AS DOUBLE) / 2) / need END AS share FROM t)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
+  CASE WHEN w0 = w1 THEN share ELSE (sqrt(greatest(0.0, w0 * w0 + (w1 - w0) * (w0 + w1) * share)) - w0) / (w1 - w0) END AS "position"
+FROM m"""
 
 
 @query("op5_curriculum_mix", _SIZES)
 def curriculum_mix(spark, folder):
+    """position: when training meets the document first (0 to 1, null if the mix takes none of it); rows come in that order."""
     mixed = mixing.mix(documents(spark, folder, "doc_id", "source", "text"))
     ordered = mixing.in_training_order(mixed.withColumn("position", mixing.first_position(mixed)))
-    return ordered.select("doc_id", "size", "source_size", "target", "taken")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 @query("op10_quality_vote")

@@ -152,6 +152,32 @@ def test_mixing(odd, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+
+def test_training_order_follows_the_schedule(shipped):
+    """Files read in order give positions that never fall, and by any time a source has given its integrated weight's share of words."""
+    docs = shipped.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 7 = 0 THEN 'b' ELSE 'c' END AS source",
+                                          "repeat('w ', CAST(1 + id % 11 AS INT)) AS text")
+    mixed = mixing.mix(docs)
+    ordered = mixing.in_training_order(mixing.copies(mixed))
+    copies = ordered.collect()
+    at = [r.position for r in copies]
+    assert len(at) > 4000 and at == sorted(at)
+    found = {}
+    for r in copies:
+        found.setdefault((r.place, r.source), []).append((r.position, r.words))
+    for (place, _), rows in found.items():
+        start, end = mixing.SCHEDULE[place]
+        total = sum(w for _, w in rows)
+        for t in (0.1, 0.25, 0.5, 0.8, 1.0):
+            due = total * (start * t + (end - start) * t * t / 2) / ((start + end) / 2)
+            assert abs(sum(w for p, w in rows if p <= t) - due) <= 11
+    first = {r.doc_id: r.position for r in mixed.withColumn("position", mixing.first_position(mixed)).collect()}
+    least = {}
+    for r in copies:
+        least[r.doc_id] = min(r.position, least.get(r.doc_id, 2.0))
+    assert {d: p for d, p in first.items() if p is not None} == least
+
+
 def test_due_inverts_the_schedule(shipped):
     for start, end in mixing.SCHEDULE:
         for share in (0.0, 0.1, 0.5, 0.9, 1.0):
