@@ -65,7 +65,7 @@ o AS (SELECT d.*, s.source_size, s.target, s.w0, s.w1, CAST(floor(s.target + 0.5
 t AS (SELECT *, CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (need // source_size) + greatest(0, least(size, need % source_size - before)) END AS BIGINT) AS taken FROM o),
 m AS (SELECT *, CASE WHEN taken > 0 THEN (before + CAST(CASE WHEN need >= source_size THEN size ELSE taken END AS DOUBLE) / 2) / need END AS share FROM t)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
-  CASE WHEN w0 = w1 THEN share ELSE (sqrt(greatest(0.0, w0 * w0 + (w1 - w0) * (w0 + w1) * share)) - w0) / (w1 - w0) END AS "position"
+  CASE WHEN taken > 0 THEN CASE WHEN w0 = w1 THEN share ELSE (sqrt(greatest(0.0, w0 * w0 + (w1 - w0) * (w0 + w1) * share)) - w0) / (w1 - w0) END END AS "position"
 FROM m"""
 
 
