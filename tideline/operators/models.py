@@ -68,12 +68,6 @@ def boosted(rounds: int = 100, depth: int = 3, rate: float = 0.1, seed: int = 42
     return GBTClassifier(labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, **kw)
 
 
-def xgb_like(rounds: int = 200, seed: int = 42) -> GBTClassifier:
-    """Boosting at rate 0.05 on 80 % row samples. At least 50 rows per leaf stand in for a least sum of second derivatives,
-    which Spark's trees do not offer."""
-    return boosted(rounds, rate=0.05, seed=seed, subsamplingRate=0.8, minInstancesPerNode=50)
-
-
 def fit_pool(pool: DataFrame, features, make, lo: float = 0.4, hi: float = 0.6):
     """Fits on labelled rows with the class-weight rule. make(weighted row count) gives the estimator."""
     w = class_weights(pool.withColumn("_all", F.lit(0)), lo, hi, ("_all",)).collect()

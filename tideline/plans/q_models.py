@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.blocks import chunk_of, stage
 from ..functions.columns import full, since
-from ..operators import features as ft, folds as fo, labels as lb, metrics as mt, models as ml, stats, structure as st, walk as wk
+from ..operators import boosting as bo, features as ft, folds as fo, labels as lb, metrics as mt, models as ml, stats, structure as st, walk as wk
 from . import inputs as inp
 from .q_labels import LABEL, labelled
 from .q_stats import SCORED, scored
@@ -117,9 +117,10 @@ def gbt_fit(spark, folder):
 
 @query("xgb_walk_forward", "fold:l auc:d")
 def xgb_walk_forward(spark, folder):
+    """Boosting of second order with the published settings, all folds in the same jobs."""
     r = rows(spark, folder)
-    p, _ = ml.walk(r, BASE, lambda n: ml.xgb_like(), folds_of(r), POOL)
-    return _fold_auc(p)
+    fits = bo.fit_folds(r, BASE, folds_of(r), F.concat_ws("|", "series_id", "pos"), min_pool=POOL)
+    return _fold_auc(bo.predict_folds(r.filter("is_trending"), BASE, fits))
 
 
 @query("model_choice", "model auc:d chosen:b")
