@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.blocks import with_position
+from ..functions.ordered import percentiles
 from ..sources import stores
 from .metrics import roc_auc
 
@@ -127,6 +128,49 @@ def compare(variants: dict, rows: DataFrame, make, folds, min_pool: int) -> Data
     return out
 
 
+def threshold_trials(rows: DataFrame, cuts, baseline: float, features, make, trend: str = "trend_score", move: str = "fwd_2", dead: float = 0.1,
+                     least: tuple[int, int, int] = (20, 50, 20), slack: float = 0.01) -> list[dict]:
+    """Is another trend threshold as good as the baseline? Judged inside the rows given, whose column inner marks the earlier part.
+
+    Per cut: epsilon is the dead-band percentile of the inner part's trending moves, labels are of moves beyond it (1 when the move goes with
+    the trend), a classifier of the inner part scores the rest. A cut is "insufficient" with fewer than least[0] moves, least[1] inner or least[2]
+    other labels, or one label only. Against a sound baseline its verdict is "validates" (auc within slack, no more folds
+    without trending rows), "costs auc", or "mixed". Epsilons, counts and folds of all cuts come from three jobs."""
+    at = F.explode(F.array(*[F.lit(float(c)) for c in cuts]))
+    size = F.abs(F.col(move))
+    many = rows.withColumn("cut", at).withColumn("_on", F.coalesce(F.abs(F.col(trend)) > F.col("cut"), F.lit(False)))
+    moves = many.filter(F.col("inner") & F.col("_on") & size.isNotNull()).select("cut", size.alias("_m"))
+    eps = {r["cut"]: r for r in percentiles(moves, ["cut"], "_m", {"epsilon": dead}).collect()}
+    eps = {c: r["epsilon"] if r["n_all"] >= least[0] else None for c, r in eps.items()}
+    empty = many.groupBy("cut", "fold").agg(F.count_if("_on").alias("n")).groupBy("cut").agg(F.count_if(F.col("n") == 0).alias("n"))
+    empty = {r["cut"]: r["n"] for r in empty.collect()}
+
+    def labels(cut, epsilon):
+        return F.when((F.abs(F.col(trend)) > cut) & (size > epsilon), (F.signum(move) == F.signum(trend)).cast("long"))
+
+    known = {c: e for c, e in eps.items() if e is not None}
+    each = F.coalesce(*[F.when(F.col("cut") == c, labels(c, e)) for c, e in known.items()], F.lit(None).cast("long"))
+    counts = {(r["cut"], r["inner"]): r for r in many.withColumn("label", each).filter("label IS NOT NULL").groupBy("cut", "inner").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate")).collect()} if known else {}
+    out = []
+    for c in map(float, cuts):
+        train, val = ({"n": r["n"], "rate": r["rate"]} if (r := counts.get((c, part))) else {"n": 0, "rate": None} for part in (True, False))
+        t = {"cut": c, "status": "insufficient", "n_train": train["n"], "n_val": val["n"], "epsilon": eps.get(c), "zero_folds": empty.get(c, 0), "auc": None,
+             "pos_rate": val["rate"], "verdict": None}
+        if train["n"] >= least[1] and val["n"] >= least[2] and 0 < train["rate"] < 1 and 0 < val["rate"] < 1:
+            d = rows.withColumn("label", labels(c, known[c]))
+            model, _, _ = fit_pool(d.filter("inner"), features, make, 0.0, 1.0)
+            a = roc_auc(predict(model, d.filter("NOT inner AND label IS NOT NULL").withColumn("_k", F.lit(1)), features), ["_k"]).first()
+            t |= {"status": "ok", "auc": a["auc"] if a else None}
+        out.append(t)
+    base = next((t for t in out if t["cut"] == baseline and t["status"] == "ok"), None)
+    for t in out:
+        if base and t is not base and t["status"] == "ok":
+            fine = t["auc"] >= base["auc"] - slack
+            t["verdict"] = "costs auc" if not fine else "validates" if t["zero_folds"] <= base["zero_folds"] else "mixed"
+    return out
+
+
 def importances(fits, features):
     """(fold, feature, importance) triples from tree models."""
     return [(x.fold, f, float(v)) for x in fits for f, v in zip(features, x.model.featureImportances.toArray())]

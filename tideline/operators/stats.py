@@ -14,7 +14,7 @@ from ..functions.blocks import lookup, running, stage
 from ..functions.columns import safe_div
 from ..functions.distributions import signed_rank_two_sided, t_two_sided
 from ..functions.ordered import cumulate, percentiles, ranked, value_summary
-from .metrics import auc_of
+from .metrics import auc_of, average_precision, bucket_edges, roc_auc
 
 PCT = 100.0
 
@@ -148,6 +148,35 @@ def sample_tier(n, pos, neg, insufficient: int, reliable: int, few: int = 20, en
             .when((n < reliable) | (pos < enough) | (neg < enough), "LOW-CONFIDENCE").otherwise("RELIABLE"))
 
 
+def segment_breakdown(rows: DataFrame, dims: dict[str, Column], buckets: dict[str, tuple[str, int]], insufficient: int = 200, reliable: int = 1000,
+                      few: int = 20, enough: int = 100, fold_rows: int = 20) -> DataFrame:
+    """Metrics of (label, score) per value of each dimension, all dimensions in the same jobs.
+
+    dims are columns; buckets (name: column, number) are quantile buckets over all labelled rows, numbered from 0, equal edges merged. Values
+    come as text, null is a value of its own. auc and average_precision are null below the lowest tier and with one label only; the fold columns
+    are of folds with fold_rows rows and both labels. rows: fold, label, score and whatever the dimensions read; pass a staged frame."""
+    base = rows.filter("label IS NOT NULL").withColumn("_all", F.lit(0))
+    d = base
+    for name, (x, n) in buckets.items():
+        d = lookup(d, bucket_edges(base, ["_all"], x, n).select("_all", F.col("edges").alias(f"_e_{name}")), ["_all"])
+        number = F.greatest(F.size(F.filter(f"_e_{name}", lambda e: e < F.col(x))) - 1, F.lit(0))
+        dims = {**dims, name: F.when(F.col(x).isNotNull(), number)}
+    pairs = F.array(*[F.struct(F.lit(k).alias("dim"), F.coalesce(c.cast("string"), F.lit("-")).alias("val")) for k, c in dims.items()])
+    d = stage(d.select("fold", "label", "score", F.inline(pairs)))
+    k = ["dim", "val"]
+    count = F.count(F.lit(1))
+    g = d.groupBy(*k).agg(count.alias("n"), (F.avg("label") * PCT).alias("rate"), F.avg("score").alias("mean_score"), F.count_if(F.col("label") == 1).alias("_p"),
+                          F.count_if(F.col("label") == 0).alias("_q"), F.count_distinct("fold").alias("n_folds"))
+    g = g.withColumn("tier", sample_tier("n", "_p", "_q", insufficient, reliable, few, enough))
+    a = roc_auc(d, [*k, "fold"]).filter((F.col("n_pos") + F.col("n_neg") >= fold_rows) & F.col("auc").isNotNull())
+    a = a.groupBy(*k).agg(F.avg("auc").alias("fold_auc_mean"), F.stddev_pop("auc").alias("fold_auc_std"), F.count_if(F.col("auc") > 0.5).alias("folds_above"),
+                          F.count_if(F.col("auc") < 0.5).alias("folds_below"), count.alias("n_folds_with_auc"))
+    g = g.join(roc_auc(d, k).select(*k, "auc"), k).join(average_precision(d, k).select(*k, "average_precision"), k).join(a, k, "left")
+    fair = (F.col("tier") != "INSUFFICIENT") & F.col("auc").isNotNull()
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("folds_above", "folds_below", "n_folds_with_auc")}
+    return g.withColumns({**zero, "average_precision": F.when(fair, F.col("average_precision")), "auc": F.when(fair, F.col("auc"))}).drop("_p", "_q")
+
+
 def correlation_matrix(rows: DataFrame, cols) -> DataFrame:
     """Feature by feature correlations over rows where both are defined; all pairs in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]

@@ -95,8 +95,8 @@ lab AS (SELECT v.*, epsilon, coalesce(is_trending AND abs(fwd_2) > epsilon, fals
 """
 
 
-def labelled(spark, folder):
-    v = stage(inp.valid_rows(spark, folder))
+def labelled(spark, folder, source=None):
+    v = stage(inp.valid_rows(spark, folder) if source is None else source)
     eps = lb.deadband(v.filter("is_trending AND fwd_2 IS NOT NULL"), "fwd_2", keys=inp.KEYS)
     return lb.persistence(lookup(v, eps, inp.KEYS), "fwd_2", F.col("epsilon"))
 

@@ -9,7 +9,7 @@ from ..functions.columns import full, since
 from ..operators import boosting as bo, features as ft, folds as fo, labels as lb, metrics as mt, models as ml, stats, structure as st, walk as wk
 from . import inputs as inp
 from .q_labels import LABEL, labelled
-from .q_stats import SCORED, scored
+from .q_stats import SCORED, SEGMENTS, scored, segment_dims
 from .q_structure import WIDTHS, swings_sql
 from .registry import query
 
@@ -165,6 +165,16 @@ def family_test(spark, folder):
     return ml.compare({k: (*BASE, *v) for k, v in fam.items()}, r, lr, folds_of(r), POOL)
 
 
+@query("segment_breakdown_walk", SEGMENTS)
+def segment_breakdown_walk(spark, folder):
+    """The walked classifier's out-of-sample scores by direction, state label, volatility class, calendar and buckets of what its states tell."""
+    r = rows(spark, folder)
+    keep = ("series_id", "pos", "ts", "label", "trend_sign", "regime", *BASE, "duration")
+    p, _ = ml.walk(r, BASE, lr, folds_of(r), POOL, keep)
+    four = {c: (c, 4) for c in ("confidence", "stay_prob", "margin")}
+    return stats.segment_breakdown(stage(p), segment_dims(), {**four, "duration": ("duration", 3)})
+
+
 @query("raw_vs_derived", "variant n_features:l auc:d")
 def raw_vs_derived(spark, folder):
     r = rows(spark, folder)
@@ -231,8 +241,8 @@ def _inner_auc(d, make, features):
     return r[0]["auc"] if r else None
 
 
-def _split(d):
-    return stage(fo.inner_split(stage(d), inp.KEYS, ("pos",), chunk_of("pos"), 0.8))
+def _split(d, share=0.8):
+    return stage(fo.inner_split(stage(d), inp.KEYS, ("pos",), chunk_of("pos"), share))
 
 
 @query("k_selection", "k:d auc:d chosen:b")
@@ -244,16 +254,15 @@ def k_selection(spark, folder):
     return spark.createDataFrame([(k, a, a is not None and (a, -k) == best) for k, a in got], "k double, auc double, chosen boolean")
 
 
-@query("threshold_validation", "cut:d n_rows:l auc:d keep:b")
+TRIALS = "cut double, status string, n_train long, n_val long, epsilon double, zero_folds long, auc double, pos_rate double, verdict string"
+
+
+@query("threshold_validation", "cut:d status n_train:l n_val:l epsilon:d zero_folds:l auc:d pos_rate:d verdict")
 def threshold_validation(spark, folder):
-    """Inner AUC per trend threshold on early folds; a threshold is kept when it beats a coin by 0.01."""
-    v = _split(inp.valid_rows(spark, folder).filter(F.col("fold") <= THRESHOLD_FOLDS))
-    out = []
-    for c in (0.15, 0.3, 0.5, 1.0):
-        d = v.filter(F.abs("px_z") > c).withColumn("label", (F.signum("fwd_2") == F.signum("px_z")).cast("long"))
-        a = _inner_auc(d, lr, THRESHOLD)
-        out.append((c, d.filter("label IS NOT NULL").count(), a, a is not None and a > 0.51))
-    return spark.createDataFrame(out, "cut double, n_rows long, auc double, keep boolean")
+    """Trend thresholds on decoded states of the calibration folds, 70 to 30 in time, against the baseline 0.30."""
+    v = rows(spark, folder).filter(F.col("fold").between(0, THRESHOLD_FOLDS))
+    got = ml.threshold_trials(_split(v, 0.7), (0.10, 0.15, 0.20, 0.30), 0.30, BASE, lr)
+    return spark.createDataFrame([tuple(t.values()) for t in got], TRIALS)
 
 
 PK = ",".join(swings_sql(k, f"k{k}_") for k in WIDTHS) + """,

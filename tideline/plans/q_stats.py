@@ -187,27 +187,46 @@ def prev_next_context(spark, folder):
     return st.prev_next_context(r).groupBy("series_id", "state", "prev_state", "next_state").agg(F.sum("n_bars").alias("n_bars"))
 
 
+SEGMENTS = ("dim val n:l rate:d mean_score:d tier n_folds:l auc:d average_precision:d fold_auc_mean:d fold_auc_std:d folds_above:l folds_below:l "
+            "n_folds_with_auc:l")
 DIMS = """
-dm AS (SELECT label, score, unnest(['direction', 'regime', 'weekday', 'session']) AS dim,
- unnest([CAST(trend_sign AS VARCHAR), regime, CAST(isodow(ts) AS VARCHAR), CASE WHEN hour(ts) < 8 THEN 'night' WHEN hour(ts) < 16 THEN 'day' ELSE 'evening' END]) AS val FROM lab WHERE label IS NOT NULL),
-rk AS (SELECT *, rank() OVER (PARTITION BY dim, val ORDER BY score) + (count(*) OVER (PARTITION BY dim, val, score) - 1) / 2.0 AS rk FROM dm)
+qe AS (SELECT list_distinct(quantile_cont(confidence, [0.0, 0.25, 0.5, 0.75, 1.0])) AS ce, list_distinct(quantile_cont(score, [0.0, 0.25, 0.5, 0.75, 1.0])) AS se,
+ list_distinct(quantile_cont(CAST(duration AS DOUBLE), [0.0, 0.3333333333333333, 0.6666666666666666, 1.0])) AS de FROM lab WHERE label IS NOT NULL),
+sg AS (SELECT lab.*, greatest(len(list_filter(ce, lambda x: x < confidence)) - 1, 0) AS cq, greatest(len(list_filter(se, lambda x: x < score)) - 1, 0) AS sq,
+ greatest(len(list_filter(de, lambda x: x < duration)) - 1, 0) AS dq FROM lab, qe WHERE label IS NOT NULL),
+dm AS (SELECT label, score, fold, unnest(['direction', 'state_label', 'volatility', 'weekday', 'session', 'year', 'confidence', 'score', 'duration']) AS dim,
+ unnest([CAST(trend_sign AS VARCHAR), regime, split_part(regime, ' / ', 2), CAST(isodow(ts) AS VARCHAR), CASE WHEN hour(ts) < 8 THEN 'night' WHEN hour(ts) < 16 THEN 'day' ELSE 'evening' END,
+  CAST(year(ts) AS VARCHAR), CAST(cq AS VARCHAR), CAST(sq AS VARCHAR), CAST(dq AS VARCHAR)]) AS val FROM sg),
+rk AS (SELECT *, rank() OVER g + (count(*) OVER (PARTITION BY dim, val, score) - 1) / 2.0 AS rk FROM dm WINDOW g AS (PARTITION BY dim, val ORDER BY score)),
+au AS (SELECT dim, val, count(*) AS n, 100 * avg(label) AS rate, avg(score) AS mean_score, count(DISTINCT fold) AS n_folds, sum(label) AS p, count(*) - sum(label) AS q,
+ CASE WHEN n < 30 OR p < 10 OR q < 10 THEN 'INSUFFICIENT' WHEN n < 60 OR p < 25 OR q < 25 THEN 'LOW-CONFIDENCE' ELSE 'RELIABLE' END AS tier,
+ CASE WHEN p > 0 AND q > 0 THEN (sum(rk) FILTER (WHERE label = 1) - p * (p + 1) / 2.0) / (p * q) END AS auc FROM rk GROUP BY 1, 2),
+ap AS (SELECT dim, val, sum(CAST(p AS DOUBLE) / tot * cp / (cp + cq)) AS average_precision FROM (
+ SELECT *, sum(p) OVER w AS cp, sum(q) OVER w AS cq, sum(p) OVER (PARTITION BY dim, val) AS tot FROM (
+  SELECT dim, val, score, sum(label) AS p, count(*) - sum(label) AS q FROM dm GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY dim, val ORDER BY score DESC)) GROUP BY 1, 2),
+fr AS (SELECT *, rank() OVER g + (count(*) OVER (PARTITION BY dim, val, fold, score) - 1) / 2.0 AS rk FROM dm WINDOW g AS (PARTITION BY dim, val, fold ORDER BY score)),
+fa AS (SELECT dim, val, fold, (sum(rk) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS a
+ FROM fr GROUP BY 1, 2, 3 HAVING count(*) >= 20 AND sum(label) BETWEEN 1 AND count(*) - 1),
+fs AS (SELECT dim, val, avg(a) AS fold_auc_mean, stddev_pop(a) AS fold_auc_std, count(*) FILTER (WHERE a > 0.5) AS up, count(*) FILTER (WHERE a < 0.5) AS down, count(*) AS m FROM fa GROUP BY 1, 2)
 ;;
 """
 
 
-@query("segment_breakdown", "dim val n:l rate:d auc:d", LABEL.replace(";;", ",") + DIMS + """
-SELECT dim, val, count(*) AS n, 100 * avg(label) AS rate,
- CASE WHEN sum(label) BETWEEN 1 AND count(*) - 1 THEN (sum(rk) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) END AS auc FROM rk GROUP BY 1, 2""")
-def segment_breakdown(spark, folder):
-    """One pass over (row, dimension) pairs instead of one grouping per dimension."""
-    lab = stage(labelled(spark, folder).filter("label IS NOT NULL"))
+def segment_dims():
     h = F.hour("ts")
-    dims = {"direction": F.col("trend_sign").cast("string"), "regime": F.col("regime"), "weekday": (F.weekday("ts") + 1).cast("string"),
-            "session": F.when(h < 8, "night").when(h < 16, "day").otherwise("evening")}
-    d = lab.select("label", "score", F.inline(F.array(*[F.struct(F.lit(k).alias("dim"), c.alias("val")) for k, c in dims.items()])))
-    k = ["dim", "val"]
-    g = d.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), (F.avg("label") * 100).alias("rate"))
-    return g.join(mt.roc_auc(d, k), k)
+    return {"direction": F.col("trend_sign"), "state_label": F.col("regime"), "volatility": F.split_part(F.col("regime"), F.lit(" / "), F.lit(2)),
+            "weekday": F.weekday("ts") + 1, "session": F.when(h < 8, "night").when(h < 16, "day").otherwise("evening"), "year": F.year("ts")}
+
+
+@query("segment_breakdown", SEGMENTS, LABEL.replace(";;", ",") + DIMS + """
+SELECT au.* REPLACE (CASE WHEN tier <> 'INSUFFICIENT' THEN auc END AS auc), CASE WHEN tier <> 'INSUFFICIENT' AND au.auc IS NOT NULL THEN average_precision END AS average_precision,
+ fold_auc_mean, fold_auc_std, coalesce(up, 0) AS folds_above, coalesce(down, 0) AS folds_below, coalesce(m, 0) AS n_folds_with_auc
+FROM au JOIN ap USING (dim, val) LEFT JOIN fs USING (dim, val)""")
+def segment_breakdown(spark, folder):
+    """All dimensions in the same jobs; the threshold states have a score where a decoded state has its stay probability and margin
+    (segment_breakdown_walk has those)."""
+    lab = labelled(spark, folder, inp.marked(spark, folder))
+    return st.segment_breakdown(stage(lab), segment_dims(), {"confidence": ("confidence", 4), "score": ("score", 4), "duration": ("duration", 3)}, 30, 60, 10, 25)
 
 
 @query("quantile_buckets", "series_id bucket:l n:l lo:d hi:d", """
