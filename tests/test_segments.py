@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import models as ml, stats as st
+from tideline.operators import metrics as mt, models as ml, stats as st
 
 
 def plain_auc(pairs):
@@ -85,3 +85,14 @@ def test_threshold_trials(spark):
             assert t["verdict"] == ("costs auc" if not fine else "validates" if t["zero_folds"] <= got[0.3]["zero_folds"] else "mixed")
     assert got[0.3]["verdict"] is None and got[5.0]["status"] == "insufficient" and got[5.0]["epsilon"] is None and got[5.0]["zero_folds"] == 6
     assert [t["status"] for t in ml.threshold_trials(df.limit(0), (0.1, 0.3), 0.3, ("a",), ml.logistic)] == ["insufficient"] * 2
+
+
+def test_two_tables(spark):
+    a = spark.createDataFrame([("x", i, i % 3) for i in range(20)] + [("y", 1, 0), ("z", 1, None)], "k string, t long, l int")
+    b = spark.createDataFrame([("x", i, 1) for i in range(5, 30)] + [("w", 1, 0), ("z", 1, None)], "k string, t long, l int")
+    got = {r.k: r for r in mt.table_agreement(a, b, ("k",), "t", "l").collect()}
+    assert set(got) == set("wxyz")
+    x = got["x"]
+    assert (x.n_a, x.n_b, x.n_common, x.only_a, x.only_b) == (20, 25, 15, 5, 10) and abs(x.agree_pct - 100 / 3) < 1e-9 and abs(x.common_pct - 60) < 1e-9
+    assert got["y"].agree_pct is None and got["w"].only_b == 1 and got["z"].agree_pct == 0
+    assert mt.table_agreement(a.limit(0), b.limit(0), ("k",), "t", "l").count() == 0

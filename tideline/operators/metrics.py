@@ -74,6 +74,20 @@ def quantile_bucket(rows: DataFrame, keys, x: str, n: int) -> DataFrame:
     return d.withColumn("bucket", F.when(F.col(x).isNotNull(), F.greatest(below - 1, F.lit(0))).cast("long")).drop("edges")
 
 
+def table_agreement(a: DataFrame, b: DataFrame, keys, at: str, label: str) -> DataFrame:
+    """Two labellings of possibly different rows, compared on the times that both have. Per key: rows of each table, common rows, rows of one table
+    only, the common share of the larger table, and the share of common rows with equal labels (null without common rows). A null label
+    agrees with nothing. Each table holds a time once."""
+    side = lambda d, n: d.select(*keys, at, F.lit(True).alias(f"_in_{n}"), F.col(label).alias(f"_l_{n}"))
+    d = side(a, "a").join(side(b, "b"), [*keys, at], "full")
+    in_a, in_b = (F.coalesce(F.col(f"_in_{n}"), F.lit(False)) for n in "ab")
+    same = F.coalesce(F.col("_l_a") == F.col("_l_b"), F.lit(False)).cast("double")
+    g = d.groupBy(*keys).agg(F.count_if(in_a).alias("n_a"), F.count_if(in_b).alias("n_b"), F.count_if(in_a & in_b).alias("n_common"),
+                             (F.avg(F.when(in_a & in_b, same)) * 100).alias("agree_pct"))
+    return g.withColumns({"only_a": F.col("n_a") - F.col("n_common"), "only_b": F.col("n_b") - F.col("n_common"),
+                          "common_pct": F.col("n_common") * 100 / F.greatest("n_a", "n_b")})
+
+
 def calibration(rows: DataFrame, keys, score: str = "score", n: int = 10) -> DataFrame:
     b = quantile_bucket(rows.filter("label IS NOT NULL"), keys, score, n)
     return b.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_predicted"),

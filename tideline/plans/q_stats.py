@@ -425,6 +425,20 @@ def label_agreement(spark, folder):
         (F.avg(F.when(both, same)) * 100).alias("both_pct"))
 
 
+@query("table_agreement", "series_id n_a:l n_b:l n_common:l only_a:l only_b:l common_pct:d agree_pct:d", """
+tb AS (SELECT series_id, pos, CASE WHEN px_z > 0.3 THEN 2 WHEN px_z < -0.3 THEN 0 ELSE 1 END AS state FROM f2 WHERE px_z IS NOT NULL AND n_ticks >= 2),
+tu AS (SELECT series_id, pos, 1 AS a, 0 AS b, state FROM valid UNION ALL SELECT series_id, pos, 0, 1, state FROM tb),
+tp AS (SELECT series_id, pos, sum(a) AS a, sum(b) AS b, min(state) = max(state) AS same FROM tu GROUP BY 1, 2)
+;;
+SELECT series_id, sum(a) AS n_a, sum(b) AS n_b, count(*) FILTER (WHERE a + b = 2) AS n_common, count(*) FILTER (WHERE b = 0) AS only_a, count(*) FILTER (WHERE a = 0) AS only_b,
+ 100.0 * n_common / greatest(n_a, n_b) AS common_pct, 100 * avg(CAST(same AS INT)) FILTER (WHERE a + b = 2) AS agree_pct FROM tp GROUP BY 1""")
+def table_agreement(spark, folder):
+    """States of all valid rows against those of a narrower cut, read from bars of at least two events whatever their other features."""
+    bars = inp.bar_table(spark, folder)
+    b = inp.featured(spark, folder, bars).filter("px_z IS NOT NULL AND n_ticks >= 2")
+    return mt.table_agreement(inp.valid_rows(spark, folder, source=bars), b.withColumn("state", three_way("px_z", 0.3, 0, 1, 2).cast("long")), K, "pos", "state")
+
+
 @query("adjusted_rand", "series_id n:l ari:d", TWO.replace(";;", ",") + """
 c AS (SELECT series_id, state, state_b, count(*) AS n FROM tw GROUP BY 1, 2, 3),
 ij AS (SELECT series_id, sum(n * (n - 1) / 2.0) AS s, sum(n) AS n FROM c GROUP BY 1),
