@@ -1,7 +1,7 @@
 """Registered queries run the whole study: published settings, folds taken from the data."""
 import pytest
 
-from tideline.operators import hmm, models as ml, stats, walk as wk
+from tideline.operators import boosting as bo, hmm, models as ml, stats, walk as wk
 from tideline.plans import inputs, q_hmm, q_models, q_stats
 
 
@@ -18,7 +18,7 @@ def stopping(seen):
 
 
 @pytest.mark.parametrize("name, kind, want", [("rf_grid", "getNumTrees", 300), ("feature_importance_rank", "getNumTrees", 300), ("gbt_fit", "getMaxIter", 100),
-                                              ("model_choice", "getMaxIter", 100), ("xgb_walk_forward", "getMaxIter", 200)])
+                                              ("model_choice", "getMaxIter", 100)])
 def test_studies_fit_full_models(spark, monkeypatch, name, kind, want):
     seen = []
 
@@ -41,6 +41,23 @@ def test_studies_fit_full_models(spark, monkeypatch, name, kind, want):
     assert getattr(seen[-1], kind)() == want
 
 
+def test_boosting_walk_is_full(spark, monkeypatch):
+    seen = []
+
+    def fit(rows, features, folds, key, rules=bo.Rules(), min_pool=500):
+        seen.append((rules, list(folds), min_pool))
+        raise Stop
+
+    monkeypatch.setattr(q_models, "rows", lambda s, d: s.range(1))
+    monkeypatch.setattr(q_models, "folds_of", lambda r: [0, 1])
+    monkeypatch.setattr(bo, "fit_folds", fit)
+    with pytest.raises(Stop):
+        q_models.xgb_walk_forward(spark, "")
+    rules, folds, least = seen[0]
+    assert (rules.rounds, rules.depth, rules.rate, rules.child, rules.sample, rules.ridge) == (200, 3, 0.05, 50.0, 0.8, 1.0)
+    assert (folds, least) == ([0, 1], 500)
+
+
 def test_fits_and_replicates_are_full(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(q_models, "fold_rows", lambda s, d: (None, 60))
@@ -61,6 +78,7 @@ def test_fits_and_replicates_are_full(spark, monkeypatch):
 def test_calibration_reads_later_folds(spark, monkeypatch, name, last):
     seen = []
     monkeypatch.setattr(inputs, "valid_rows", lambda *_, **__: spark.range(30).selectExpr("id AS fold"))
+    monkeypatch.setattr(q_models, "rows", lambda *_: spark.range(-1, 30).selectExpr("id AS fold"))
     monkeypatch.setattr(q_models, "_split", stopping(seen))
     with pytest.raises(Stop):
         getattr(q_models, name)(spark, "")
