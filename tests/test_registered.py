@@ -98,7 +98,7 @@ def test_anchors_follow_the_folds(spark, monkeypatch):
     assert models == {a: list(range(-1, a)) for a in (0, 2, 4, 6)}
 
 
-@pytest.mark.parametrize("name", ["hmm_fit", "hmm_restarts", "restart_log", "walk_forward", "lr_walk_forward", "gbt_fit", "gate_score", "walk_restart_log", "stage_a_decode"])
+@pytest.mark.parametrize("name", ["hmm_fit", "hmm_restarts", "restart_log", "walk_forward", "lr_walk_forward", "xgb_walk_forward", "gbt_fit", "gate_score", "walk_restart_log", "stage_a_decode"])
 def test_fits_return_on_few_rows(spark, name):
     """Too few rows give no model: an empty table, or log rows that say why."""
     from tideline.plans import CATALOG
