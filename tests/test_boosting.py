@@ -111,3 +111,34 @@ def test_odd_input(spark, rows):
     assert all((t.feature < 0).all() for t in few[0].trees)
     nulls = bo.predict_folds(df.withColumn("fold", F.lit(1)).filter("id IN (8, 9)"), FEATURES, few, RULES).collect()
     assert [r.score for r in nulls] == [None, None]
+
+
+def test_a_level_is_one_job(spark, rows):
+    from pyspark.sql import functions as F
+
+    from tideline.session import ship
+
+    ship(spark)
+    sc = spark.sparkContext
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    sc.setJobGroup("levels", "boosting")
+    try:
+        bo.fit_folds(df, FEATURES, range(5), F.col("id"), bo.Rules(rounds=10, child=4.0), min_pool=150)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("levels")) <= 10 * 3 + 12  # counts, cuts and the written tables beside the levels
+
+
+def test_sums_of_many_tasks_are_the_same(spark, rows, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tideline.session import ship
+
+    ship(spark)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    few = bo.fit_folds(df, FEATURES, [4], F.col("id"), bo.Rules(rounds=3, child=4.0), min_pool=150)
+    monkeypatch.setattr(bo, "FEW", 2)
+    monkeypatch.setattr(bo, "ROWS", 20)
+    many = bo.fit_folds(df, FEATURES, [4], F.col("id"), bo.Rules(rounds=3, child=4.0), min_pool=150)
+    for a, b in zip(few[0].trees, many[0].trees):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and (a.value == b.value).all()

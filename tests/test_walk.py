@@ -140,3 +140,26 @@ def test_too_few_rows(spark):
     models, _, facts, log = wk.fit_folds(few, COLS, 3, [0, 1], min_train=1)
     assert not models and {x["status"] for x in facts} == {"skipped"}
     assert wk.decode_folds(few, COLS, {}, {}, COLS[:1], COLS[1:]).collect() == []
+
+
+def test_few_chunks_are_spread_over_tasks(spark, monkeypatch):
+    """Two chunks and many fits use more than one task; shares and sums over tasks change no result."""
+    rows = table(spark)
+    jobs = {i: sd.Job(i) for i in range(7)}
+    plain = hmm.pack(rows, COLS, size=5000)
+    spread = hmm.pack(rows, COLS, size=5000, fits=len(jobs))
+    chunks = plain.select("series_id", "_chunk").distinct().count()
+    assert plain.rdd.getNumPartitions() == plain.count() == chunks
+    assert spread.rdd.getNumPartitions() == spread.count() > chunks
+    a, b = (sd.moments(p, COLS, jobs) for p in (plain, spread))
+    assert set(a) == set(b) == set(jobs) and all(a[i][0] == b[i][0] == 1800 for i in jobs)
+    models = {i: hmm.first_guess(rows, COLS, 3, i) for i in jobs}
+    for crossing in (False, True):
+        few = hmm.expected_counts(spread, COLS, models, crossing=crossing)
+        one = hmm.expected_counts(plain, COLS, models, crossing=crossing)
+        with monkeypatch.context() as m:
+            m.setattr(sd, "FEW", 0)
+            many = hmm.expected_counts(spread, COLS, models, crossing=crossing)
+        for i in jobs:
+            np.testing.assert_allclose(few[i], one[i], rtol=1e-9)
+            np.testing.assert_allclose(few[i], many[i], rtol=1e-9)

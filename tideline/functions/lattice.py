@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -55,12 +56,19 @@ class Chunk:
             t = np.concatenate([t, np.broadcast_to(np.eye(self.k), (pad, self.k, self.k))])
         self.scale = lb.max(axis=1).reshape(self.m, self.L)
         self.w = (t * np.exp(lb - lb.max(axis=1, keepdims=True))[:, None, :]).reshape(self.m, self.L, self.k, self.k)
+        self.steps = t, lb
+
+    @cached_property
+    def logw(self):
+        """Only best paths need logarithms of the steps."""
+        t, lb = self.steps
         with np.errstate(divide="ignore"):
-            self.logw = (np.log(t) + lb[:, None, :]).reshape(self.m, self.L, self.k, self.k)
+            return (np.log(t) + lb[:, None, :]).reshape(self.m, self.L, self.k, self.k)
 
     def _rows(self, a):
         return a.reshape(self.m * self.L, *a.shape[2:])[: self.n]
 
+    @cached_property
     def block_sums(self):
         """Per block the row-normalised product of steps and the log scale of each row."""
         p = np.broadcast_to(np.eye(self.k), (self.m, self.k, self.k)).copy()
@@ -80,7 +88,7 @@ class Chunk:
         return b
 
     def summary(self):
-        p, ls = self.block_sums()
+        p, ls = self.block_sums
         P, l, B = p[0], ls[0], None
         for i in range(1, self.m):
             P, l = join_sums(P, l, p[i], ls[i])
@@ -92,7 +100,7 @@ class Chunk:
 
     def forward(self, a_in):
         """Filtered state probabilities, the log-likelihood gained per row, and the entering vectors."""
-        p, ls = self.block_sums()
+        p, ls = self.block_sums
         starts = np.empty((self.m, self.k))
         a = np.asarray(a_in, float)
         for i in range(self.m):
@@ -109,7 +117,7 @@ class Chunk:
 
     def backward(self, b_out):
         """Normalised backward vectors at each row."""
-        p, ls = self.block_sums()
+        p, ls = self.block_sums
         ends = np.empty((self.m, self.k))
         b = np.asarray(b_out, float)
         for i in range(self.m - 1, -1, -1):

@@ -3,7 +3,9 @@
 A tree splits where the gain in first and second derivatives of the logistic loss is largest, a leaf is a Newton step with
 a ridge, and a child needs a least sum of second derivatives. Rows are packed into chunks once; a chunk also carries the margin
 of each of its rows under each fold's model. One job per level adds up derivatives per (fold, node, feature, bin) for all folds of
-a batch, so the number of jobs follows rounds and levels. The driver sees these sums only: TOGETHER x nodes x features x bins at most.
+a batch, so the number of jobs follows rounds and levels. The driver sees these sums only: TOGETHER x nodes x features x bins at most,
+from each of FEW tasks, or added up over more tasks by a tree. A task takes ROWS rows or more, so that small pools make small jobs.
+The chunks stay in the executors' storage between levels; what is lost or has no room there is read again from the written table.
 
 Derivatives are added as whole numbers (UNIT to one), so sums and trees do not depend on the order of tasks, and a retried
 task repeats its share. Which rows a round sees follows from a hash of their key.
@@ -15,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.blocks import stage
@@ -22,6 +25,8 @@ from ..functions.blocks import stage
 UNIT = float(1 << 24)
 LEAST_GAIN = 1e-6
 TOGETHER = 16  # folds whose sums one job brings to the driver
+FEW = 32  # tasks whose sums come to the driver as they are
+ROWS = 10_000  # a task's least share of the rows
 REFRESH = 20  # rounds after which the margins in the chunks are written anew
 PACKED = "x binary, y binary, key binary, fold binary, late binary, margins binary"
 
@@ -93,21 +98,20 @@ def _pack(n_features: int, n_models: int):
     return pack
 
 
-def _chunks(batches, n_features: int, n_models: int):
-    for b in batches:
-        for r in b.itertuples(index=False):
-            y = np.frombuffer(r.y)
-            yield (np.frombuffer(r.x).reshape(len(y), n_features), y, np.frombuffer(r.key, np.int64), np.frombuffer(r.fold, np.int32),
-                   np.frombuffer(r.late, bool), np.frombuffer(r.margins).reshape(n_models, len(y)), r)
+def _chunks(records, n_features: int, n_models: int):
+    for r in records:
+        y = np.frombuffer(r.y)
+        yield (np.frombuffer(r.x).reshape(len(y), n_features), y, np.frombuffer(r.key, np.int64), np.frombuffer(r.fold, np.int32),
+               np.frombuffer(r.late, bool), np.frombuffer(r.margins).reshape(n_models, len(y)), r)
 
 
 def _level(folds, cuts, done, growing, turn: int, level: int, rules: Rules):
     """Sums of derivatives per cell = ((model x node) x feature) x bin, for the nodes of one level that may still split."""
     d, nodes, first = len(cuts[0]), 2**level, 2**level - 1
 
-    def sums(batches):
+    def sums(records):
         total = np.zeros((2, len(folds) * nodes * d * rules.bins), np.int64)
-        for x, y, key, fold, late, margins, _ in _chunks(batches, d, len(folds)):
+        for x, y, key, fold, late, margins, _ in _chunks(records, d, len(folds)):
             drawn = _drawn(key, turn, rules)
             for i, f in enumerate(folds):
                 use = np.flatnonzero(drawn & _in_pool(fold, late, f))
@@ -123,16 +127,22 @@ def _level(folds, cuts, done, growing, turn: int, level: int, rules: Rules):
                         low = (i * nodes * d) * rules.bins
                         part = np.bincount(cell - low, weights=w, minlength=nodes * d * rules.bins)
                         out[low:low + len(part)] += part.astype(np.int64)
-        cell = np.flatnonzero(total.any(axis=0))
-        yield pd.DataFrame({"cell": cell, "g": total[0][cell], "h": total[1][cell]})
+        yield total
     return sums
 
 
+def _added(packed: RDD, sums) -> np.ndarray:
+    """Sums of both derivatives per cell, over all tasks."""
+    parts = packed.mapPartitions(sums)
+    return parts.reduce(np.add) if packed.getNumPartitions() <= FEW else parts.treeReduce(np.add)
+
+
 def _refreshed(n_features: int, n_models: int, done, depth: int):
     def update(batches):
-        for x, _, _, _, _, margins, r in _chunks(batches, n_features, n_models):
-            new = np.stack([m + sum((t.margin(x, depth) for t in trees), np.zeros(len(x))) for m, trees in zip(margins, done)])
-            yield pd.DataFrame([r._replace(margins=new.tobytes())])
+        for b in batches:
+            for x, _, _, _, _, margins, r in _chunks(b.itertuples(index=False), n_features, n_models):
+                new = np.stack([m + sum((t.margin(x, depth) for t in trees), np.zeros(len(x))) for m, trees in zip(margins, done)])
+                yield pd.DataFrame([r._replace(margins=new.tobytes())])
     return update
 
 
@@ -157,31 +167,33 @@ def _split(tree: Tree, level: int, g: np.ndarray, h: np.ndarray, cuts, rules: Ru
             tree.value[2 * node + 2] = -rules.rate * (tg - lg[j, b]) / (th - lh[j, b] + rules.ridge)
 
 
-def _fit_batch(rows: DataFrame, folds: list[int], n_features: int, rules: Rules) -> list[list[Tree]]:
+def _fit_batch(rows: DataFrame, folds: list[int], n_features: int, rules: Rules, n_rows: int) -> list[list[Tree]]:
     names = [f"x{i}" for i in range(n_features)]
     inside = lambda f: (F.col("fold") < f) & ~(F.col("late") & (F.col("fold") == f - 1))
     at = F.array(*[F.lit(i / rules.bins) for i in range(1, rules.bins)])
     q = rows.agg(*[F.percentile_approx(F.when(inside(f), F.col(c)), at, rules.accuracy).alias(f"q_{f}_{c}") for f in folds for c in names]).first()
     cuts = [[np.unique(q[f"q_{f}_{c}"]) for c in names] for f in folds]
-    packed = stage(rows.mapInPandas(_pack(n_features, len(folds)), PACKED))
+    packed = stage(rows.coalesce(max(1, n_rows // ROWS)).mapInPandas(_pack(n_features, len(folds)), PACKED))
+    held = packed.rdd.persist(StorageLevel.MEMORY_AND_DISK)  # read by every level of the next REFRESH rounds
     trees, written = [[] for _ in folds], 0
-    for turn in range(rules.rounds):
-        if turn - written == REFRESH:
-            packed = stage(packed.mapInPandas(_refreshed(n_features, len(folds), [t[written:] for t in trees], rules.depth), PACKED))
-            written = turn
-        growing, done = [Tree(rules.depth) for _ in folds], [t[written:] for t in trees]
-        for level in range(rules.depth):
-            got = packed.mapInPandas(_level(folds, cuts, done, growing, turn, level, rules), "cell long, g long, h long").groupBy("cell").agg(
-                F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
-            total = np.zeros((2, len(folds) * 2**level * n_features * rules.bins), np.int64)
-            total[:, got["cell"].to_numpy()] = got["g"].to_numpy(), got["h"].to_numpy()
-            g, h = total.reshape(2, len(folds), 2**level, n_features, rules.bins)
-            for i, tree in enumerate(growing):
-                _split(tree, level, g[i], h[i], cuts[i], rules)
-            if not any((t.feature[2**level - 1:2 ** (level + 1) - 1] >= 0).any() for t in growing):
-                break
-        for t, tree in zip(trees, growing):
-            t.append(tree)
+    try:
+        for turn in range(rules.rounds):
+            if turn - written == REFRESH:
+                packed = stage(packed.mapInPandas(_refreshed(n_features, len(folds), [t[written:] for t in trees], rules.depth), PACKED))
+                held.unpersist()
+                held, written = packed.rdd.persist(StorageLevel.MEMORY_AND_DISK), turn
+            growing, done = [Tree(rules.depth) for _ in folds], [t[written:] for t in trees]
+            for level in range(rules.depth):
+                total = _added(held, _level(folds, cuts, done, growing, turn, level, rules))
+                g, h = total.reshape(2, len(folds), 2**level, n_features, rules.bins)
+                for i, tree in enumerate(growing):
+                    _split(tree, level, g[i], h[i], cuts[i], rules)
+                if not any((t.feature[2**level - 1:2 ** (level + 1) - 1] >= 0).any() for t in growing):
+                    break
+            for t, tree in zip(trees, growing):
+                t.append(tree)
+    finally:
+        held.unpersist()
     return trees
 
 
@@ -204,7 +216,8 @@ def fit_folds(rows: DataFrame, features, folds, key: Column, rules: Rules = Rule
     out = []
     for i in range(0, len(pools), TOGETHER):
         part = pools[i:i + TOGETHER]
-        fitted = _fit_batch(d.filter(F.col("fold") < part[-1][0]), [p[0] for p in part], len(new), rules)
+        n_rows = sum(r["n"] for r in per if r["fold"] < part[-1][0])
+        fitted = _fit_batch(d.filter(F.col("fold") < part[-1][0]), [p[0] for p in part], len(new), rules, n_rows)
         out += [Fit(f, trees, n, rate) for (f, n, rate), trees in zip(part, fitted)]
     return out
 

@@ -5,6 +5,7 @@ sequence length exact: summarise each chunk, scan the summaries per key, fill ea
 
 from __future__ import annotations
 
+import math
 import time
 
 import numpy as np
@@ -136,12 +137,21 @@ def decode_windows(rows: DataFrame, cols, model: Model, width: int, size: int |
     return halo(d, width, size=size).groupBy("series_id", "_chunk").applyInPandas(one, schema)
 
 
-def pack(rows: DataFrame, cols, keys=KEYS, size: int | None = None, extra=()) -> DataFrame:
-    """One record per chunk with its rows as arrays, written once; EM then re-reads it without a shuffle."""
+def pack(rows: DataFrame, cols, keys=KEYS, size: int | None = None, extra=(), fits: int = 1) -> DataFrame:
+    """One record per chunk with its rows as arrays, written once; EM then re-reads it without a shuffle.
+
+    A few chunks would end in one file and so in one task. They get a file each, and where they are fewer than cores they are written
+    several times: the copy of turn t serves every fit whose number modulo turns is t. Copies stay below three times the cores."""
     d = prepare(rows, cols, keys, size, extra)
     names = ("pos", "new_segment", *cols, *extra)
     g = d.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("r"))
-    return stage(g.select(*keys, "_chunk", *[F.col(f"r.{c}").alias(c) for c in names]))
+    packed = stage(g.select(*keys, "_chunk", *[F.col(f"r.{c}").alias(c) for c in names]))
+    chunks, cores = packed.count(), rows.sparkSession.sparkContext.defaultParallelism
+    if not chunks or chunks >= 4 * cores:
+        return packed.withColumns({"turn": F.lit(0), "turns": F.lit(1)})
+    turns = min(range(1, max(1, min(fits, math.ceil(2 * cores / chunks))) + 1), key=lambda t: (math.ceil(chunks * t / cores) / t, t))
+    copies = packed.withColumns({"turn": F.explode(F.array(*[F.lit(t) for t in range(turns)])), "turns": F.lit(turns)})
+    return stage(copies.repartition(chunks * turns))
 
 
 def _crossing_carries(packed, cols, models, jobs, keys):
@@ -177,7 +187,7 @@ def expected_counts(packed, cols, models: dict[int, Model], keys=KEYS, crossing:
         a_in, b_out = known["carry"].get(i, (flat, flat)) if crossing else (flat, flat)
         return Chunk(x, reset, m).counts(x, a_in, b_out)
 
-    return sd.summed(src, cols, jobs, each)
+    return sd.summed(src, cols, jobs, each, packed)
 
 
 def update(stat: np.ndarray, old: Model, var_floor: float = 1e-2) -> tuple[float, Model]:
@@ -263,7 +273,7 @@ def fit(rows: DataFrame, cols, k: int, seeds=(1, 2, 3, 4, 5), max_iter: int = 10
     ``rows`` should be staged. Returns the model and one log entry per seed; no model if rows are fewer than states or no start
     gave a finite likelihood (the entries' error says so)."""
     cols = list(cols)
-    models, log = fit_many(pack(rows, cols, keys, size), cols, k, {s: sd.Job(s) for s in seeds}, max_iter, tol, keys)
+    models, log = fit_many(pack(rows, cols, keys, size, fits=len(seeds)), cols, k, {s: sd.Job(s) for s in seeds}, max_iter, tol, keys)
     best = best_of(log)
     return models.get(best), [log[s] | {"best": s == best} for s in seeds]
 

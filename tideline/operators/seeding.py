@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 ROUNDS = 2
 STEPS = 50
+FEW = 64  # tasks whose sums come to the driver as they are; those of more tasks are added up in a shuffle first
 MOVED = 1e-4  # steps end when centres move less than this share of the mean variance
 
 
@@ -55,17 +56,20 @@ def chunks_of(pdf, cols):
 
 
 def seen(rec, x, reset, jobs: dict[int, Job]):
-    """For every job with rows in the chunk: its number, rows, segment starts and slots; each view is made once."""
+    """For every job that this copy of the chunk serves and that has rows in it: its number, rows, segment starts and slots; each view is made once."""
     made: dict = {}
-    for i, job in jobs.items():
+    for n, (i, job) in enumerate(jobs.items()):
+        if n % rec.turns != rec.turn:
+            continue
         if job.view not in made:
             made[job.view] = (x, reset, np.asarray(rec.pos)) if job.view is None else job.view.of(rec, x, reset)
         if len(made[job.view][0]):
             yield i, *made[job.view]
 
 
-def summed(src: DataFrame, cols, jobs: dict[int, Job], each: Callable) -> dict[int, np.ndarray]:
-    """Adds up each(number, rec, x, reset, pos) over chunks: in the task first, then over tasks. Jobs without rows are missing."""
+def summed(src: DataFrame, cols, jobs: dict[int, Job], each: Callable, packed: DataFrame | None = None) -> dict[int, np.ndarray]:
+    """Adds up each(number, rec, x, reset, pos) over chunks: in the task first, then over tasks. Jobs without rows are missing.
+    packed: the written chunks, if src joins something to them."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
@@ -77,6 +81,12 @@ def summed(src: DataFrame, cols, jobs: dict[int, Job], each: Callable) -> dict[i
         yield pd.DataFrame([{"job": i, "stat": v.tolist()} for i, v in total.items()], columns=["job", "stat"])
 
     parts = src.mapInPandas(run, "job long, stat array<double>")
+    if (src if packed is None else packed).rdd.getNumPartitions() <= FEW:
+        total: dict[int, np.ndarray] = {}
+        for r in parts.collect():  # tasks x jobs x a fixed number of sums, in the order of the files
+            v = np.array(r["stat"], float)
+            total[r["job"]] = total[r["job"]] + v if r["job"] in total else v
+        return total
     sums = parts.select("job", F.posexplode("stat").alias("i", "v")).groupBy("job", "i").agg(F.sum("v").alias("v"))
     out: dict[int, dict] = {}
     for r in sums.collect():  # jobs x a fixed number of sums

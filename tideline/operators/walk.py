@@ -82,7 +82,7 @@ def fit_folds(rows: DataFrame, cols, k: int, folds: list[int], seeds=(1, 2, 3, 4
     jobs = {len(seeds) * j + s: sd.Job(seed, views[f]) for j, f in enumerate(views) for s, seed in enumerate(seeds)}
     if not jobs:
         return {}, {}, facts, []
-    packed = hmm.pack(held.select("series_id", "pos", *cols, F.col("fold").cast("long"), "late"), cols, size=size, extra=("fold", "late"))
+    packed = hmm.pack(held.select("series_id", "pos", *cols, F.col("fold").cast("long"), "late"), cols, size=size, extra=("fold", "late"), fits=len(jobs))
     models, log = hmm.fit_many(packed, cols, k, jobs, max_iter)
     chosen, entries = {}, []
     for f, view in views.items():
