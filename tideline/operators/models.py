@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.blocks import with_position
+from ..functions.blocks import stage, with_position
 from ..functions.ordered import percentiles
 from ..sources import stores
 from .metrics import roc_auc
@@ -184,21 +184,22 @@ def permutation_importance(model, rows: DataFrame, features, repeats: int, key:
     """Loss of AUC when one column is shuffled, for every (feature, repeat) in one set of jobs.
 
     A shuffle joins two row numberings of the same rows: by key, and by a hash of key, feature and
-    repeat. Both numberings are computed in hash ranges, not in one task. ``rows`` should be staged."""
+    repeat. Both numberings are computed in hash ranges, not in one task; what is read twice is written first."""
     feats = list(features)
-    base = rows.filter("label IS NOT NULL").select("label", *feats, F.xxhash64(key).alias("_h"), key.cast("string").alias("_id"))
-    pairs = base.select("*", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                                               for f in feats for r in range(repeats)])))
-    pick = F.coalesce(*[F.when(F.col("feature") == f, F.col(f)) for f in feats])
-    pairs = pairs.withColumns({"_v": pick, "_s": F.xxhash64("_h", "feature", "rep", F.lit(seed))})
+    base = stage(rows.filter("label IS NOT NULL").select("label", *feats, F.xxhash64(key).alias("_h"), key.cast("string").alias("_id")))
     k = ["feature", "rep"]
-    most = max(1, rows.count() * len(feats) * repeats // RANGE_ROWS)
-    bits = min(24, max(8, most.bit_length()))  # hash ranges grow with the rows, so a range keeps its size
+    bits = min(24, max(1, (base.count() // RANGE_ROWS).bit_length()))  # hash ranges grow with the rows, so a range keeps its size
     coarse = lambda c: F.shiftright(c, 64 - bits)
-    a = with_position(pairs.drop("_v", "_s"), k, ("_h", "_id"), coarse("_h"), "_p")
-    b = with_position(pairs.select(*k, "_s", "_id", "_v"), k, ("_s", "_id"), coarse("_s"), "_p").select(*k, "_p", "_v")
-    mixed = a.join(b, [*k, "_p"]).withColumns({f: F.when(F.col("feature") == f, F.col("_v")).otherwise(F.col(f)) for f in feats})
-    shuffled = roc_auc(predict(model, mixed, feats), k).select(*k, F.col("auc").alias("shuffled_auc"), F.lit(1).alias("_k"))
+    # the order by key is the same for every feature and repeat
+    numbered = stage(with_position(base.withColumn("_k", F.lit(1)), ["_k"], ("_h", "_id"), coarse("_h"), "_p").drop("_k"))
+    pairs = numbered.select("*", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
+                                                   for f in feats for r in range(repeats)])))
+    pick = F.coalesce(*[F.when(F.col("feature") == f, F.col(f)) for f in feats])
+    moved = pairs.select(*k, F.xxhash64("_h", "feature", "rep", F.lit(seed)).alias("_s"), "_id", pick.alias("_v"))
+    b = with_position(moved, k, ("_s", "_id"), coarse("_s"), "_p").select(*k, "_p", "_v")
+    mixed = pairs.join(b, [*k, "_p"]).withColumns({f: F.when(F.col("feature") == f, F.col("_v")).otherwise(F.col(f)) for f in feats})
+    scored = stage(predict(model, mixed, feats).select(*k, "label", "score"))
+    shuffled = roc_auc(scored, k).select(*k, F.col("auc").alias("shuffled_auc"), F.lit(1).alias("_k"))
     plain = roc_auc(predict(model, base.withColumn("_k", F.lit(1)), feats), ["_k"]).select("_k", "auc")
     d = shuffled.join(plain, "_k").withColumn("loss", F.col("auc") - F.col("shuffled_auc"))
     return d.groupBy("feature").agg(F.avg("loss").alias("mean_loss"), F.stddev_pop("loss").alias("std_loss"), F.count("loss").alias("n_repeats"))
