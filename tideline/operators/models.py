@@ -1,13 +1,16 @@
 """Walk-forward classifiers on Spark ML.
 
 Input rows carry fold, label (0/1, null where unusable), is_trending and the feature columns; pass a
-staged frame. The driver loops over folds, every fit and prediction is a Spark job, and predictions
+staged frame. The driver loops over folds, TOGETHER fits at a time; every fit is a row of Spark jobs, and predictions
 land in one table partitioned by fold."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -33,6 +36,9 @@ RF_BASE = {"maxDepth": 8, "minInstancesPerNode": 50, "featureSubsetStrategy": "s
 
 
 RANGE_ROWS = 100_000
+TASK_ROWS = 10_000  # a task's least share of a pool in a logistic fit; the cuts and draws of trees follow the tasks
+TOGETHER = 4  # fits whose jobs run side by side; each is short of work for all cores most of the time
+WRITTEN = 16  # folds whose predictions one job writes
 
 
 @dataclass
@@ -76,8 +82,19 @@ def fit_pool(pool: DataFrame, features, make, lo: float = 0.4, hi: float = 0.6):
         return None, 0, None
     r = w[0]
     d = pool.filter("label IS NOT NULL").withColumn("weight", F.when(F.col("label") == 1, r["w_pos"]).otherwise(r["w_neg"]))
-    d = assemble(d.withColumn("label", F.col("label").cast("double")), features)
-    return make(float(r["n"])).fit(d), r["n"], r["pos_rate"]
+    d, estimator = assemble(d.withColumn("label", F.col("label").cast("double")), features), make(float(r["n"]))
+    if isinstance(estimator, LogisticRegression):
+        d = d.coalesce(max(1, r["n"] // TASK_ROWS))
+    return estimator.fit(d), r["n"], r["pos_rate"]
+
+
+def side_by_side(spark, fn, items) -> list:
+    """fn of every item, in order, TOGETHER at a time from driver threads."""
+    items = list(items)
+    if not items:
+        return []
+    with ThreadPool(min(TOGETHER, len(items))) as pool:
+        return pool.map(inheritable_thread_target(spark)(fn), items, chunksize=1)
 
 
 def predict(model, rows: DataFrame, features) -> DataFrame:
@@ -96,17 +113,17 @@ def walk(rows: DataFrame, features, make, folds, min_pool: int = 500, keep=("ser
          hi: float = 0.6) -> tuple[DataFrame, list[Fit]]:
     """Each fold is predicted by a model of all earlier folds' labelled rows; only trending rows are scored. Folds with too
     small a pool are left out; if all are, the predictions are an empty table."""
-    path, fits = stores.table_path(rows.sparkSession, "predictions"), []
-    for f in folds:
-        model, n, rate = fit_pool(training_pool(rows, f), features, make, lo, hi) if f > min(folds) else (None, 0, None)
-        if model is None or n < min_pool:
-            continue
-        p = predict(model, rows.filter((F.col("fold") == f) & F.col("is_trending")), features)
-        stores.write_partitioned(p.select(*keep, "score", F.lit(f).alias("fold")), path, "fold")
-        fits.append(Fit(f, model, n, rate))
+    spark, path = rows.sparkSession, stores.table_path(rows.sparkSession, "predictions")
+    later = [f for f in folds if f > min(folds)]
+    got = side_by_side(spark, lambda f: fit_pool(training_pool(rows, f), features, make, lo, hi), later)
+    fits = [Fit(f, model, n, rate) for f, (model, n, rate) in zip(later, got) if model is not None and n >= min_pool]
     if not fits:
         return rows.select(*keep, F.lit(0.0).alias("score"), F.col("fold").cast("int").alias("fold")).limit(0), fits
-    return rows.sparkSession.read.parquet(path), fits
+    for i in range(0, len(fits), WRITTEN):
+        p = [predict(x.model, rows.filter((F.col("fold") == x.fold) & F.col("is_trending")), features).select(
+            *keep, "score", F.lit(x.fold).alias("fold")) for x in fits[i:i + WRITTEN]]
+        stores.write_partitioned(reduce(DataFrame.unionByName, p), path, "fold")
+    return spark.read.parquet(path), fits
 
 
 def train_auc(rows: DataFrame, features, fits) -> DataFrame:
@@ -120,12 +137,8 @@ def train_auc(rows: DataFrame, features, fits) -> DataFrame:
 
 def compare(variants: dict, rows: DataFrame, make, folds, min_pool: int) -> DataFrame:
     """Pooled out-of-sample AUC for several feature lists."""
-    out = None
-    for name, feats in variants.items():
-        p, _ = walk(rows, feats, make, folds, min_pool)
-        a = roc_auc(p.withColumn("variant", F.lit(name)), ["variant"]).withColumn("n_features", F.lit(len(feats)))
-        out = a if out is None else out.unionByName(a)
-    return out
+    p = [walk(rows, feats, make, folds, min_pool)[0].withColumns({"variant": F.lit(name), "n_features": F.lit(len(feats))}) for name, feats in variants.items()]
+    return roc_auc(reduce(DataFrame.unionByName, p), ["variant", "n_features"])
 
 
 def threshold_trials(rows: DataFrame, cuts, baseline: float, features, make, trend: str = "trend_score", move: str = "fwd_2", dead: float = 0.1,
