@@ -127,12 +127,13 @@ def walk(rows: DataFrame, features, make, folds, min_pool: int = 500, keep=("ser
 
 
 def train_auc(rows: DataFrame, features, fits) -> DataFrame:
-    """AUC of each fold's model on its own training pool."""
-    out = rows.sparkSession.createDataFrame([], "fold int, train_auc double")
-    for x in fits:
-        p = predict(x.model, training_pool(rows, x.fold).filter(F.col("label").isNotNull()), features)
-        out = out.unionByName(roc_auc(p.select("label", "score", F.lit(x.fold).alias("fold")), ["fold"]).select("fold", F.col("auc").alias("train_auc")))
-    return out
+    """AUC of each fold's model on its own training pool. Scores are written, for the ranks read them twice."""
+    parts = []
+    for i in range(0, len(fits), WRITTEN):
+        p = [predict(x.model, training_pool(rows, x.fold).filter(F.col("label").isNotNull()), features).select(
+            "label", "score", F.lit(x.fold).cast("int").alias("fold")) for x in fits[i:i + WRITTEN]]
+        parts.append(roc_auc(stage(reduce(DataFrame.unionByName, p)), ["fold"]).select("fold", F.col("auc").alias("train_auc")))
+    return reduce(DataFrame.unionByName, parts, rows.sparkSession.createDataFrame([], "fold int, train_auc double"))
 
 
 def compare(variants: dict, rows: DataFrame, make, folds, min_pool: int) -> DataFrame:
