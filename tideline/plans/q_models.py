@@ -127,13 +127,14 @@ def xgb_walk_forward(spark, folder):
 def model_choice(spark, folder):
     """Keeps the model with the better holdout AUC."""
     d = stage(fo.chronological_split(rows(spark, folder), "2024-01-22 00:00:00", "'4' HOUR"))
-    out = None
-    for name, make in (("logistic", lr), ("boosted", lambda n: ml.boosted())):
-        m, _, _ = ml.fit_pool(d.filter("part = 'train'"), BASE, make)
-        if m is None:
-            return spark.createDataFrame([], "model string, auc double, chosen boolean")
-        a = mt.roc_auc(ml.predict(m, d.filter("part = 'test' AND label IS NOT NULL"), BASE).withColumn("model", F.lit(name)), ["model"])
-        out = a if out is None else out.unionByName(a)
+    train = d.filter("part = 'train'")
+    makes = {"logistic": lr, "boosted": lambda n: ml.boosted()}
+    fits = ml.side_by_side(spark, lambda make: ml.fit_pool(train, BASE, make)[0], makes.values())
+    if any(m is None for m in fits):
+        return spark.createDataFrame([], "model string, auc double, chosen boolean")
+    test = d.filter("part = 'test' AND label IS NOT NULL")
+    p = [ml.predict(m, test, BASE).select("label", "score", F.lit(name).alias("model")) for name, m in zip(makes, fits)]
+    out = mt.roc_auc(stage(p[0].unionByName(p[1])), ["model"])
     w = Window.partitionBy(F.lit(0))  # one row per model
     return out.withColumn("chosen", F.col("auc") == F.max("auc").over(w))
 
